@@ -195,7 +195,9 @@ def digests(found: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     written = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", names[x["kind"]], x["start"], x["end"])), ",")
     strict = F.filter("spans", lambda x: x["strict"])
-    counts = [F.size(F.filter(strict, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform(strict, lambda x: x["kind"])
+    counts = [F.size(F.array_remove(kinds, -1)).cast("long") - F.size(F.array_remove(kinds, k)) for k in range(len(KINDS))]
+    counts = [n.alias(f"n_{name}") for n, name in zip(counts, KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(strict), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

@@ -113,7 +113,7 @@ RULES: dict[str, Callable[[Measures], bool]] = {
     "words_without_letters": lambda m: m.share_with_letters < 0.75,
     "capitals": lambda m: m.counts[_UPPER].sum() > m.counts[_LOWER].sum(),
     "digits": lambda m: m.counts[_DIGIT].sum() > 0.25 * max(1, m.word_chars),
-    "repeated_lines": lambda m: m.n_dup_lines > 0.3 * max(1, len(m.lines)),
+    "repeated_lines": lambda m: m.n_dup_lines > 0.5 * max(1, len(m.lines)),
     "one_word": lambda m: m.top_share > 0.35,
     "exclamations": lambda m: m.counts[33] > 0.3 * max(1, m.n_words),
 }
