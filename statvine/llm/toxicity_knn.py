@@ -18,18 +18,19 @@ label, or with labels of one kind only, scores are the smoothed rate (0.5 withou
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statvine.llm.common import WHITESPACE, arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
 
-EXAMPLES, FEATURES, LEAST_CHI, LEAST_TEXTS = 20_000, 4096, 25.0, 5
+EXAMPLES, FEATURES, LEAST_CHI, LEAST_TEXTS = 20_000, 4096, 60.0, 5
 BLOCK, NEIGHBOURS = 128, 15
 #: Words that a task remembers the features of.
 CACHE = 200_000
@@ -51,7 +52,20 @@ def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Dat
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.where(fold_remainder("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = bare(docs).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
-    return stash(joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-examples")
+    signed = map_rows(joined.select("doc_id", "toxic", "text"), _sign, "doc_id long, toxic int, text binary, sign0 long, sign1 long")
+    one = signed.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text", "sign0", "sign1"), "text").alias("x")).select("doc_id", "x.*")
+    for sign in ("sign0", "sign1"):
+        first = F.row_number().over(Window.partitionBy(sign).orderBy("doc_id"))
+        one = one.withColumn("nth", first).where("nth = 1")
+    return stash(one.select("doc_id", "toxic", "text"), "toxicity-examples")
+
+
+def _sign(batch: pa.RecordBatch):
+    """The least of two hashes of the 5-word windows; a short text is one window."""
+    for doc_id, toxic, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text"))):
+        own = words(text)
+        windows = [b" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))]
+        yield doc_id, toxic, text, min(map(zlib.crc32, windows)), min(zlib.crc32(w, 1) ^ 0x5BD1E995 for w in windows)
 
 
 def choose_features(examples: DataFrame, most: int = FEATURES) -> DataFrame:
