@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from statvine.plans import graphs, lookup, registry, scalars, searching  # noqa: F401
+from statvine.plans import graphs, lookup, pages, registry, scalars, searching  # noqa: F401
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
