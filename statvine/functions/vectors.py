@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,3 +19,13 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is zero or missing."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def from_blob(blob: Column) -> Column:
+    """array<float> of a binary of little-endian 32-bit floats; null stays null."""
+
+    @F.pandas_udf("array<float>")
+    def read(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return read(blob)

@@ -1,5 +1,6 @@
 """Case law and graph queries."""
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -158,3 +159,25 @@ def graph_neighbourhood(spark, d):
 def export_cypher(spark, d):
     label = F.substring(F.translate("title", "\\\"", " '"), 1, 80)
     return cases(spark, d).select(F.concat(F.lit('CREATE (:Case {id: "'), "id", F.lit('", label: "'), label, F.lit('"})')).alias("statement"))
+
+
+BARE = "chunk_text || CASE WHEN chunk_id % 2 = 0 THEN ' under the Act, ' ELSE ' at the hour of ' END || (chunk_id % 25 + 1) || ':1' || (chunk_id % 10) || '.'"
+
+
+@query(SQL + rf"""SELECT chunk_id, chapter FROM (SELECT chunk_id, unnest(regexp_extract_all({BARE}, '(?is)(?:^|[^\p{{L}}\p{{N}}_])(?:act|ordinance|chapter|cap|ch)(?:[^\p{{L}}\p{{N}}_].{{0,30}}?)??\b([0-9]{{1,2}}:[0-9]{{1,2}})\b', 1)) AS chapter FROM chunks) WHERE chapter IN (SELECT chapter_number FROM chapters)""")
+def cites_bare_regex(spark, d):
+    return graph.bare_references(chunks(spark, d).withColumn("chunk_text", F.expr(BARE)), chapters(spark, d))
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def decode_vector_blob(spark, d):
+    """Vectors written as little-endian 32-bit floats and read back."""
+    @F.pandas_udf("binary")
+    def write(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: v.astype("<f4").tobytes())
+
+    from statvine.functions.vectors import from_blob
+
+    rows = table(spark, d, "embeddings").select("vec_id", from_blob(write("embedding")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("n"), F.round(total, 4).alias("total"))

@@ -81,3 +81,12 @@ def test_stream_takes_a_version_once(spark, tmp_path):
         spark.createDataFrame([row, row], versions.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
         versions.append(versions.incoming(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_bare_references_read_their_context(spark):
+    from statvine.operators.graph import bare_references
+
+    texts = [(1, "Act 1:05, 1:06 and, long after the word, far beyond forty characters, 1:07"), (2, "pact 1:05"), (3, "CAP\n1:05 1:99")]
+    known = spark.createDataFrame([("1:05",), ("1:06",), ("1:07",)], "chapter_number string")
+    got = bare_references(spark.createDataFrame(texts, "chunk_id long, chunk_text string"), known).collect()
+    assert sorted(map(tuple, got)) == [(1, "1:05"), (1, "1:06"), (3, "1:05")]
