@@ -181,3 +181,19 @@ def decode_vector_blob(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", from_blob(write("embedding")).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return rows.select("vec_id", F.size("v").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query(SQL + "SELECT chapter_number, string_agg('- ' || title || ' (' || id || ')', chr(10) ORDER BY id) AS text FROM cases JOIN citations ON id = case_id GROUP BY chapter_number")
+def render_tool_text(spark, d):
+    """The cases that cite each chapter, a line each."""
+    rows = citations(spark, d).join(cases(spark, d), F.col("case_id") == F.col("id"))
+    lines = F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit("- "), "title", F.lit(" ("), "id", F.lit(")")).alias("line"))))
+    return rows.groupBy("chapter_number").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("text"))
+
+
+@query("""SELECT conv_id, count(*) FILTER (turn NOT IN (SELECT turn FROM conversations WHERE role = 'system')) AS unknown FROM conversations GROUP BY conv_id""")
+def unknown_source_ids(spark, d):
+    """How many of a conversation's turns aren't among the allowed ones, here those that are somewhere a system turn."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    allowed = rows.where("role = 'system'").select("turn").distinct().withColumn("known", F.lit(True))
+    return rows.join(allowed, "turn", "left").groupBy("conv_id").agg(F.count_if(F.col("known").isNull()).alias("unknown"))
