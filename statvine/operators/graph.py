@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statvine.sources.shared import stash
+
 #: Citation and definition forms. Fixed patterns.
 CHAPTER = r"(?:Ch(?:ap)?|Cap)\.?\s*([0-9]{1,2}:[0-9]{1,2})"
 SECTION = r"(?:section|Section|s\.)\s+([0-9]{1,3}[A-Za-z]?)"
@@ -56,13 +58,16 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id, level of everything within ``depth`` steps; each level is a join of the frontier, less what was seen."""
-    near = adjacency(edges).distinct()
+    """id, level of everything within ``depth`` steps; each level is a join of the frontier, less what was seen.
+
+    Edges are written once to the shared folder, as every level reads them, and so is each level.
+    """
+    near = stash(adjacency(edges).distinct(), "near")
     seen = seeds.select("id", F.lit(0).alias("level")).distinct()
     frontier = seen
     for level in range(1, depth + 1):
         step = frontier.join(near, frontier["id"] == near["source"]).select(F.col("target").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("level", F.lit(level))
+        frontier = stash(step.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "level")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -136,8 +136,7 @@ def version_labels(spark, d):
 @query(SQL + """SELECT chapter_number, section_ref, download_id, l_suppkey, CASE WHEN as_at_date IS NULL THEN 'Undated version' WHEN download_id % 3 = 0 THEN 'As at ' || strftime(as_at_date, '%-d %b %Y')
 WHEN as_at_date = max(as_at_date) OVER (PARTITION BY chapter_number, section_ref) THEN 'Latest available' ELSE 'Historical version · ' || strftime(as_at_date, '%-d %b %Y') END AS label FROM versions""")
 def authority_labels(spark, d):
-    from pyspark.sql import Window
-
-    latest = F.max("as_at_date").over(Window.partitionBy("chapter_number", "section_ref"))
+    rows = versions(spark, d)
+    latest = rows.groupBy(*temporal.KEY).agg(F.max("as_at_date").alias("latest"))
     asked = F.when(F.col("download_id") % 3 == 0, F.col("as_at_date"))
-    return versions(spark, d).select("chapter_number", "section_ref", "download_id", "l_suppkey", authority_label(F.col("as_at_date"), latest, asked).alias("label"))
+    return rows.join(latest, list(temporal.KEY)).select("chapter_number", "section_ref", "download_id", "l_suppkey", authority_label(F.col("as_at_date"), F.col("latest"), asked).alias("label"))
