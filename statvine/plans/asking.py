@@ -45,9 +45,9 @@ def tool_expand_case(spark, d):
 
 @query(SQL + f"""SELECT place, 'lookup:' || download_id || ':' || place AS source_id, chapter_number AS chapter, CASE WHEN download_id = 0 THEN '' ELSE '/api/pdf/' || download_id END AS url,
 'Chap. ' || chapter_number || ', s. ' || section_ref || ' — ' || coalesce(nullif(version_label, ''), 'version') || ', available as at ' || as_at_date || chr(10) || '  ' || CASE WHEN length(t) > 400 THEN t[1:400] || '…' ELSE t END AS line
-FROM (SELECT *, {SNIP} AS t, row_number() OVER (ORDER BY as_at_date DESC, download_id DESC, chunk_id) - 1 AS place FROM chunks WHERE chapter_number = 'src7' AND section_ref = '7') ORDER BY place LIMIT 100""")
+FROM (SELECT *, {SNIP} AS t, row_number() OVER (ORDER BY as_at_date DESC, download_id DESC, chunk_id) - 1 AS place FROM chunks WHERE chapter_number = 'src0' AND section_ref = '10') ORDER BY place LIMIT 100""")
 def tool_lookup_section(spark, d):
-    return _lines(tools.lookup_section(_library(spark, d), "src7", "7"))
+    return _lines(tools.lookup_section(_library(spark, d), "src0", "10"))
 
 
 @query(SQL + """, newest AS (SELECT chapter_number || '|' || section_ref AS id, chunk_text AS text FROM chunks WHERE as_at_date <= DATE '2005-06-30' QUALIFY row_number() OVER (PARTITION BY chapter_number, section_ref ORDER BY as_at_date DESC, download_id DESC, chunk_id DESC) = 1),
