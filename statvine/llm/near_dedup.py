@@ -6,7 +6,7 @@ exponential variate of each shingle, on a scale of powers of ``BASE``, truncated
 2021). Sketches of two sets merge by the larger register. Then
 
 1. texts of the same words form one class, represented by its least doc_id; copies are never expanded;
-2. bands of registers deal the classes into buckets; each class meets the first class of its bucket, and the joint
+2. bands of registers deal the classes into buckets; each class meets the least class of its bucket, and the joint
    likelihood of both sketches estimates their similarity; those of ``LEAST_ESTIMATE`` and more
    join into clusters, which is far below any link's similarity, as leaders are only a meeting point;
 3. within a cluster all pairs that are not yet connected are compared on their full sets, exactly, in numpy:
@@ -205,8 +205,9 @@ def clusters(classes: DataFrame) -> DataFrame:
     """class, cluster of the classes that meet another one."""
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * WIDTH + 1, F.lit(WIDTH)))))
     rows = classes.where("n_shingles > 0").select("class", bands.alias("band", "bucket")).select("class", F.xxhash64("band", "bucket").alias("bucket"))
-    first = F.first("class").over(Window.partitionBy("bucket").orderBy(F.xxhash64("class"), "class"))
-    met = rows.withColumn("leader", first).where("class <> leader").select("class", "leader").distinct()
+    # partial minima shrink a hot bucket before the shuffle; most buckets hold one class and leave here
+    leaders = rows.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader < last").select("bucket", "leader")
+    met = rows.join(leaders, "bucket").where("class <> leader").select("class", "leader").distinct()
     one = classes.select("class", "n_shingles", "registers")
     pairs = met.join(one, "class").join(one.select(F.col("class").alias("leader"), F.col("n_shingles").alias("n"), F.col("registers").alias("r")), "leader")
 
@@ -272,7 +273,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = stash(sketches(docs, size), "dedup-sketches")
     made = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = stash(made.withColumn("class", F.monotonically_increasing_id()), "dedup-classes")
+    # numbers in random order, each its own: xxhash64 permutes 64-bit numbers
+    classes = stash(made.withColumn("class", F.xxhash64(F.monotonically_increasing_id())), "dedup-classes")
     clustered = stash(clusters(classes), "dedup-clusters")
     edges = links(docs, classes, clustered, size, percent)
     joined = connected_components(edges).join(classes.select(F.col("class").alias("node"), "doc_id"), "node")
@@ -286,6 +288,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs``, all columns as they are, of each component; of rows with an equal id, one."""
     kept = components(docs, size, percent).where("kept").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    # null ids are groups of one row each, dealt over all tasks
+    one = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text")))
     with_id = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
-    return with_id.withColumn("__row", one).where("__row = 1 or doc_id is null").drop("__row").select(docs.columns)
+    return with_id.withColumn("__row", one).where("__row = 1").select(docs.columns)
