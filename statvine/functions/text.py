@@ -54,16 +54,16 @@ def format_date(value: Column, fallback: str, long: bool = False) -> Column:
 def version_label(position: Column, as_at: Column, label: Column) -> Column:
     """The entry of a version in a list, newest first."""
     latest = F.when((position == 0) & as_at.isNotNull(), F.lit("Latest available"))
-    return F.concat_ws(" · ", latest, F.coalesce(F.date_format(as_at, "d MMM yyyy"), F.lit("Undated")), F.nullif(label, F.lit("")))
+    return F.concat_ws(" · ", latest, F.coalesce(as_at.cast("string"), F.lit("Date unavailable")), F.nullif(label, F.lit("")))
 
 
-def authority_label(as_at: Column, latest: Column, asked: Column) -> Column:
-    """How a version stands to the date asked for and to the newest one."""
+def authority_label(as_at: Column, is_latest: Column, asked: Column) -> Column:
+    """How a version stands to the date asked for, and to the newest one."""
     return (
-        F.when(as_at.isNull(), F.lit("Undated version"))
-        .when(asked.isNotNull(), F.concat(F.lit("As at "), F.date_format(as_at, "d MMM yyyy")))
-        .when(as_at == latest, F.lit("Latest available"))
-        .otherwise(F.concat(F.lit("Historical version · "), F.date_format(as_at, "d MMM yyyy")))
+        F.when(asked.isNotNull(), F.concat(F.lit("Available as at "), asked.cast("string")))
+        .when(is_latest, F.lit("Latest available"))
+        .when(as_at.isNotNull(), F.lit("Historical version"))
+        .otherwise(F.lit("No effective date on file"))
     )
 
 

@@ -127,16 +127,25 @@ def constraint_checks(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query(SQL + f"""SELECT chapter_number, section_ref, download_id, l_suppkey, concat_ws(' · ', CASE WHEN position = 0 AND as_at_date IS NOT NULL THEN 'Latest available' END, coalesce(strftime(as_at_date, '%-d %b %Y'), 'Undated'), nullif(version_label, '')) AS label
+@query(SQL + f"""SELECT chapter_number, section_ref, download_id, l_suppkey, concat_ws(' · ', CASE WHEN position = 0 AND as_at_date IS NOT NULL THEN 'Latest available' END, coalesce(as_at_date::VARCHAR, 'Date unavailable'), nullif(version_label, '')) AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY chapter_number, section_ref ORDER BY {ORDER}) - 1 AS position FROM versions)""")
 def version_labels(spark, d):
     return temporal.history(versions(spark, d)).select("chapter_number", "section_ref", "download_id", "l_suppkey", version_label(F.col("position"), F.col("as_at_date"), F.col("version_label")).alias("label"))
 
 
-@query(SQL + """SELECT chapter_number, section_ref, download_id, l_suppkey, CASE WHEN as_at_date IS NULL THEN 'Undated version' WHEN download_id % 3 = 0 THEN 'As at ' || strftime(as_at_date, '%-d %b %Y')
-WHEN as_at_date = max(as_at_date) OVER (PARTITION BY chapter_number, section_ref) THEN 'Latest available' ELSE 'Historical version · ' || strftime(as_at_date, '%-d %b %Y') END AS label FROM versions""")
+@query(SQL + f"""SELECT chapter_number, section_ref, download_id, l_suppkey, CASE WHEN download_id % 3 = 0 THEN 'Available as at ' || as_at_date
+WHEN download_id = first_value(download_id) OVER (PARTITION BY chapter_number, section_ref ORDER BY {ORDER}) THEN 'Latest available' WHEN as_at_date IS NOT NULL THEN 'Historical version' ELSE 'No effective date on file' END AS label FROM versions""")
 def authority_labels(spark, d):
     rows = versions(spark, d)
-    latest = rows.groupBy(*temporal.KEY).agg(F.max("as_at_date").alias("latest"))
+    newest = F.max(F.struct("as_at_date", "download_id"))["download_id"]
+    latest = rows.groupBy(*temporal.KEY).agg(newest.alias("latest"))
     asked = F.when(F.col("download_id") % 3 == 0, F.col("as_at_date"))
-    return rows.join(latest, list(temporal.KEY)).select("chapter_number", "section_ref", "download_id", "l_suppkey", authority_label(F.col("as_at_date"), F.col("latest"), asked).alias("label"))
+    label = authority_label(F.col("as_at_date"), F.col("download_id") == F.col("latest"), asked)
+    return rows.join(latest, list(temporal.KEY)).select("chapter_number", "section_ref", "download_id", "l_suppkey", label.alias("label"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN coalesce(id, 0) <> 0 THEN '/api/pdf/' || id ELSE '' END AS pdf_url FROM (SELECT *, CASE l_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE l_orderkey END AS id FROM lineitem)")
+def enrich_pdf_url(spark, d):
+    """Where a version's file is; an id that is missing or 0 has none."""
+    download_id = F.expr("CASE l_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE l_orderkey END")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pdf_url(download_id).alias("pdf_url"))

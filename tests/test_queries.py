@@ -56,6 +56,14 @@ def test_text(spark):
     assert [(p["text"], p["match"]) for p in parts] == [("x", False), ("A.B", True), ("yab", False)]
 
 
+def test_labels(spark):
+    days = [(0, "2016-12-31", "Rev", True, None), (1, "2015-01-01", "", False, None), (0, None, "Rev", False, None), (1, "2015-01-01", None, False, "2016-01-01")]
+    rows = spark.createDataFrame(days, "position int, day string, label string, latest boolean, asked string").withColumn("day", F.col("day").cast("date")).withColumn("asked", F.col("asked").cast("date"))
+    got = rows.select(T.version_label(F.col("position"), F.col("day"), F.col("label")), T.authority_label(F.col("day"), F.col("latest"), F.col("asked"))).collect()
+    assert [r[0] for r in got] == ["Latest available · 2016-12-31 · Rev", "2015-01-01", "Date unavailable · Rev", "2015-01-01"]
+    assert [r[1] for r in got] == ["Latest available", "Historical version", "No effective date on file", "Available as at 2016-01-01"]
+
+
 def test_files(spark, tmp_path):
     from statvine.sources import files, html
 
