@@ -36,10 +36,10 @@ def citation_title(title: Column) -> Column:
 
 
 def format_citation(title: Column, chapter: Column, section: Column, as_at: Column) -> tuple[Column, Column]:
-    """The long and the short form; a date names the version."""
+    """The long and the short form; a date names the version in the long one."""
     dated = F.when(as_at.isNotNull(), F.concat(F.lit(" (version available as at "), F.date_format(as_at, "d MMMM yyyy"), F.lit(")"))).otherwise(F.lit(""))
-    short = F.concat(F.lit("Chap. "), chapter, F.lit(", s. "), section, dated)
-    return F.concat(citation_title(title), F.lit(", "), short), short
+    short = F.concat(F.lit("Chap. "), chapter, F.lit(", s. "), section)
+    return F.concat(citation_title(title), F.lit(", "), short, dated), short
 
 
 def parse_iso_date(raw: Column) -> Column:

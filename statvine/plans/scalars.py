@@ -42,8 +42,8 @@ def citation_title(spark, d):
     return chapters(spark, d).select("chapter_id", C.citation_title(F.expr(TITLE)).alias("citation_title"))
 
 
-@query(SQL + rf"""SELECT download_id, l_suppkey, section_ref, chapter_number, title_ || ', ' || short AS long_form, short AS short_form FROM (SELECT *, {_TITLE_SQL} AS title_,
-'Chap. ' || chapter_number || ', s. ' || section_ref || CASE WHEN download_id % 2 = 0 THEN ' (version available as at ' || strftime(as_at_date, '%-d %B %Y') || ')' ELSE '' END AS short FROM (SELECT *, title AS bare FROM versions))""")
+@query(SQL + rf"""SELECT download_id, l_suppkey, section_ref, chapter_number, title_ || ', ' || short || dated AS long_form, short AS short_form FROM (SELECT *, {_TITLE_SQL} AS title_,
+'Chap. ' || chapter_number || ', s. ' || section_ref AS short, CASE WHEN download_id % 2 = 0 THEN ' (version available as at ' || strftime(as_at_date, '%-d %B %Y') || ')' ELSE '' END AS dated FROM (SELECT *, title AS bare FROM versions))""")
 def format_citation(spark, d):
     long, short = C.format_citation(F.col("title"), F.col("chapter_number"), F.col("section_ref"), F.when(F.col("download_id") % 2 == 0, F.col("as_at_date")))
     return versions(spark, d).select("download_id", "l_suppkey", "section_ref", "chapter_number", long.alias("long_form"), short.alias("short_form"))
