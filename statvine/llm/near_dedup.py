@@ -8,7 +8,9 @@ exponential variate of each shingle, on a scale of powers of ``BASE``, truncated
 1. texts of the same words form one class, represented by its least doc_id; copies are never expanded;
 2. bands of registers deal the classes into buckets; each class meets the least class of its bucket, and the joint
    likelihood of both sketches estimates their similarity; those of ``LEAST_ESTIMATE`` and more
-   join into clusters, which is far below any link's similarity, as leaders are only a meeting point;
+   join into clusters, which is far below any link's similarity, as leaders are only a meeting point. In buckets
+   that still hold several clusters, all pairs of different clusters meet in the same way, so none is lost to
+   an unlike leader; buckets of more than ``MEET`` rows are cut into blocks that meet in pairs;
 3. within a cluster all pairs that are not yet connected are compared on their full sets, exactly, in numpy:
    one set against all others at a time. A cluster of more than ``BLOCK`` shingles is cut into blocks and each two blocks
    meet in a task of their own, so no task holds more than two blocks. Only links that connect something new are
@@ -40,6 +42,8 @@ REGISTERS = BANDS * WIDTH
 BASE, RATE = 1.1, 20.0
 LEAST_ESTIMATE = 0.5
 BLOCK = 2_000_000
+#: Rows of a bucket in a block.
+MEET = 4096
 #: Words whose hashes a task remembers.
 CACHE = 300_000
 _ODD = np.random.default_rng(9).integers(0, 1 << 31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -201,13 +205,75 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def meet(registers: np.ndarray, size: np.ndarray, label: np.ndarray, part: np.ndarray, within: tuple[bool, bool]) -> list[tuple[int, int]]:
+    """Pairs of labels to join, so that all pairs of rows of an estimate of at least ``LEAST_ESTIMATE`` share one.
+
+    part, within: as in ``link``.
+    """
+    names, label, times = np.unique(label, return_inverse=True, return_counts=True)
+    main = label == times.argmax()  # these share a label already
+    rest, found = np.flatnonzero(~main), []
+    for x in rest.tolist():
+        good = (main | (np.arange(len(label)) > x)) & (label != label[x])
+        good &= np.minimum(size, size[x]) >= LEAST_ESTIMATE * np.maximum(size, size[x])
+        if not within[part[x]]:
+            good &= part != part[x]
+        ys = np.flatnonzero(good)
+        # registers of similar sets are equal at least as often as the sets are similar
+        ys = ys[(registers[ys] == registers[x]).sum(1) >= LEAST_ESTIMATE * REGISTERS]
+        if len(ys):
+            ys = ys[estimate(registers[ys], np.broadcast_to(registers[x], (len(ys), REGISTERS)), size[ys], np.full(len(ys), size[x])) >= LEAST_ESTIMATE]
+        for y in np.unique(label[ys]).tolist():
+            found.append((int(names[y]), int(names[label[x]])))
+        label[np.isin(label, label[ys])] = label[x]
+    return found
+
+
+def unmet(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: labels to join, from the buckets whose classes (without the leader, who met all) have several labels."""
+    rows = shared.where("n > 2").select("bucket", "class").join(labels, "class", "left").select("bucket", "class", F.coalesce("cluster", "class").alias("label"))
+    counted = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.lit(MEET)).cast("int").alias("blocks"))
+    rows = rows.join(counted.where("x < y").select("bucket", "blocks"), "bucket")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int")).join(classes.select("class", "n_shingles", "registers"), "class")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    dealt = rows.withColumn("other", F.explode(others)).select("bucket", "label", "blocks", "own", "n_shingles", "registers", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    schema = "a long, b long"
+    arrow = arrow_schema(classes.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            label, own, size, registers = zip(*held)
+            _, i, j, blocks = key
+            within = (True, True) if blocks == 1 else (j == i + 1, j == i + 1 and j == blocks - 1)
+            table = np.frombuffer(b"".join(registers), np.uint8).reshape(-1, REGISTERS)
+            return meet(table, np.array(size, float), np.array(label, np.int64), (np.array(own) != i).astype(int), within)
+
+        for batch in batches:
+            out = []
+            for bucket, i, j, blocks, *row in zip(*(batch[x].to_pylist() for x in ("bucket", "i", "j", "blocks", "label", "own", "n_shingles", "registers"))):
+                if (bucket, i, j, blocks) != key:
+                    out += found()
+                    key, held = (bucket, i, j, blocks), []
+                held.append(row)
+            yield to_batch(out, arrow)
+        yield to_batch(found(), arrow)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def clusters(classes: DataFrame) -> DataFrame:
     """class, cluster of the classes that meet another one."""
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * WIDTH + 1, F.lit(WIDTH)))))
     rows = classes.where("n_shingles > 0").select("class", bands.alias("band", "bucket")).select("class", F.xxhash64("band", "bucket").alias("bucket"))
     # partial minima shrink a hot bucket before the shuffle; most buckets hold one class and leave here
-    leaders = rows.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader < last").select("bucket", "leader")
-    met = rows.join(leaders, "bucket").where("class <> leader").select("class", "leader").distinct()
+    leaders = rows.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.count("*").alias("n")).where("leader < last").select("bucket", "leader", "n")
+    shared = stash(rows.join(leaders, "bucket").where("class <> leader"), "dedup-shared")
+    met = shared.select("class", "leader").distinct()
     one = classes.select("class", "n_shingles", "registers")
     pairs = met.join(one, "class").join(one.select(F.col("class").alias("leader"), F.col("n_shingles").alias("n"), F.col("registers").alias("r")), "leader")
 
@@ -220,7 +286,15 @@ def clusters(classes: DataFrame) -> DataFrame:
         return list(zip(batch["class"].to_numpy()[good].tolist(), batch["leader"].to_numpy()[good].tolist()))
 
     edges = map_rows(pairs, likely, "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    labels = stash(connected_components(edges).select(F.col("node").alias("class"), F.col("label").alias("cluster")), "dedup-met")
+    more = stash(unmet(shared, classes, labels), "dedup-unmet")
+    if more.isEmpty():
+        return labels
+    joined = connected_components(more)
+    # a class without a cluster is its own label
+    known = labels.join(joined.select(F.col("node").alias("cluster"), "label"), "cluster", "left").select("class", F.coalesce("label", "cluster").alias("cluster"))
+    alone = joined.join(labels.select(F.col("cluster").alias("node")).distinct(), "node", "left_anti")
+    return known.unionByName(alone.select(F.col("node").alias("class"), F.col("label").alias("cluster")))
 
 
 def links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size: int, percent: int) -> DataFrame:

@@ -346,6 +346,51 @@ def test_near_duplicates(docs, rows, none, size, percent, monkeypatch):
     assert alone["component_id"] is None and alone["kept"]
 
 
+def test_near_copies_meet_though_longer_documents_lead_their_buckets(spark, monkeypatch):
+    """A passage stands alone in two near copies, and in many longer documents; these have the least numbers."""
+    rng = np.random.default_rng(4)
+    own = lambda n: rng.integers(0, 1 << 63, n, np.uint64)
+    passage = own(60)
+    bands = lambda r: r.reshape(near_dedup.BANDS, near_dedup.WIDTH)
+    x, y = (near_dedup.sketch(np.concatenate([passage, own(5)])) for _ in range(2))
+    long = [near_dedup.sketch(np.concatenate([passage, own(72)])) for _ in range(5000)]
+    common = (bands(x) == bands(y)).all(1)
+    long = [s for s in long if (bands(s) == bands(x)).all(1)[common].any()]
+    assert common.any() and all(any((bands(s)[band] == bands(x)[band]).all() for s in long) for band in np.flatnonzero(common))
+    rows = [(n, 132, bytearray(s.tobytes())) for n, s in enumerate(long)] + [(10_000, 65, bytearray(x.tobytes())), (10_001, 65, bytearray(y.tobytes()))]
+    classes = spark.createDataFrame(rows, "class long, n_shingles long, registers binary")
+    for block in (4096, 8):  # whole buckets, and buckets cut into blocks
+        monkeypatch.setattr(near_dedup, "MEET", block, raising=False)
+        got = {r["class"]: r["cluster"] for r in near_dedup.clusters(classes).collect()}
+        assert got.get(10_000) is not None and got.get(10_000) == got.get(10_001)
+
+
+def test_meeting_joins_what_all_pairs_join():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        at = rng.choice(150, rng.integers(0, 110), replace=False)
+        s[at] = rng.integers(0, 1 << 60, len(at)).astype(np.uint64)
+        sets.append(s)
+    table, size, label = np.array([near_dedup.sketch(s) for s in sets]), np.full(60, 150.0), rng.integers(0, 40, 60)
+    part = (np.arange(60) % 2).astype(int)
+    for within in ((True, True), (True, False), (False, False)):
+        truth, mine = label.copy(), label.copy()
+        for a in range(60):
+            for b in range(a):
+                pair = near_dedup.estimate(table[[a]], table[[b]], size[[a]], size[[b]])[0]
+                equal = (table[a] == table[b]).mean()
+                if (part[a] != part[b] or within[part[a]]) and min(pair, equal) >= near_dedup.LEAST_ESTIMATE:
+                    truth[truth == truth[a]] = truth[b]
+        found = near_dedup.meet(table, size, label, part, within)
+        for a, b in found:
+            at_a, at_b = mine[label == a][0], mine[label == b][0]
+            mine[mine == at_a] = at_b
+        assert len(set(zip(truth, mine))) == len(set(truth)) == len(set(mine)) < len(set(label))
+
+
 def test_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
