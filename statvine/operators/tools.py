@@ -28,10 +28,10 @@ class Library:
     citations: DataFrame
 
 
-def _shown(df: DataFrame, order: list, limit: int, *, source_id: Column, line: Column, kind: str, title: Column, chapter: Column | str = "", section: Column | str = "", date: Column | str = "", url: Column | str = "") -> DataFrame:
-    place = F.row_number().over(Window.orderBy(*order)) - 1  # over `limit` rows
+def _shown(df: DataFrame, order: list, limit: int | None, *, source_id: Column, line: Column, kind: str, title: Column, chapter: Column | str = "", section: Column | str = "", date: Column | str = "", url: Column | str = "", keys: tuple[str, ...] = ()) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1  # over `limit` rows, or all rows of the keys
     text = lambda c, name: F.coalesce(F.lit(c).cast("string"), F.lit("")).alias(name)
-    top = df.orderBy(*order).limit(limit)
+    top = df if limit is None else df.orderBy(*order).limit(limit)
     return top.select(place.alias("place"), text(source_id, "source_id"), F.lit(kind).alias("kind"), text(title, "title"), text(chapter, "chapter"), text(section, "section"), text(date, "date"), text(url, "url"), line.alias("line"))
 
 
@@ -58,12 +58,12 @@ def search_provisions(lib: Library, query: str, chapter: str = "", date: str = "
     return _shown(named, [F.desc("score"), F.col("key")], limit, source_id=F.concat(F.lit("chunk:"), "chunk_id"), line=_version(_place(section)), kind="statute", title=F.col("title"), chapter=F.col("chapter_number"), section=F.col("section_ref"), date=F.col("as_at_date"), url=pdf_url(F.col("download_id")))
 
 
-def lookup_section(lib: Library, chapter: str, section: str, date: str = "", limit: int = 100) -> DataFrame:
-    """The version of a provision on a day, or its versions, the newest first."""
+def lookup_section(lib: Library, chapter: str, section: str, date: str = "", limit: int | None = None) -> DataFrame:
+    """The version of a provision on a day, or all its versions, the newest first."""
     rows = lib.chunks.where((F.col("chapter_number") == chapter) & (F.col("section_ref") == section))
     rows = temporal.as_of(rows, date) if date else rows
     order = [F.col("as_at_date").desc_nulls_last(), F.col("download_id").desc(), F.col("chunk_id")]
-    numbered = _shown(rows, order, limit, source_id=F.col("download_id"), line=_version(_place(F.col("section_ref"))), kind="statute", title=F.col("chapter_number"), chapter=F.col("chapter_number"), section=F.col("section_ref"), date=F.col("as_at_date"), url=pdf_url(F.col("download_id")))
+    numbered = _shown(rows, order, limit, source_id=F.col("download_id"), line=_version(_place(F.col("section_ref"))), kind="statute", title=F.col("chapter_number"), chapter=F.col("chapter_number"), section=F.col("section_ref"), date=F.col("as_at_date"), url=pdf_url(F.col("download_id")), keys=("chapter_number", "section_ref"))
     return numbered.withColumn("source_id", F.concat_ws(":", F.lit("lookup"), "source_id", "place"))
 
 

@@ -43,6 +43,13 @@ def test_lookup_and_search(library):
     assert shown(tools.search_provisions(library, "debtors", chapter="9:01"), "source_id") == []
 
 
+def test_lookup_shows_every_version(spark, library):
+    rows = [(n, "8:08", "1", "text", DAY(2000, 1, 1) + datetime.timedelta(n), n, "") for n in range(150)]
+    many = tools.Library(library.chapters, spark.createDataFrame(rows, library.chunks.schema), library.cases, library.citations)
+    assert shown(tools.lookup_section(many, "8:08", "1"), "source_id") == [(f"lookup:{149 - n}:{n}",) for n in range(150)]
+    assert len(shown(tools.lookup_section(many, "8:08", "1", limit=3), "source_id")) == 3
+
+
 def test_resolve(library):
     (hit,) = tools.resolve_citation(library, "Chap. 8:8", "s. 1").collect()
     assert hit["source_id"] == "chunk:2" and hit["line"].split("\n") == ["found", "Absconding Debtors Act, Chap. 8:08, s. 1 (version available as at 31 December 2016)", "Chap. 8:08, s. 1", "Short title, as amended by the Debtors Act"]
