@@ -2,8 +2,8 @@
 
 Features of a text are its words (ASCII lower case, punctuation apart) and their beginnings of 4 to 6 bytes.
 From labelled rows outside the held-out fold, up to ``EXAMPLES`` of them (the documented bound; smallest hash
-of the id first), the features whose presence depends on the label (chi-squared of at least ``LEAST_CHI``, at
-most ``FEATURES`` of them) are kept. Texts become TF-IDF vectors over these; cosine search is exact:
+of the id first; of rows of equal words and label, the one of the least id), the features whose presence
+depends on the label (chi-squared of at least ``LEAST_CHI``, at most ``FEATURES`` of them) are kept. Texts become TF-IDF vectors over these; cosine search is exact:
 an inverted index over the examples is cut into blocks of ``BLOCK`` neighbouring examples with the largest
 weight of each feature, blocks are visited by their upper bound, and the search stops when no bound
 reaches the k-th best. Neighbours vote with weight 1 / (distance + 0.05); an isotonic map, fitted to the
@@ -18,14 +18,14 @@ label, or with labels of one kind only, scores are the smoothed rate (0.5 withou
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statvine.llm.common import WHITESPACE, arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
@@ -52,20 +52,16 @@ def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Dat
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.where(fold_remainder("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = bare(docs).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
-    signed = map_rows(joined.select("doc_id", "toxic", "text"), _sign, "doc_id long, toxic int, text binary, sign0 long, sign1 long")
-    one = signed.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text", "sign0", "sign1"), "text").alias("x")).select("doc_id", "x.*")
-    for sign in ("sign0", "sign1"):
-        first = F.row_number().over(Window.partitionBy(sign).orderBy("doc_id"))
-        one = one.withColumn("nth", first).where("nth = 1")
-    return stash(one.select("doc_id", "toxic", "text"), "toxicity-examples")
+    signed = map_rows(joined.select("doc_id", "toxic", "text"), _digest, "doc_id long, toxic int, text binary, digest binary")
+    one = signed.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text", "digest"), "text").alias("x")).select("doc_id", "x.*")
+    copies = one.groupBy("toxic", "digest").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x"))
+    return stash(copies.select("x.doc_id", "toxic", "x.text"), "toxicity-examples")
 
 
-def _sign(batch: pa.RecordBatch):
-    """The least of two hashes of the 5-word windows; a short text is one window."""
+def _digest(batch: pa.RecordBatch):
+    """The digest of the words: copies of one label count once."""
     for doc_id, toxic, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text"))):
-        own = words(text)
-        windows = [b" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))]
-        yield doc_id, toxic, text, min(map(zlib.crc32, windows)), min(zlib.crc32(w, 1) ^ 0x5BD1E995 for w in windows)
+        yield doc_id, toxic, text, hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest()
 
 
 def choose_features(examples: DataFrame, most: int = FEATURES) -> DataFrame:

@@ -285,6 +285,23 @@ def test_toxicity(spark, docs, none):
     assert {r["score"] for r in toxicity_knn.score(docs, empty).select("score").distinct().collect()} == {0.5}
 
 
+def test_only_copies_of_one_label_count_once(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(200))
+    made = [(i, " ".join(word() for _ in range(60)) + (f" {passage}" if i % 3 else ""), int(i % 8 == 0)) for i in range(300)]
+    made += [(1000 + i, text.upper(), toxic) for i, text, toxic in made[:40]]  # copies
+    made += [(2000 + i, text, 1 - toxic) for i, text, toxic in made[:40]]  # of the other label
+    learnt = [r for r in made if zlib.crc32(str(r[0]).encode()) % 5]
+    truth: dict = {}
+    for i, text, toxic in learnt:
+        truth.setdefault((text.lower(), toxic), i)
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    got = toxicity_knn.examples_of(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in got) == sorted((i, toxic) for (_, toxic), i in truth.items())
+    assert len(truth) < len(learnt)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
     vectors = []
