@@ -51,7 +51,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity_knn.score(docs, toxicity_knn.fit(docs, table(spark, sf_dir, "labels"))).drop("evidence")
+    return toxicity_knn.score(docs, toxicity_knn.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
 """Operator 8, toxicity from the nearest labelled examples.
 
-Features of a text are its words (ASCII lower case, punctuation apart) and their beginnings of 4 to 6 bytes.
-From labelled rows outside the held-out fold, up to ``EXAMPLES`` of them (the documented bound; smallest hash
-of the id first; of rows of equal words and label, the one of the least id), the features whose presence
-depends on the label (chi-squared of at least ``LEAST_CHI``, at most ``FEATURES`` of them) are kept. Texts become TF-IDF vectors over these; cosine search is exact:
-an inverted index over the examples is cut into blocks of ``BLOCK`` neighbouring examples with the largest
-weight of each feature, blocks are visited by their upper bound, and the search stops when no bound
+Terms of a text are its words (ASCII lower case, punctuation apart) and their beginnings of 4 and 6 bytes. The examples are
+labelled rows outside the held-out fold: at most ``EXAMPLES`` of them with at most ``MOST_BYTES`` of text together (the
+documented bound; smallest hash of the id first). Rows of equal words and equal label count once, all others stay.
+Texts become unit TF-IDF vectors over all terms of the examples: (1 + ln tf) * idf * relevance, where relevance is
+``LEAST_RELEVANCE`` plus the standardised difference between how many toxic examples hold a term and how many
+would by chance. Every term keeps a weight; none is dropped, however rare or unrelated.
+
+Cosine search is exact: an inverted index over the examples is cut into blocks of ``BLOCK`` neighbouring examples
+with the largest weight of each term, blocks are visited by their upper bound, and the search stops when no bound
 reaches the k-th best. Neighbours vote with weight 1 / (distance + 0.05); an isotonic map, fitted to the
 examples' own votes without themselves, turns votes into probabilities. The three nearest are kept as evidence.
 
-The index holds at most EXAMPLES x the features of a text and is broadcast; nothing that grows with the
-corpus is. Inputs of a score are texts alone. Null or empty texts, and texts without any kept feature, get
-the smoothed share of toxic examples among the examples without features. Repeated ids in ``labels``: toxic if
-one row says so; null ids or labels are not used. A text never votes for its own id. Without any usable
-label, or with labels of one kind only, scores are the smoothed rate (0.5 without rows).
+The index is bounded with the examples and is broadcast; nothing that grows with the corpus is. A score depends on the
+text alone: equal texts score equally under any id, and an example's own text finds that example at distance 0.
+Null or empty texts, and texts without any known term, get the share of toxic examples among those without
+terms, smoothed towards the share of all. Repeated ids in ``labels``: toxic if one row says so; null ids or labels
+are not used; of several texts under one id the least is the example. Without any usable label, or with labels of
+one kind only, scores are the smoothed rate (0.5 without rows).
 """
 
 from __future__ import annotations
@@ -22,17 +26,24 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statvine.llm.common import WHITESPACE, arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
 
-EXAMPLES, FEATURES, LEAST_CHI, LEAST_TEXTS = 20_000, 4096, 60.0, 5
-BLOCK, NEIGHBOURS = 128, 15
-#: Words that a task remembers the features of.
+EXAMPLES, MOST_BYTES = 3072, 32_000_000
+BEGINNINGS = (4, 6)
+LEAST_RELEVANCE = 0.1
+BLOCK, NEIGHBOURS, SHOWN = 128, 15, 3
+#: Blocks that are visited before any bound is compared, if the next bound is below this share of the highest; where
+#: bounds are flat, hardly a block would be left out.
+BEGIN, FLAT = 4, 0.6
+#: Words that a task remembers the terms of.
 CACHE = 200_000
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 assert all(_PLAIN[b] == 32 for b in WHITESPACE)
@@ -42,12 +53,12 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word itself, marked by a trailing blank, and its beginnings."""
-    return [word + b" ", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
+def terms_of(word: bytes) -> list[int]:
+    """The word itself, marked by a trailing blank, and its beginnings, as 64-bit hashes."""
+    return [xxhash.xxh3_64_intdigest(x) for x in (word + b" ", *(word[:n] for n in BEGINNINGS if len(word) >= n))]
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
+def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, toxic, text of the labelled rows to learn from."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.where(fold_remainder("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -55,7 +66,10 @@ def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Dat
     signed = map_rows(joined.select("doc_id", "toxic", "text"), _digest, "doc_id long, toxic int, text binary, digest binary")
     one = signed.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text", "digest"), "text").alias("x")).select("doc_id", "x.*")
     copies = one.groupBy("toxic", "digest").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x"))
-    return stash(copies.select("x.doc_id", "toxic", "x.text"), "toxicity-examples")
+    examples = stash(copies.select("x.doc_id", "toxic", "x.text"), "toxicity-examples")
+    sizes = examples.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()  # at most `most` rows
+    within = np.cumsum([r["size"] for r in sizes]) <= most_bytes
+    return examples if within.all() else examples.where(F.col("doc_id").isin([r["doc_id"] for r, good in zip(sizes, within) if good]))
 
 
 def _digest(batch: pa.RecordBatch):
@@ -64,114 +78,163 @@ def _digest(batch: pa.RecordBatch):
         yield doc_id, toxic, text, hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest()
 
 
-def choose_features(examples: DataFrame, most: int = FEATURES) -> DataFrame:
-    """feature, n (examples that hold it) of the features that depend on the label."""
+def weigh_terms(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all terms of the examples, ascending, and what a single occurrence weighs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
-                own: set[bytes] = set()
+                own: set[int] = set()
                 for w in set(words(text)):
-                    own.update(features_of(w))
+                    own.update(terms_of(w))
                 found[bool(toxic)].update(own)
-        rows = [(f, n if kind else 0, 0 if kind else n) for kind in (0, 1) for f, n in found[kind].items()]
-        for at in range(0, len(rows), 50_000):
-            yield to_batch(rows[at : at + 50_000], arrow)
+        for kind in (0, 1):
+            term, n = np.array(list(found[kind]), np.uint64).view(np.int64), np.array(list(found[kind].values()), np.int64)
+            for at in range(0, len(term), 200_000):
+                part = n[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(term[at : at + 200_000]), pa.array(part * kind), pa.array(part)], schema=arrow)
 
-    schema = "feature binary, toxic long, clean long"
+    schema = "term long, toxic long, n long"
     arrow = arrow_schema(examples.sparkSession, schema)
     total = examples.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
-    t, n = float(total["t"]), float(total["n"])
-    counts = examples.mapInArrow(count, schema).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = n * (a * (n - t) - b * t) ** 2 / F.greatest((a + b) * t * (n - t) * (n - a - b), F.lit(1e-9))
-    return counts.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(most).select("feature", (F.col("a") + F.col("b")).alias("n"))
+    n, share = total["n"], total["t"] / max(1, total["n"])
+    counts = examples.mapInArrow(count, schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toArrow()  # the terms of the examples
+    term = counts["term"].to_numpy().view(np.uint64)
+    toxic, held = counts["toxic"].to_numpy().astype(float), counts["n"].to_numpy().astype(float)
+    by_chance = share * (1 - share) * held * (1 - held / max(1, n))
+    relevance = LEAST_RELEVANCE + np.abs(toxic - held * share) / np.sqrt(by_chance + 0.5)
+    order = np.argsort(term)
+    return term[order], ((np.log((1 + n) / (1 + held)) + 1) * relevance)[order]
 
 
 class Vectors:
-    """Texts to unit TF-IDF vectors over the chosen features."""
+    """Texts to unit TF-IDF vectors over the known terms."""
 
-    def __init__(self, number: dict[bytes, int], idf: np.ndarray) -> None:
-        self.number, self.idf = number, idf
+    def __init__(self, term: np.ndarray, weight: np.ndarray) -> None:
+        self.term, self.weight = term, weight
         self.known: dict[bytes, tuple[int, ...]] = {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        made = [terms_of(w) for w in new]
+        wanted = np.array([t for own in made for t in own], np.uint64)
+        at = np.searchsorted(self.term, wanted)
+        at[at == len(self.term)] = 0
+        found = np.where(self.term[at] == wanted, at, -1).tolist() if len(self.term) else [-1] * len(wanted)
+        begin = 0
+        for w, own in zip(new, made):
+            self.known[w] = tuple(i for i in found[begin : begin + len(own)] if i >= 0)
+            begin += len(own)
+
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        known, counts = self.known, Counter()
-        for w in words(text):
-            own = known.get(w)
-            if own is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                own = known[w] = tuple(self.number[f] for f in features_of(w) if f in self.number)
-            if own:
-                counts.update(own)
-        ids = np.array(sorted(counts), np.int64)
-        weight = np.array([1 + np.log(counts[i]) for i in ids.tolist()]) * self.idf[ids]
-        norm = np.sqrt((weight * weight).sum())
-        return ids, weight / norm if norm else weight
+        times = Counter(words(text))
+        known = self.known
+        new = [w for w in times if w not in known]
+        if new:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(times)
+            self._learn(new)
+        own = [known[w] for w in times]
+        ids = np.fromiter(chain.from_iterable(own), np.int64)
+        if not len(ids):
+            return ids, np.zeros(0)
+        tf = np.repeat(np.fromiter(times.values(), np.int64, len(times)), np.fromiter(map(len, own), np.int64, len(own)))
+        ids, at = np.unique(ids, return_inverse=True)
+        weight = (1 + np.log(np.bincount(at, tf))) * self.weight[ids]
+        return ids, weight / np.sqrt((weight * weight).sum())
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
 
 
 @dataclass
 class BlockMax:
-    """Postings by feature, over examples sorted so that like ones are neighbours."""
+    """Postings by term, then example, over examples sorted so that like ones are neighbours."""
 
-    starts: np.ndarray  # by feature, into example and weight
+    first: np.ndarray  # by term, into entries; an entry is a term in a block
+    block: np.ndarray  # by entry
+    top: np.ndarray  # by entry: the largest weight
+    start: np.ndarray  # by entry, into postings
     example: np.ndarray
     weight: np.ndarray
-    top: np.ndarray  # feature x block: the largest weight
     n: int
 
     @classmethod
-    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_features: int) -> BlockMax:
-        owner = np.repeat(np.arange(len(vectors)), [len(i) for i, _ in vectors])
-        feature = np.concatenate([i for i, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((owner, feature))
-        top = np.zeros((n_features, len(vectors) // BLOCK + 1))
-        np.maximum.at(top, (feature, owner // BLOCK), weight)
-        starts = np.searchsorted(feature[order], np.arange(n_features + 1))
-        return cls(starts, owner[order], weight[order], top, len(vectors))
+    def build(cls, lengths: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> BlockMax:
+        """lengths: the number of terms of each example; term, weight: theirs, side by side."""
+        owner = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+        order = np.argsort(term, kind="stable")
+        term, owner, weight = term[order], owner[order], weight[order].astype(np.float32)
+        block = owner // np.uint16(BLOCK)
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        top = np.maximum.reduceat(weight, start) if len(start) else weight
+        first = np.searchsorted(term[start], np.arange(n_terms + 1)).astype(np.int32)
+        return cls(first, block[start], top, np.append(start, len(term)).astype(np.int64), owner, weight, len(lengths))
 
     def search(self, ids: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, and the cosines; ties: the smaller number first. but: is left out."""
-        bounds = weight @ self.top[ids]
+        begin, end = self.first[ids], self.first[ids + 1]
+        entry = _ranges(begin, end - begin)
+        block, of_entry = self.block[entry], np.repeat(weight, end - begin)
+        bounds = np.bincount(block, of_entry * self.top[entry], self.n // BLOCK + 1)
         visit = np.argsort(-bounds, kind="stable")
         visit = visit[bounds[visit] > 0]
-        who, how = np.zeros(0, np.int64), np.zeros(0)
-        lists = [(self.starts[i], self.starts[i + 1], w) for i, w in zip(ids.tolist(), weight.tolist())]
-        for at in range(0, len(visit), 4):
-            some = visit[at : at + 4]
-            if len(how) >= k and bounds[some[0]] < how[k - 1] - 1e-12:
-                break
-            for block in some.tolist():
-                score = np.zeros(BLOCK)
-                for a, b, w in lists:
-                    lo, hi = a + np.searchsorted(self.example[a:b], (block * BLOCK, block * BLOCK + BLOCK))
-                    score[self.example[lo:hi] - block * BLOCK] += w * self.weight[lo:hi]
-                if 0 <= but - block * BLOCK < BLOCK:
-                    score[but - block * BLOCK] = 0
-                own = np.flatnonzero(score)
-                who, how = np.concatenate([who, own + block * BLOCK]), np.concatenate([how, score[own]])
-            best = np.lexsort((who, -np.round(how, 12)))[:k]
-            who, how = who[best], how[best]
-        return who, how
+
+        def visited(blocks: np.ndarray) -> np.ndarray:
+            chosen = np.zeros(len(bounds), bool)
+            chosen[blocks] = True
+            own = np.flatnonzero(chosen[block])
+            return self._add_up(self.start[entry[own]], self.start[entry[own] + 1], of_entry[own])
+
+        left, score = visit, None
+        if len(visit) > BEGIN and bounds[visit[BEGIN]] < FLAT * bounds[visit[0]]:
+            score = visited(visit[:BEGIN])
+            best = self._best(score, k, but)
+            left = visit[BEGIN:]
+            if len(best) == k:
+                left = left[bounds[left] >= score[best[-1]] - 1e-9]
+        if len(left):
+            # where most blocks are left, whole lists are cheaper than their parts
+            score = self._add_up(self.start[begin], self.start[end], weight) if score is None or 2 * len(left) > len(visit) else score + visited(left)
+            best = self._best(score, k, but)
+        return best, score[best]
+
+    def _add_up(self, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The scores of all examples from the postings of these ranges."""
+        posting = _ranges(begin, end - begin)
+        return np.bincount(self.example[posting], np.repeat(weight, end - begin) * self.weight[posting], self.n)
+
+    def _best(self, score: np.ndarray, k: int, but: int) -> np.ndarray:
+        shown = np.round(score, 9)
+        if but >= 0:
+            shown[but] = 0
+        high = np.flatnonzero(shown >= np.partition(shown, -k)[-k]) if k < self.n else np.arange(self.n)
+        high = high[shown[high] > 0]
+        return high[np.lexsort((high, -shown[high]))][:k]
 
 
 @dataclass
 class Model:
-    number: dict[bytes, int]
-    idf: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
     index: BlockMax
     doc_id: np.ndarray
     toxic: np.ndarray
     empty_rate: float
     steps: tuple[np.ndarray, np.ndarray]  # votes and calibrated probabilities, both ascending
-    position: dict[int, int]
 
-    def vote(self, vectors: Vectors, doc_id: int | None, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+    def vectors(self) -> Vectors:
+        return Vectors(self.term, self.weight)
+
+    def vote(self, vectors: Vectors, text: bytes, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of toxic votes (-1: no neighbours), the neighbours and their cosines. but: an example that has no vote."""
         ids, weight = vectors(text)
-        who, how = self.index.search(ids, weight, NEIGHBOURS, self.position.get(doc_id, -1)) if len(ids) else (np.zeros(0, np.int64), np.zeros(0))
+        who, how = self.index.search(ids, weight, NEIGHBOURS, but) if len(ids) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(who):
             return -1.0, who, how
         votes = 1 / (np.maximum(0, 1 - how) + 0.05)
@@ -196,35 +259,42 @@ def _isotonic(values: np.ndarray, hits: np.ndarray, rows: np.ndarray) -> tuple[n
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     examples = examples_of(docs, labels, most)
-    chosen = choose_features(examples).collect()  # at most FEATURES rows
-    number = {bytes(r["feature"]): i for i, r in enumerate(chosen)}
-    n = examples.count()
-    idf = np.array([np.log((1 + n) / (1 + r["n"])) + 1 for r in chosen])
+    spark = examples.sparkSession
+    term, weight = weigh_terms(examples)
+    terms = spark.sparkContext.broadcast((term, weight))
     made: list[Vectors] = []
 
     def vectorise(batch: pa.RecordBatch):
         if not made:
-            made.append(Vectors(number, idf))
+            made.append(Vectors(*terms.value))
         for doc_id, toxic, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text"))):
-            ids, weight = made[0](text)
-            yield doc_id, toxic, ids.tolist(), weight.tolist()
-
-    rows = map_rows(examples, vectorise, "doc_id long, toxic int, ids array<int>, weight array<double>").collect()  # at most `most` rows
-    rows.sort(key=lambda r: (r["ids"][int(np.argmax(r["weight"]))] if r["ids"] else -1, r["ids"], r["doc_id"]))
-    doc_id, toxic = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.float64)
-    vectors = [(np.array(r["ids"], np.int64), np.array(r["weight"])) for r in rows]
-    none = np.array([not r["ids"] for r in rows], bool)
-    empty_rate = float((toxic[none].sum() + 0.5) / (none.sum() + 1))
-    model = Model(number, idf, BlockMax.build(vectors, len(number)), doc_id, toxic, empty_rate, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), {d: i for i, d in enumerate(doc_id.tolist())})
-    held = examples.sparkSession.sparkContext.broadcast(model)
+            ids, own = made[0](text)
+            main = int(ids[np.argmax(own)]) if len(ids) else -1
+            yield doc_id, toxic, main, ids.astype(np.uint32).tobytes(), own.astype(np.float32).tobytes()
+
+    # at most `most` rows, like ones side by side
+    rows = map_rows(examples, vectorise, "doc_id long, toxic int, main int, ids binary, weight binary").orderBy("main", F.octet_length("ids"), "doc_id").toArrow()
+    terms.destroy()
+    joined = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
+    doc_id, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
+    lengths = np.array([len(x) // 4 for x in rows["ids"].to_pylist()], np.int64)
+    rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
+    empty_rate = float((toxic[lengths == 0].sum() + rate) / ((lengths == 0).sum() + 1))
+    index = BlockMax.build(lengths, joined("ids", np.uint32), joined("weight", np.float32), len(term))
+    model = Model(term, weight, index, doc_id, toxic, empty_rate, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    if not 0 < toxic.sum() < len(toxic):
+        model.steps = (np.array([0.0, 1.0]), np.array([rate, rate]))
+        return model
+    held = spark.sparkContext.broadcast(model)
+    places = F.broadcast(spark.createDataFrame(pa.table({"doc_id": doc_id, "place": np.arange(len(doc_id))})))  # at most `most` rows
 
     def own_votes(batch: pa.RecordBatch):
         m = held.value
-        own = Vectors(m.number, m.idf)
-        for d, y, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text"))):
-            yield round(m.vote(own, d, text)[0] * 50), y
+        own = m.vectors()
+        for place, y, text in zip(*(batch[c].to_pylist() for c in ("place", "toxic", "text"))):
+            yield round(m.vote(own, text, place)[0] * 50), y
 
-    found = map_rows(examples, own_votes, "step int, toxic int").where("step >= 0").groupBy("step").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("step").collect()  # at most 51 rows
+    found = map_rows(examples.join(places, "doc_id").select("place", "toxic", "text"), own_votes, "step int, toxic int").where("step >= 0").groupBy("step").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("step").collect()  # at most 51 rows
     if found:
         model.steps = _isotonic(np.array([r["step"] / 50 for r in found]), np.array([float(r["t"]) for r in found]), np.array([float(r["n"]) for r in found]))
     held.destroy()
@@ -239,11 +309,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batch: pa.RecordBatch):
         m = held.value
         if not made:
-            made.append(Vectors(m.number, m.idf))
+            made.append(m.vectors())
         for doc_id, held_out, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "held_out", "text"))):
-            vote, who, how = m.vote(made[0], doc_id, text)
+            vote, who, how = m.vote(made[0], text)
             s = m.score(vote)
-            near = [{"doc_id": int(m.doc_id[w]), "cosine": float(h), "toxic": int(m.toxic[w])} for w, h in zip(who[:3], how[:3])]
+            near = [{"doc_id": int(m.doc_id[w]), "cosine": round(float(h), 6), "toxic": int(m.toxic[w])} for w, h in zip(who[:SHOWN], how[:SHOWN])]
             yield doc_id, held_out, s, int(s >= 0.5), near
 
     schema = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
@@ -258,9 +328,9 @@ def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        vectors = Vectors(m.number, m.idf)
+        vectors = m.vectors()
         for batch in batches:
-            good = [m.score(m.vote(vectors, d, (t or "").encode())[0]) < 0.5 for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())]
+            good = [m.score(m.vote(vectors, (t or "").encode())[0]) < 0.5 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good, pa.bool_())).columns, schema=arrow)
 
     return docs.mapInArrow(run, schema)

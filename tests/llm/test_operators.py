@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statvine.llm import byte_bpe, chat_format, hmm_lm, media_png, near_dedup, packing, pii_spans, quality_rules, secret_scan, toxicity_knn
 
@@ -302,28 +303,91 @@ def test_only_copies_of_one_label_count_once(spark):
     assert len(truth) < len(learnt)
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("flat", [0.0, 0.6, 2.0])
+def test_block_max_search_is_exact(flat, monkeypatch):
+    monkeypatch.setattr(toxicity_knn, "FLAT", flat)  # always all blocks, as it is, always by bounds
     rng = np.random.default_rng(6)
     vectors = []
-    for _ in range(900):
+    for n in range(900):
         ids = np.sort(rng.choice(40, rng.integers(0, 5), replace=False))
-        w = rng.random(len(ids)) + 0.1
+        w = (rng.random(len(ids)) + 0.1).astype(np.float32)
         vectors.append((ids, w / np.linalg.norm(w) if len(w) else w))
-    index = toxicity_knn.BlockMax.build(vectors, 40)
+    vectors.sort(key=lambda v: v[0].tolist())  # like ones side by side, so that bounds differ
+    index = toxicity_knn.BlockMax.build(np.array([len(i) for i, _ in vectors]), np.concatenate([i for i, _ in vectors]), np.concatenate([w for _, w in vectors]), 40)
     dense = np.zeros((900, 40))
     for i, (ids, w) in enumerate(vectors):
         dense[i, ids] = w
     for q in range(0, 900, 7):
         ids, w = vectors[q]
         if len(ids):
-            who, how = index.search(ids, w, 15, but=q)
+            who, how = index.search(ids, w.astype(float), 15, but=q)
             truth = dense @ dense[q]
             truth[q] = 0
-            best = np.lexsort((np.arange(900), -np.round(truth, 12)))[:15]
+            best = np.lexsort((np.arange(900), -np.round(truth, 9)))[:15]
             best = best[truth[best] > 0]
             assert who.tolist() == best.tolist() and np.allclose(how, truth[best])
 
 
+def test_toxicity_from_plain_vectors(spark):
+    """Cosines, votes and evidence against dictionaries; equal texts score equally under any id."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7)))
+    vocabulary = [word() for _ in range(60)]
+    made = [(i, " ".join([f"own{i}", *rnd.choices(vocabulary, k=rnd.randint(1, 30))] + ["vileness"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(160)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    model = toxicity_knn.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    learnt = {i: (x, y) for i, x, y in made if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(model.doc_id.tolist()) == sorted(learnt) and model.toxic.tolist() == [learnt[i][1] for i in model.doc_id.tolist()]
+
+    def terms(text):
+        found = Counter()
+        for w in words(text):
+            found.update([w + " ", *(w[:n] for n in toxicity_knn.BEGINNINGS if len(w) >= n)])
+        return found
+
+    held, toxic = Counter(), Counter()
+    for x, y in learnt.values():
+        held.update(terms(x).keys())
+        toxic.update(list(terms(x)) if y else [])
+    n, share = len(learnt), sum(y for _, y in learnt.values()) / len(learnt)
+
+    def vector(text):
+        v = {}
+        for t, times in terms(text).items():
+            if t in held:
+                relevance = 0.1 + abs(toxic[t] - held[t] * share) / math.sqrt(share * (1 - share) * held[t] * (1 - held[t] / n) + 0.5)
+                v[t] = (1 + math.log(times)) * (math.log((1 + n) / (1 + held[t])) + 1) * relevance
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(x) for i, (x, _) in learnt.items()}
+    own = model.vectors()
+    for i, text, _ in made:
+        mine = vector(text)
+        cosines = {j: sum(x * v.get(t, 0) for t, x in mine.items()) for j, v in vectors.items()}
+        vote, who, how = model.vote(own, text.encode())
+        assert np.allclose(how, sorted(cosines.values(), reverse=True)[: len(how)], atol=1e-6)
+        assert np.allclose(how, [cosines[j] for j in model.doc_id[who].tolist()], atol=1e-6)
+        assert vote == pytest.approx(np.average(model.toxic[who], weights=1 / (1.05 - np.minimum(1, how))))
+    shifted = toxicity_knn.score(frame.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"), model).collect()
+    scores = {r["doc_id"]: r for r in toxicity_knn.score(frame, model).collect()}
+    for r in shifted:
+        assert (r["score"], r["evidence"]) == (scores[r["doc_id"] - 10_000]["score"], scores[r["doc_id"] - 10_000]["evidence"])
+        assert [e["cosine"] for e in r["evidence"]] == sorted((e["cosine"] for e in r["evidence"]), reverse=True)
+
+
+def test_toxicity_of_small_or_lopsided_examples(spark, docs):
+    texts = spark.createDataFrame([(i, f"one two {i}") for i in range(40)], "doc_id long, text string")
+    for mark, least, most in ((0, 0.0, 0.1), (1, 0.9, 1.0)):
+        labels = texts.select("doc_id", F.lit(mark).alias("toxic"))
+        got = {r["score"] for r in toxicity_knn.score(docs, toxicity_knn.fit(texts, labels)).collect()}
+        assert least < min(got) and max(got) < most
+    few = toxicity_knn.fit(texts, texts.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), most=5)
+    assert len(few.doc_id) == 5
+    cut = toxicity_knn.examples_of(texts, texts.select("doc_id", F.lit(0).alias("toxic")), most_bytes=50).collect()
+    assert 1 <= len(cut) and sum(len(r["text"]) for r in cut) <= 50
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for doc_id, text, *_ in rows:
