@@ -8,11 +8,31 @@ from pyspark.sql import functions as F
 from statvine.sources.shared import stash
 
 
+#: Edges of a node from which its rows are dealt to ``SALTS`` tasks, and the most such nodes at once.
+HUB, SALTS, MOST_HUBS = 1000, 64, 100_000
+
+
+def _with_least(rows: DataFrame, key: str, value: str, n_rows: int) -> DataFrame:
+    """``rows`` with ``m``, the least ``value`` of their ``key``.
+
+    A key of more than ``HUB`` rows is spread over ``SALTS`` tasks. The bar rises with the rows, so that at most ``MOST_HUBS``
+    keys pass it, and these are broadcast.
+    """
+    bar = max(HUB, n_rows // MOST_HUBS)
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("d"))
+    hubs = F.broadcast(least.where(F.col("d") > bar).select(key, F.lit(True).alias("hub")))  # at most n_rows / bar
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("d") > bar, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hubs, key, "left").withColumn("salt", salt).drop("hub")
+    return dealt.join(least.select(key, "m", F.explode(salts).alias("salt")), [key, "salt"]).drop("salt")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """id, component (the least id reachable) of every node on an edge (source, target of one orderable type).
 
     Large and small stars take turns (Kiveris et al., 2014); loops and repeated edges change nothing, no edges give no
-    rows. Each round is written to the shared folder; the driver sees two numbers a round.
+    rows. Each round is written to the shared folder; the driver sees two numbers a round. Nodes with many edges, as every
+    component's least node in the end, are spread over several tasks.
     """
     ids = edges.select(F.explode(F.array("source", "target")).alias("id")).where("id is not null").distinct()
     pairs = edges.where("source <> target").select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct()
@@ -23,11 +43,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             break
         before = state
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        known = _with_least(both, "u", "v", 2 * state["n"]).where("v > u").select("v", F.least("u", "m").alias("m"))
+        large = known.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        joined = _with_least(large, "a", "b", 2 * state["n"])
+        small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         pairs = stash(small.distinct(), "components")
     else:
         raise RuntimeError("components did not settle")

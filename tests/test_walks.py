@@ -112,6 +112,24 @@ def test_components_with_loops(spark):
     assert sorted(map(tuple, communities.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)]
 
 
+def test_components_of_a_star_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(communities, "HUB", 20)
+    rnd = random.Random(8)
+    edges = [(900, i) for i in range(100, 400)] + [(i, 500 + i) for i in range(100, 400, 3)] + [(2000 + i, 2001 + i) for i in range(0, 60)] + [(rnd.randrange(5000, 5400), rnd.randrange(5000, 5400)) for _ in range(300)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = communities.connected_components(spark.createDataFrame(edges, "source long, target long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
+
+
 def test_names_meet_titles(spark):
     titles = [("1:01", "Income Tax"), ("1:02", "Road Traffic"), ("1:03", "Road Traffic"), ("1:04", ""), ("1:05", "Ox"), ("1:06", None)]
     texts = [("a", "under the Income Tax Act"), ("b", "THE Road Traffic Ordinance and the Income Tax Regulations"), ("c", "the Special Road Traffic Act"), ("d", "the Income Act"), ("e", "the Box Act"), ("f", None)]
