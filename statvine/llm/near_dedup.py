@@ -11,16 +11,18 @@ exponential variate of each shingle, on a scale of powers of ``BASE``, truncated
    join into clusters, which is far below any link's similarity, as leaders are only a meeting point. In buckets
    that still hold several clusters, all pairs of different clusters meet in the same way, so none is lost to
    an unlike leader; buckets of more than ``MEET`` rows are cut into blocks that meet in pairs;
-3. within a cluster all pairs that are not yet connected are compared on their full sets, exactly, in numpy:
-   one set against all others at a time. A cluster of more than ``BLOCK`` shingles is cut into blocks and each two blocks
-   meet in a task of their own, so no task holds more than two blocks. Only links that connect something new are
-   written, at most one a text and task;
+3. within a cluster, pairs that are not yet connected are compared on their full sets, exactly, in numpy: one set
+   against all others at a time. A cluster of more than ``BLOCK`` shingles or ``SETS`` sets is cut into blocks. First each
+   block compares its members and the cluster's leader, then only what is outside the cluster's largest part
+   meets the other blocks, a block at a time: a group of near copies costs one more reading of its texts, not the
+   square of its blocks. Only links that connect something new are written, at most one a text and task;
 4. links join classes into components.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**WIDTH)**BANDS: misses are below 3e-9 at 0.85 and
 3e-6 at 0.8. Null text and texts without words have an empty set, link with nothing and are their own
-component. A null doc_id never represents a class unless all its ids are null; then the component is null
-and the row is kept. Repeated rows share a component; those whose id is the least are all kept.
+component. A null doc_id never represents a component unless all its ids are null; then the component is null
+and the row is kept. Repeated rows share a component; those whose id is the least are all marked as kept, and
+``keep_one`` leaves one of them. Different texts under one id are told apart by a hash of the text. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statvine.llm.common import arrow_schema, bare, map_rows, stash, to_batch
-from statvine.llm.components import connected_components
+from statvine.operators.communities import connected_components
 
 BANDS, WIDTH = 42, 6
 REGISTERS = BANDS * WIDTH
 BASE, RATE = 1.1, 20.0
 LEAST_ESTIMATE = 0.5
-BLOCK = 2_000_000
+#: Shingles and sets of a cluster in a block.
+BLOCK, SETS = 2_000_000, 4096
+SALTS = 64
 #: Rows of a bucket in a block.
 MEET = 4096
 #: Words whose hashes a task remembers.
@@ -113,14 +117,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.take_along_axis(s, like.argmax(1)[:, None], 1)[:, 0]
 
 
-def link(sets: list[np.ndarray], part: np.ndarray, within: tuple[bool, bool], percent: int) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], part: np.ndarray, within: tuple[bool, bool], percent: int, start: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all pairs of similarity of at least percent / 100, directly or through others.
 
-    part: 0 or 1 for each set; sets of the same part are compared only if ``within`` says so.
+    part: 0 or 1 for each set; sets of the same part are compared only if ``within`` says so. start: numbers from 0 on;
+    sets of an equal number are connected already.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    label, links = np.arange(n), []
+    label, links = np.arange(n) if start is None else start.copy(), []
 
     def connect(x: int, y: int) -> None:
         if label[x] != label[y]:
@@ -163,7 +168,10 @@ def link(sets: list[np.ndarray], part: np.ndarray, within: tuple[bool, bool], pe
             return np.diff(np.concatenate([[0], np.cumsum(flag[self.item])])[self.at])
 
     everything, outside, main = Pool(waiting), None, -1
-    for x in np.argsort(-central, kind="stable").tolist():
+    order = np.argsort(-central, kind="stable")
+    if not any(within):  # all pairs have a set in the smaller part
+        order = order[part[order] == int((part == 0).sum() > (part == 1).sum())]
+    for x in order.tolist():
         counts = np.bincount(label[waiting], minlength=n)
         largest = int(counts.argmax())
         left = int(waiting.sum())
@@ -189,16 +197,16 @@ def link(sets: list[np.ndarray], part: np.ndarray, within: tuple[bool, bool], pe
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, the digest of the words and the registers (null for an empty set)."""
+    """doc_id, mark, n_shingles, the digest of the words and the registers (null for an empty set)."""
     made = WordHashes()
 
     def rows(batch: pa.RecordBatch):
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+        for doc_id, mark, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "text"))):
             words = text.lower().split()
             items = shingles(words, size, made)
-            yield doc_id, len(items), digest(words), sketch(items).tobytes() if len(items) else None
+            yield doc_id, mark, len(items), digest(words), sketch(items).tobytes() if len(items) else None
 
-    return map_rows(bare(docs), rows, "doc_id long, n_shingles long, digest binary, registers binary")
+    return map_rows(_marked(docs), rows, "doc_id long, mark long, n_shingles long, digest binary, registers binary")
 
 
 def digest(words: list[bytes]) -> bytes:
@@ -286,83 +294,156 @@ def clusters(classes: DataFrame) -> DataFrame:
         return list(zip(batch["class"].to_numpy()[good].tolist(), batch["leader"].to_numpy()[good].tolist()))
 
     edges = map_rows(pairs, likely, "a long, b long")
-    labels = stash(connected_components(edges).select(F.col("node").alias("class"), F.col("label").alias("cluster")), "dedup-met")
+    labels = stash(_joined(edges).withColumnsRenamed({"node": "class", "label": "cluster"}), "dedup-met")
     more = stash(unmet(shared, classes, labels), "dedup-unmet")
     if more.isEmpty():
         return labels
-    joined = connected_components(more)
+    joined = _joined(more)
     # a class without a cluster is its own label
     known = labels.join(joined.select(F.col("node").alias("cluster"), "label"), "cluster", "left").select("class", F.coalesce("label", "cluster").alias("cluster"))
     alone = joined.join(labels.select(F.col("cluster").alias("node")).distinct(), "node", "left_anti")
     return known.unionByName(alone.select(F.col("node").alias("class"), F.col("label").alias("cluster")))
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """node, label (the least node reachable) of every node on an edge a, b."""
+    return connected_components(edges.select(F.col("a").alias("source"), F.col("b").alias("target"))).select(F.col("id").alias("node"), F.col("component").alias("label"))
+
+
+def _blocks(rows: DataFrame) -> F.Column:
+    """How many blocks hold the rows of a group, by shingles and by sets."""
+    return F.greatest(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(SETS))).cast("int")
+
+
 def links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: classes whose full sets are similar enough, as many as connect them."""
-    members = clustered.join(classes.select("class", "doc_id", "digest", "n_shingles"), "class")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    """a, b: classes whose full sets are similar enough, as many as connect them.
+
+    First every block of a cluster links its own members and the cluster's leader, so that one leader ties near copies
+    together over all blocks. What is then outside the cluster's largest part meets the other blocks; members of one part
+    are never compared again.
+    """
+    members = clustered.join(classes.select("class", "doc_id", "mark", "n_shingles"), "class")
+    blocks = members.groupBy("cluster").agg(_blocks(members).alias("blocks"), F.min(F.struct(F.xxhash64("class"), "class")).alias("x")).select("cluster", "blocks", F.col("x.class").alias("leader"))
     members = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
-    texts = bare(docs).join(members.select("class", "cluster", "doc_id", "digest", "own", "blocks"), "doc_id")
-    dealt = texts.withColumn("other", F.explode(others)).select("class", "cluster", "digest", "own", "blocks", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "class")
+    lead = F.when(F.col("class") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = members.select("class", "cluster", "doc_id", "mark", F.lit(0).alias("i"), F.explode(lead).alias("j"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("label"), F.lit(True).alias("all"))
+    found = stash(_verify(docs, first, size, percent), "dedup-links")
+    many = stash(members.where("blocks > 1").select("class", "cluster", "doc_id", "mark", "n_shingles", "own", "blocks"), "dedup-large")
+    if many.isEmpty():
+        return found
+    parts = _joined(found)
+    many = many.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    main = many.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    many = stash(many.join(main, "cluster"), "dedup-parts")
+    outside = many.where("label <> main")
+    dealt = outside.groupBy("cluster").agg(_blocks(outside).alias("outer"))
+    # block i of what is outside meets block j of the whole cluster
+    rows = outside.join(dealt, "cluster").withColumn("i", F.pmod(F.xxhash64("class", F.lit(2)), "outer").cast("int"))
+    asks = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.lit(0))
+    told = many.join(dealt, "cluster").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("j", F.col("own")).withColumn("part", F.lit(1))
+    second = [x.select("class", "cluster", "doc_id", "mark", "i", "j", "part", "label", F.lit(False).alias("all")) for x in (asks, told)]
+    return found.unionByName(_verify(docs, second[0].unionByName(second[1]), size, percent))
+
+
+def _verify(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links on full sets among the classes that meet in one (cluster, i, j).
+
+    all: every pair counts; else part 0 meets part 1, and what has an equal label is connected already.
+    """
+    wanted = dealt.withColumnsRenamed({"doc_id": "wanted_id", "mark": "wanted_mark"})
+    texts = _marked(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark")))
+    texts = texts.select("class", "cluster", "text", "i", "j", "part", "label", "all")
+    texts = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "part", "class")
     schema = "a long, b long"
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, key = WordHashes(), None
-        ids: list[int] = []
+        held: list[tuple] = []
         sets: list[np.ndarray] = []
-        part: list[int] = []
 
-        def found(blocks: int):
-            if len(ids) < 2:
+        def found() -> list[tuple[int, int]]:
+            if len(held) < 2:
                 return []
-            # a block's own pairs are compared once: with the next block, the last block's with the one before it
-            within = (True, True) if blocks == 1 else (key[2] == key[1] + 1, key[2] == key[1] + 1 and key[2] == blocks - 1)
-            return [(ids[x], ids[y]) for x, y in link(sets, np.array(part), within, percent)]
+            ids, part, label, every = zip(*held)
+            within = (True, True) if every[0] else (False, False)
+            start = np.arange(len(ids)) if every[0] else np.unique(np.array(label), return_inverse=True)[1]
+            return [(ids[x], ids[y]) for x, y in link(sets, np.array(part), within, percent, start)]
 
-        blocks = 1
         for batch in batches:
             out = []
-            for c, cluster, mark, own, n, text, i, j in zip(*(batch[x].to_pylist() for x in ("class", "cluster", "digest", "own", "blocks", "text", "i", "j"))):
+            for c, cluster, text, i, j, part, label, every in zip(*(batch[x].to_pylist() for x in ("class", "cluster", "text", "i", "j", "part", "label", "all"))):
                 if (cluster, i, j) != key:
-                    out += found(blocks)
-                    key, blocks, ids, sets, part = (cluster, i, j), n, [], [], []
-                if ids and ids[-1] == c:
+                    out += found()
+                    key, held, sets = (cluster, i, j), [], []
+                if held and held[-1][:2] == (c, part):
                     continue  # a repeated row
-                words = text.lower().split()
-                if digest(words) != mark:
-                    continue  # another text under the same id
-                ids.append(c)
-                sets.append(shingles(words, size, hashes))
-                part.append(int(own != i))
+                held.append((c, part, label, every))
+                sets.append(shingles(text.lower().split(), size, hashes))
             yield to_batch(out, arrow)
-        yield to_batch(found(blocks), arrow)
+        yield to_batch(found(), arrow)
 
-    return dealt.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
-def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its ``mark``, which tells apart different texts under one id."""
+    return bare(docs).withColumn("mark", F.xxhash64("text"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles of every row, ``least`` (the least id of its component) and ``label``, the component's own number.
+
+    Rows without shingles have no label.
+    """
     rows = stash(sketches(docs, size), "dedup-sketches")
-    made = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    made = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("x"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     # numbers in random order, each its own: xxhash64 permutes 64-bit numbers
-    classes = stash(made.withColumn("class", F.xxhash64(F.monotonically_increasing_id())), "dedup-classes")
+    classes = stash(made.select("digest", "x.doc_id", "x.mark", "n_shingles", "registers", F.xxhash64(F.monotonically_increasing_id()).alias("class")), "dedup-classes")
     clustered = stash(clusters(classes), "dedup-clusters")
-    edges = links(docs, classes, clustered, size, percent)
-    joined = connected_components(edges).join(classes.select(F.col("class").alias("node"), "doc_id"), "node")
+    joined = _joined(links(docs, classes, clustered, size, percent)).join(classes.select(F.col("class").alias("node"), "doc_id"), "node")
     least = joined.groupBy("label").agg(F.min("doc_id").alias("least"))
-    of_class = joined.select("node", "label").join(least, "label").select(F.col("node").alias("class"), "least")
-    known = classes.select("class", "digest", F.col("doc_id").alias("own")).join(of_class, "class", "left").select("digest", F.coalesce("least", "own").alias("component"))
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", "n_shingles", "digest").join(known, "digest").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = joined.select("node", "label").join(least, "label").select(F.col("node").alias("class"), "label", "least")
+    known = classes.select("class", "digest", F.col("doc_id").alias("own")).join(of_class, "class", "left").select("digest", F.coalesce("label", "class").alias("label"), F.when(F.col("label").isNull(), F.col("own")).otherwise(F.col("least")).alias("least"))
+    shown = rows.select("doc_id", "mark", "n_shingles", "digest").join(known, "digest")
+    empty = F.col("n_shingles") == 0
+    return shown.select("doc_id", "mark", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("least"), F.when(~empty, F.col("label")).alias("label"))
+
+
+def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs``, all columns as they are, of each component; of rows with an equal id, one."""
-    kept = components(docs, size, percent).where("kept").select("doc_id").distinct()
-    # null ids are groups of one row each, dealt over all tasks
-    one = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text")))
-    with_id = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
-    return with_id.withColumn("__row", one).where("__row = 1").select(docs.columns)
+    """One row of ``docs``, all columns as they are, of each component: that of the least id, then the least mark.
+
+    Different texts under one id are documents of their own. Of rows without words, one of each id and text stays, so they
+    differ from others only in that they have no copies under other ids. Null ids come last.
+    """
+    rows = _grouped(docs, size, percent)
+    one = rows.groupBy("label", F.when(F.col("label").isNull(), F.struct("doc_id", "mark")).alias("own"), "doc_id", "mark").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("x")
+    kept = stash(one.groupBy("label", "own").agg(best).select("x.doc_id", "x.mark", "x.n"), "dedup-kept")
+    inner = _unused(docs, "kept_id"), _unused(docs, "kept_mark"), _unused(docs, "kept_salt"), _unused(docs, "kept_nth")
+    marked = docs.withColumns({inner[0]: F.col("doc_id").cast("long"), inner[1]: F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    matches = lambda other, *more: [F.col(inner[0]).eqNullSafe(other["doc_id"]), F.col(inner[1]) == other["mark"], *more]
+    alone, repeated = kept.where("n = 1"), kept.where("n > 1")
+    found = marked.join(alone, matches(alone), "left_semi").select(docs.columns)
+    if repeated.isEmpty():
+        return found
+    # rows equal in id and text: one of each salt, then one of these
+    dealt = repeated.select("doc_id", "mark", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    some = marked.withColumn(inner[2], F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    some = some.join(dealt, matches(dealt, F.col(inner[2]) == dealt["salt"]), "left_semi")
+    for keys in (inner[:3], inner[:2]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        some = some.withColumn(inner[3], nth).where(F.col(inner[3]) == 1).drop(inner[3])
+    return found.unionByName(some.select(docs.columns))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

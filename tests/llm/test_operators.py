@@ -414,8 +414,9 @@ def brute_components(rows, size, percent):
 def test_near_duplicates(docs, rows, none, size, percent, monkeypatch):
     with_id = [r for r in rows if r[0] is not None]
     truth = brute_components(with_id, size, percent)
-    for block in (near_dedup.BLOCK, 400):  # whole clusters, and clusters cut into blocks
+    for block, sets in ((near_dedup.BLOCK, near_dedup.SETS), (400, 4096), (10**9, 3)):  # whole clusters, and clusters cut by shingles and by sets
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "SETS", sets)
         got = near_dedup.components(docs.where("doc_id is not null"), size, percent).collect()
         assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in with_id)
         for r in got:
@@ -427,6 +428,20 @@ def test_near_duplicates(docs, rows, none, size, percent, monkeypatch):
     assert alone["component_id"] is None and alone["kept"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    schema = "doc_id long, text string, kept_id string, __row string"
+    rows = [(1, "alpha beta gamma delta"), (1, "one two three four"), (2, "alpha beta gamma delta"), (2, "ONE two three four"), (3, "x"), (3, "x"), (4, None), (4, None), (4, ""), (5, " "), (None, "alone in null"), (None, "alone in null"), (None, "x"), (None, None), (None, None)]
+    frame = spark.createDataFrame([(*r, "a", "b") for r in rows], schema).repartition(4)
+    kept = near_dedup.keep_one(frame)
+    assert kept.columns == frame.columns
+    # a null text is an empty one; without words every id and text is alone
+    expected = [(1, "alpha beta gamma delta"), (1, "one two three four"), (3, "x"), (4, ""), (5, " "), (None, "alone in null"), (None, "")]
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+    words_of = [f"w{i}" for i in range(40)]
+    near = [(None, " ".join(words_of)), (None, " ".join([*words_of, "end"])), (7, " ".join(["start", *words_of]))] * 50
+    assert [r["doc_id"] for r in near_dedup.keep_one(spark.createDataFrame(near, "doc_id long, text string")).collect()] == [7]
+
+
 def test_near_copies_meet_though_longer_documents_lead_their_buckets(spark, monkeypatch):
     """A passage stands alone in two near copies, and in many longer documents; these have the least numbers."""
     rng = np.random.default_rng(4)
@@ -489,10 +504,14 @@ def test_links_connect_what_all_pairs_connect():
                 inter = len(np.intersect1d(sets[a], sets[b]))
                 if (part[a] != part[b] or within[part[a]]) and 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter):
                     label[label == label[a]] = label[b]
-        mine = np.arange(120)
-        for a, b in near_dedup.link(sets, part, within, 85):
-            mine[mine == mine[a]] = mine[b]
-        assert len(set(zip(label, mine))) == len(set(label)) == len(set(mine))
+        for start in (np.arange(120), np.arange(120) // 2):  # the second: pairs that are connected before
+            truth, mine = label.copy(), start.copy()
+            for a in range(0, 120, 2):
+                if start[a] == start[a + 1]:
+                    truth[truth == truth[a]] = truth[a + 1]
+            for a, b in near_dedup.link(sets, part, within, 85, start):
+                mine[mine == mine[a]] = mine[b]
+            assert len(set(zip(truth, mine))) == len(set(truth)) == len(set(mine))
 
 
 def test_sketches_merge_and_estimate():
