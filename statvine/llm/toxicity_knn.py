@@ -1,6 +1,6 @@
 """Operator 8, toxicity from the nearest labelled examples.
 
-Terms of a text are its words (ASCII lower case, punctuation apart) and their beginnings of 4 and 6 bytes. The examples are
+Terms of a text are its words (ASCII lower case, punctuation apart) and their beginnings of 5 bytes. The examples are
 labelled rows outside the held-out fold: at most ``EXAMPLES`` of them with at most ``MOST_BYTES`` of text together (the
 documented bound; smallest hash of the id first). Rows of equal words and equal label count once, all others stay.
 Texts become unit TF-IDF vectors over all terms of the examples: (1 + ln tf) * idf * relevance, where relevance is
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from statvine.llm.common import WHITESPACE, arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
 
-EXAMPLES, MOST_BYTES = 3072, 32_000_000
-BEGINNINGS = (4, 6)
+EXAMPLES, MOST_BYTES = 2560, 32_000_000
+BEGINNINGS = (5,)
 LEAST_RELEVANCE = 0.1
 BLOCK, NEIGHBOURS, SHOWN = 128, 15, 3
 #: Blocks that are visited before any bound is compared, if the next bound is below this share of the highest; where
@@ -147,7 +147,9 @@ class Vectors:
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after the other."""
-    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
+    found = np.repeat(start - np.cumsum(length) + length, length)
+    found += np.arange(len(found))
+    return found
 
 
 @dataclass
@@ -207,7 +209,9 @@ class BlockMax:
     def _add_up(self, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The scores of all examples from the postings of these ranges."""
         posting = _ranges(begin, end - begin)
-        return np.bincount(self.example[posting], np.repeat(weight, end - begin) * self.weight[posting], self.n)
+        found = self.weight.take(posting, mode="clip").astype(np.float64)
+        found *= np.repeat(weight, end - begin)
+        return np.bincount(self.example.take(posting, mode="clip"), found, self.n)
 
     def _best(self, score: np.ndarray, k: int, but: int) -> np.ndarray:
         shown = np.round(score, 9)
