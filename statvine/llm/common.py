@@ -28,6 +28,14 @@ def bare(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores at its end while a column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[tuple]], schema: str) -> DataFrame:
     """``mapInArrow`` with ``rows`` giving the output tuples of a batch."""
     arrow = arrow_schema(df.sparkSession, schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statvine.llm.common import arrow_schema, bare, map_rows, stash, to_batch
+from statvine.llm.common import arrow_schema, bare, map_rows, stash, to_batch, unused
 from statvine.operators.communities import connected_components
 
 BANDS, WIDTH = 42, 6
@@ -425,7 +425,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     one = rows.groupBy("label", F.when(F.col("label").isNull(), F.struct("doc_id", "mark")).alias("own"), "doc_id", "mark").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("x")
     kept = stash(one.groupBy("label", "own").agg(best).select("x.doc_id", "x.mark", "x.n"), "dedup-kept")
-    inner = _unused(docs, "kept_id"), _unused(docs, "kept_mark"), _unused(docs, "kept_salt"), _unused(docs, "kept_nth")
+    inner = unused(docs, "kept_id"), unused(docs, "kept_mark"), unused(docs, "kept_salt"), unused(docs, "kept_nth")
     marked = docs.withColumns({inner[0]: F.col("doc_id").cast("long"), inner[1]: F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
     matches = lambda other, *more: [F.col(inner[0]).eqNullSafe(other["doc_id"]), F.col(inner[1]) == other["mark"], *more]
     alone, repeated = kept.where("n = 1"), kept.where("n > 1")
@@ -441,9 +441,3 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         some = some.withColumn(inner[3], nth).where(F.col(inner[3]) == 1).drop(inner[3])
     return found.unionByName(some.select(docs.columns))
 
-
-def _unused(docs: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name

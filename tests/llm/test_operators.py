@@ -524,33 +524,50 @@ def test_sketches_merge_and_estimate():
     assert abs(got - 0.5) < 0.12
 
 
-def test_packing(docs, rows, none):
-    got = packing.pack(docs, buckets=4, budget=1000).collect()
+@pytest.mark.parametrize("shard", [20_000, 7])
+def test_packing(docs, rows, none, shard, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", shard)
+    long = [(9000 + i, " ".join(["w"] * n), "en", "s", 1, "r", 0.5, "x") for i, n in enumerate([900, 950, 1500, 1500, 2500, 700, 300])]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(long, SCHEMA))
+    rows = [*rows, *long]
+    got = packing.pack(docs, buckets=6, budget=1000).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     lengths = {k: len(words(v[0])) for k, v in texts_of(rows).items()}
-    batches = defaultdict(list)
+    batches, shards = defaultdict(list), set()
     for r in got:
         assert r["n_tokens"] == lengths[r["doc_id"]] <= r["padded"]
         batches[r["batch"]].append(r)
+        shards.add(r["batch"].rsplit("-", 1)[0])
+    assert (len(shards) > len({r["bucket"] for r in got})) == (shard == 7)
     for own in batches.values():
         assert len({r["padded"] for r in own}) == 1 and len(own) == own[0]["batch_rows"] and sorted(r["slot"] for r in own) == list(range(len(own)))
         assert len(own) == 1 or len(own) * own[0]["padded"] <= 1000
+    steps = sorted(Counter(len(words(r[1] or "")) for r in rows).items())
+    assert sorted({r["padded"] for r in got}) == packing.boundaries(steps, 6)
     assert packing.pack(none).count() == 0
+    clash = docs.withColumnRenamed("spans", "slot").withColumn("n_tokens", F.lit("mine"))
+    whole = packing.pack_texts(clash, buckets=6, budget=1000)
+    assert whole.columns[: len(clash.columns)] == clash.columns and {"slot_", "n_tokens_", "batch"} < set(whole.columns)
+    assert Counter((r["doc_id"], r["text"], r["n_tokens_"]) for r in whole.collect()) == Counter((r[0], r[1], len(words(r[1] or ""))) for r in rows)
+    assert packing.pack_texts(none).count() == 0
 
 
 def test_boundaries_are_optimal():
     from itertools import combinations
 
     rnd = random.Random(4)
-    sizes = sorted(rnd.sample(range(1, 250), 9))
-    steps = [(s, n, s * n) for s in sizes for n in [rnd.randint(1, 50)]]
+    for most_length in (12, 250, 100_000):
+        for most in (1, 2, 3, 5):
+            sizes = sorted(rnd.sample(range(0, most_length), 9))
+            steps = [(s, rnd.randint(1, 50)) for s in sizes]
 
-    def padding(edges):
-        return sum(n * (min(e for e in edges if e >= s) - s) for s, n, _ in steps)
+            def padding(edges):
+                return sum(n * (min(e for e in edges if e >= s) - s) for s, n in steps)
 
-    best = min(padding([*c, sizes[-1]]) for k in range(3) for c in combinations(sizes[:-1], k))
-    assert padding(packing.boundaries(steps, 3)) == best
-    assert packing.boundaries([], 3) == [] and packing.boundaries(steps[:1], 3) == [sizes[0]]
+            best = min(padding([*c, sizes[-1]]) for k in range(most) for c in combinations(sizes[:-1], k))
+            found = packing.boundaries(steps, most)
+            assert padding(found) == best and len(found) <= most and found == sorted(set(found)) and found[-1] == sizes[-1]
+    assert packing.boundaries([], 3) == [] and packing.boundaries([(5, 2)], 3) == [5]
 
 
 def test_pipeline(spark, data):
@@ -566,5 +583,39 @@ def test_pipeline(spark, data):
     civil = [r for r in good if r[0] not in toxic]
     truth = brute_components(civil, 5, 80)
     kept = sorted(i for i, (_, c) in truth.items() if i == c)
-    result = corpus_pipeline.run(spark, data).collect()
+    run = corpus_pipeline.run(spark, data)
+    result = run.collect()
     assert sorted(r["doc_id"] for r in result) == kept
+    assert run.columns == [*docs.columns, "n_tokens", "bucket", "padded", "batch", "slot", "batch_rows"]
+    source = docs.where(F.col("doc_id").isin(kept))
+    spans = pii_spans.spans(source, pii_spans.train(source)).collect()
+    text = dict(rows)
+    expected = {}
+    for r in spans:
+        out, at = "", 0
+        for x in sorted(r["spans"], key=lambda x: (x["start"], x["end"], x["kind"])):
+            if x["start"] >= at:
+                out += text[r["doc_id"]][at : x["start"]] + f"<{pii_spans.KINDS[x['kind']].upper()}>"
+            at = max(at, x["end"])
+        expected[r["doc_id"]] = out + text[r["doc_id"]][at:]
+    assert {r["doc_id"]: r["text"] for r in result} == expected and any(expected[i] != text[i] for i in kept)
+    steps = sorted(Counter(len(words(x)) for x in expected.values()).items())
+    assert {r["padded"] for r in result} <= set(packing.boundaries(steps)) and all(r["n_tokens"] == len(words(r["text"])) <= r["padded"] for r in result)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    prose = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(120)) + "."
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, b), (None, c), (None, c), (3, None), (4, ""), (5, c + " extra")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine") for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (1, b), (5, c + " extra")]) and {r["slot"] for r in got} == {"mine"}
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
