@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next one's docs: quality rules and toxicity drop documents, near-duplicates (five words, similarity 0.8) leave one
-of each group, personal data is redacted in place, and packing gives each document its batch.
+of each group, personal data is redacted in place, and packing gives each document its batch beside all its columns.
+
+Null and empty texts fail the quality rules and go there. Rows equal in id and text become one, as copies do; different
+texts under one id, or without an id, stay documents of their own. Empty tables give empty results; without labels no text is
+toxic enough to go. Extra columns are carried along; a packing column whose name is taken gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack_texts(docs)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
