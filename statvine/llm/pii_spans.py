@@ -3,9 +3,10 @@ r"""Operator 3, personal data by weak supervision; DataFrame functions only on t
 Regexes propose spans, strict and loose ones, of four kinds. Five labelers vote on each: the strict form (checksums,
 ranges), a gazetteer (top-level domains, country codes, issuer prefixes, first octets), the context (a cue word
 before), the surroundings (white space or punctuation on both sides) and the layout. Spark counts how often
-each pattern of kind, votes and length class occurs: a few thousand rows at most, whatever the corpus. On these counts the driver estimates
-the labelers' reliabilities by expectation-maximisation (Dawid and Skene, 1979) and trains a logistic span
-classifier on the posteriors; its weights become a sum of CASE terms. Strict spans always stay; the classifier adds
+each pattern of kind, votes, length class and traits occurs: some thousand rows, whatever the corpus. On these counts the driver
+estimates the labelers' reliabilities by expectation-maximisation (Dawid and Skene, 1979) and trains a logistic span
+classifier on the posteriors. It sees more than the label model: the characters on both sides, the separators, and the
+word before (by hash); its weights become a sum of CASE terms. Strict spans always stay; the classifier adds
 proposed spans of probability of at least one half that overlap no strict one.
 
 Regexes are written so that each text is scanned in linear time and without recursion: possessive loops, and
@@ -26,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 PROPOSED = {
     "email": ("email", True, "contains(text, '@')", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": ("ip", True, r"text rlike '[0-9]\\.[0-9]'", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
-    "card": ("card", True, "text rlike '[0-9]'", r"[0-9]++(?:[\x20-][0-9]++)*+"),
+    # shorter runs of digits can't be cards, so they aren't looked at; the runs are the same
+    "card": ("card", True, r"text rlike '[0-9](?:[\\x20-]?[0-9]){12}'", r"[0-9](?:[\x20-]?[0-9]){12,}+"),
     "phone": ("phone", True, r"text rlike '\\+[0-9]'", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "email_loose": ("email", False, r"text rlike '(?i)[\\[(]at[\\])]'", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}){1,4}"),
     "ip_loose": ("ip", False, "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f]'", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
@@ -43,6 +45,9 @@ CUES = {
 }
 LABELERS = ("strict", "gazetteer", "cue", "apart", "layout")
 CONTEXT = 40
+#: What the classifier sees beside votes and length: the characters on both sides, the separators inside, the word before.
+TRAITS = ("before", "after", "inside", "word")
+WORDS = 16
 EM_ROUNDS, FIT_ROUNDS = 30, 200
 
 
@@ -50,15 +55,22 @@ def _text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: Matches that are placed together: appending to an array copies it, so long lists grow by pieces.
+PIECE = 256
+
+
 def _placed(name: str) -> Column:
-    """The matches of a regex with their offsets, from the pieces between them."""
+    """The matches of a regex with their offsets, from the lengths of what lies between them."""
+    none = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
+    begin = f"s.at + length(pieces_{name}[i - 1])"
+    step = f"""(s, i) -> named_struct('at', {begin} + length(hits_{name}[i - 1]),
+        'out', concat(s.out, array(named_struct('start', {begin}, 'end', {begin} + length(hits_{name}[i - 1]), 'hit', hits_{name}[i - 1]))))"""
+    piece = f"aggregate(sequence(p * {PIECE} + 1, least(size(hits_{name}), (p + 1) * {PIECE})), named_struct('at', t.at, 'out', {none}), {step})"
     return F.expr(f"""
-        if(size(hits_{name}) = 0, cast(array() as array<struct<start:int,end:int,hit:string>>),
-           aggregate(sequence(1, size(hits_{name})), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,hit:string>>)),
-             (s, i) -> named_struct('at', s.at + length(pieces_{name}[i - 1]) + length(hits_{name}[i - 1]),
-               'out', concat(s.out, array(named_struct('start', s.at + length(pieces_{name}[i - 1]),
-                 'end', s.at + length(pieces_{name}[i - 1]) + length(hits_{name}[i - 1]), 'hit', hits_{name}[i - 1])))),
-             s -> s.out))""")
+        if(size(hits_{name}) = 0, {none},
+           flatten(aggregate(sequence(0, (size(hits_{name}) - 1) div {PIECE}), named_struct('at', 0, 'out', array({none})),
+             (t, p) -> transform(array({piece}), x -> named_struct('at', x.at, 'out', concat(t.out, array(x.out))))[0],
+             t -> t.out)))""")
 
 
 _DIGITS = "regexp_replace(x.hit, '[^0-9]', '')"
@@ -84,8 +96,18 @@ LAYOUT = {
 }
 
 
+def _side(character: str) -> str:
+    return f"case when {character} = '' then '-' when {character} rlike '[A-Za-z0-9]' then 'a' when {character} rlike '[\\\\s]' then 's' else 'p' end"
+
+
+_BEFORE = f"lower(substring(text, greatest(1, x.start + 1 - {CONTEXT}), least(x.start, {CONTEXT})))"
+_INSIDE = "case when x.hit rlike '^[0-9]+$' then '0' when x.hit rlike '@' then '@' when x.hit rlike ':' then ':' when x.hit rlike '[(]' then '(' when x.hit rlike '[ ]' then 's' when x.hit rlike '-' then '-' else '.' end"
+_WORD = f"substring('0123456789abcdef', cast(crc32(cast(regexp_extract({_BEFORE}, '([a-z]+)[^a-z]*$', 1) as binary)) % {WORDS} as int) + 1, 1)"
+_TRAITS = f"concat({_side('if(x.start = 0, \'\', substring(text, x.start, 1))')}, {_side('substring(text, x.end + 1, 1)')}, {_INSIDE}, {_WORD})"
+
+
 def propose(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the columns ``keep``, text, and ``proposed``: kind, start, end, strict, the votes and the length class of each span."""
+    """doc_id, the columns ``keep``, text, and ``proposed``: kind, start, end, strict, votes, length class and traits of each span."""
     found = _text(docs, *keep)
     found = found.withColumns({f"hits_{n}": F.when(F.expr(test), F.regexp_extract_all("text", F.lit(regex), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (_, _, test, regex) in PROPOSED.items()})
     found = found.withColumns({f"pieces_{n}": F.when(F.size(f"hits_{n}") > 0, F.split("text", regex, -1)) for n, (_, _, _, regex) in PROPOSED.items()})
@@ -97,21 +119,24 @@ def propose(docs: DataFrame, *keep: str) -> DataFrame:
         voted.append(f"""transform(filter(at_{name}, x -> {WORTH.get(kind, 'true')} or {strict}), x -> named_struct(
             'kind', {KINDS.index(kind)}, 'start', x.start, 'end', x.end, 'strict', {strict},
             'votes', concat({'if(' + strict + ", '1', '0')" if may else "'-'"}, if({GAZETTEER[kind]}, '1', '0'),
-              if(lower(substring(text, greatest(1, x.start + 1 - {CONTEXT}), least(x.start, {CONTEXT}))) rlike '{CUES[kind].replace(chr(92), chr(92) * 2)}', '1', '-'),
+              if({_BEFORE} rlike '{CUES[kind].replace(chr(92), chr(92) * 2)}', '1', '-'),
               if((x.start = 0 or not substring(text, x.start, 1) rlike '[A-Za-z0-9]') and not substring(text, x.end + 1, 1) rlike '[A-Za-z0-9]', '1', '0'),
               if({LAYOUT[kind]}, '1', '0')),
-            'size', cast(least(5, (x.end - x.start) div 6) as int)))""")
+            'size', cast(least(5, (x.end - x.start) div 6) as int), 'traits', {_TRAITS}))""")
     every = F.expr(f"concat({', '.join(voted)})")
     return found.select("doc_id", *keep, "text", every.alias("proposed"))
 
 
-def patterns(proposed: DataFrame) -> list[tuple[int, str, int, int]]:
-    """kind, votes, length class, spans: at most 4 * 3**5 * 6 rows."""
-    rows = proposed.select(F.explode("proposed").alias("x")).groupBy("x.kind", "x.votes", "x.size").agg(F.count("*").alias("n")).collect()
-    return sorted((r["kind"], r["votes"], r["size"], r["n"]) for r in rows)
+Pattern = tuple[int, str, int, str, int]
+
+
+def patterns(proposed: DataFrame) -> list[Pattern]:
+    """kind, votes, length class, traits, spans: few of the possible combinations occur, whatever the corpus."""
+    rows = proposed.select(F.explode("proposed").alias("x")).groupBy("x.kind", "x.votes", "x.size", "x.traits").agg(F.count("*").alias("n")).collect()
+    return sorted((r["kind"], r["votes"], r["size"], r["traits"], r["n"]) for r in rows)
 
 
-def reliabilities(rows: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def reliabilities(rows: list[Pattern]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """The posterior of each pattern, and by kind each labeler's chance of voting yes on true and on false spans."""
     posterior, rates = np.zeros(len(rows)), {}
     for kind in range(len(KINDS)):
@@ -119,7 +144,7 @@ def reliabilities(rows: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, di
         if not own:
             continue
         votes = np.array([[{"1": 1.0, "0": 0.0, "-": np.nan}[v] for v in rows[i][1]] for i in own])
-        n = np.array([rows[i][3] for i in own], np.float64)
+        n = np.array([rows[i][-1] for i in own], np.float64)
         cast = ~np.isnan(votes)
         yes = np.where(cast, votes, 0.0)
         # to begin with, the share of yes votes
@@ -137,22 +162,22 @@ def reliabilities(rows: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, di
     return posterior, rates
 
 
-def _inputs(kind: int, votes: str, size: int) -> list[tuple]:
-    return [("kind", kind), ("size", kind, size), *(("vote", kind, j, v) for j, v in enumerate(votes))]
+def _inputs(kind: int, votes: str, size: int, traits: str) -> list[tuple]:
+    return [("kind", kind), ("size", kind, size), *(("vote", kind, j, v) for j, v in enumerate(votes)), *((name, kind, j, v) for j, (name, v) in enumerate(zip(TRAITS, traits)))]
 
 
-def classifier(rows: list[tuple[int, str, int, int]], posterior: np.ndarray) -> dict[tuple, float]:
+def classifier(rows: list[Pattern], posterior: np.ndarray) -> dict[tuple, float]:
     """Weights of a logistic regression on the posteriors, one for each value of each input."""
-    names = sorted({x for k, v, s, _ in rows for x in _inputs(k, v, s)}, key=repr)
+    names = sorted({x for *pattern, _ in rows for x in _inputs(*pattern)}, key=repr)
     number = {x: i for i, x in enumerate(names)}
     x = np.zeros((len(rows), len(names)))
-    for i, (k, v, s, _) in enumerate(rows):
-        x[i, [number[f] for f in _inputs(k, v, s)]] = 1
-    n = np.array([r[3] for r in rows], np.float64)
+    for i, (*pattern, _) in enumerate(rows):
+        x[i, [number[f] for f in _inputs(*pattern)]] = 1
+    n = np.array([r[-1] for r in rows], np.float64)
     w = np.zeros(len(names))
     for _ in range(FIT_ROUNDS):  # Newton's method with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + 0.1 * np.eye(len(names)), x.T @ (n * (posterior - p)) - 0.1 * w)
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + np.eye(len(names)), x.T @ (n * (posterior - p)) - w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -163,16 +188,16 @@ def _odds(weights: dict[tuple, float]) -> str:
     """The classifier as SQL on a proposed span ``x``."""
     if not weights:
         return "-1D"
-    terms = []
+    of_kind = {}
     for name, w in weights.items():
         if name[0] == "kind":
-            test = f"x.kind = {name[1]}"
+            term = f"{w:.9f}D"
         elif name[0] == "size":
-            test = f"x.kind = {name[1]} and x.size = {name[2]}"
+            term = f"if(x.size = {name[2]}, {w:.9f}D, 0D)"
         else:
-            test = f"x.kind = {name[1]} and substring(x.votes, {name[2] + 1}, 1) = '{name[3]}'"
-        terms.append(f"if({test}, {w:.9f}D, 0D)")
-    return " + ".join(terms)
+            term = f"if(substring(x.{'votes' if name[0] == 'vote' else 'traits'}, {name[2] + 1}, 1) = '{name[3]}', {w:.9f}D, 0D)"
+        of_kind.setdefault(name[1], []).append(term)
+    return "case x.kind " + " ".join(f"when {k} then {' + '.join(terms)}" for k, terms in of_kind.items()) + " else -1D end"
 
 
 def train(docs: DataFrame) -> dict[tuple, float]:
@@ -185,9 +210,9 @@ def spans(docs: DataFrame, weights: dict[tuple, float], *keep: str) -> DataFrame
     """doc_id, ``keep``, text, and ``spans``: kind, start, end, strict, by kind as listed, then start."""
     chosen = F.expr(f"""
         array_sort(array_distinct(transform(
-          filter(proposed, x -> x.strict or (({_odds(weights)}) >= 0 and not exists(proposed, y -> y.strict and y.start < x.end and x.start < y.end))),
+          filter(proposed, x -> x.strict or (({_odds(weights)}) >= 0 and not exists(strict, y -> y.start < x.end and x.start < y.end))),
           x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'strict', x.strict))))""")
-    return propose(docs, *keep).select("doc_id", *keep, "text", chosen.alias("spans"))
+    return propose(docs, *keep).withColumn("strict", F.expr("filter(proposed, y -> y.strict)")).select("doc_id", *keep, "text", chosen.alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:

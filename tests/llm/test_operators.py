@@ -254,12 +254,48 @@ def test_pii(docs, rows, none):
 
 
 def test_em_finds_the_better_labeler():
-    rows = [(0, "11111", 1, 500), (0, "00000", 1, 500), (0, "10111", 1, 60), (0, "01000", 1, 60), (0, "11011", 1, 5)]
+    rows = [(0, "11111", 1, "ss@0", 500), (0, "00000", 1, "ss@1", 500), (0, "10111", 1, "ss@0", 60), (0, "01000", 1, "ss@1", 60), (0, "11011", 1, "ss@0", 5)]
     posterior, rates = pii_spans.reliabilities(sorted(rows))
     assert rates[0][0][0] - rates[0][1][0] > rates[0][0][1] - rates[0][1][1]
     weights = pii_spans.classifier(sorted(rows), posterior)
-    odds = lambda v: sum(weights[x] for x in pii_spans._inputs(0, v, 1))
-    assert odds("11111") > 0 > odds("00000")
+    odds = lambda v, t: sum(weights[x] for x in pii_spans._inputs(0, v, 1, t))
+    assert odds("11111", "ss@0") > 0 > odds("00000", "ss@1")
+    assert weights["word", 0, 3, "0"] > 0 > weights["word", 0, 3, "1"]  # learnt beside the votes
+
+
+def test_added_personal_data(spark):
+    """Loose spans that the classifier adds are those whose weights add up, where no strict span lies."""
+    rnd = random.Random(31)
+    number = lambda n: "".join(rnd.choices("0123456789", k=n))
+    texts = []
+    for i in range(200):
+        texts.append(f"please call {rnd.choice('23456789')}{number(2)}-{number(3)}-{number(4)} today, or mail bob{i} (at) host{i} (dot) com.")
+        texts.append(f"x{number(3)}-{number(3)}-{number(4)}y build {number(14)} of mail a{i}@b.org and +1 {number(3)} {number(3)} {number(4)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = pii_spans.train(docs)
+    proposed = {r["doc_id"]: r["proposed"] for r in pii_spans.propose(docs).collect()}
+    added = Counter()
+    for r in pii_spans.spans(docs, weights).collect():
+        strict = [x for x in proposed[r["doc_id"]] if x["strict"]]
+        expected = {(x["kind"], x["start"], x["end"]) for x in strict}
+        for x in proposed[r["doc_id"]]:
+            odds = sum(weights[f] for f in pii_spans._inputs(x["kind"], x["votes"], x["size"], x["traits"]))
+            if not x["strict"] and odds >= 0 and not any(y["start"] < x["end"] and x["start"] < y["end"] for y in strict):
+                expected.add((x["kind"], x["start"], x["end"]))
+                added[pii_spans.KINDS[x["kind"]]] += 1
+        assert sorted(expected) == [(x["kind"], x["start"], x["end"]) for x in r["spans"]]
+    assert added["phone"] >= 150 and added["email"] >= 150
+
+
+def test_personal_data_of_rich_texts(spark):
+    """Placing matches takes time in proportion to them, over the size of a piece too."""
+    n = 3 * pii_spans.PIECE + 5
+    text = " ".join(f"é{i} a{i}@b.cd 4111 1111 1111 1111; 10.0.0.{i % 300}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = pii_spans.digests(pii_spans.spans(docs, {})).collect()
+    email, card = (list(re.finditer(x, text)) for x in (r"a[0-9]+@b\.cd", r"4111 1111 1111 1111"))
+    base = [f"email:{m.start()}:{m.end()}" for m in email] + [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"10\.0\.0\.([0-9]+)", text) if int(m[1]) < 256] + [f"card:{m.start()}:{m.end()}" for m in card]
+    assert r["spans"] == ",".join(base)
 
 
 def test_toxicity(spark, docs, none):
