@@ -59,24 +59,36 @@ def _text(docs: DataFrame, *keep: str) -> DataFrame:
 PIECE = 256
 
 
+def _fold(items: str, none: str, state: str, step: str, out: str) -> str:
+    """``out`` of an aggregation over the array ``items`` that appends to ``s.out``, by pieces.
+
+    none: an empty ``out``; state: the other fields at first; step: the new state from ``s`` and the item's number ``i``.
+    """
+    first, fields = f"named_struct({state}, 'out', {none})", [x.strip().strip("'") for x in state.split(",")[::2]]
+    handed = ", ".join(f"'{f}', {{}}.{f}" for f in fields)
+    piece = f"aggregate(sequence(p * {PIECE} + 1, least(size({items}), (p + 1) * {PIECE})), named_struct({handed.format(*['t'] * len(fields))}, 'out', {none}), (s, i) -> {step})"
+    return f"""aggregate(sequence(0, (size({items}) - 1) div {PIECE}), named_struct({state}, 'out', array({none})),
+        (t, p) -> transform(array({piece}), x -> named_struct({handed.format(*['x'] * len(fields))}, 'out', concat(t.out, array(x.out))))[0], t -> {out})"""
+
+
 def _placed(name: str) -> Column:
-    """The matches of a regex with their offsets, from the lengths of what lies between them."""
-    none = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
-    begin = f"s.at + length(pieces_{name}[i - 1])"
-    step = f"""(s, i) -> named_struct('at', {begin} + length(hits_{name}[i - 1]),
-        'out', concat(s.out, array(named_struct('start', {begin}, 'end', {begin} + length(hits_{name}[i - 1]), 'hit', hits_{name}[i - 1]))))"""
-    piece = f"aggregate(sequence(p * {PIECE} + 1, least(size(hits_{name}), (p + 1) * {PIECE})), named_struct('at', t.at, 'out', {none}), {step})"
-    return F.expr(f"""
-        if(size(hits_{name}) = 0, {none},
-           flatten(aggregate(sequence(0, (size(hits_{name}) - 1) div {PIECE}), named_struct('at', 0, 'out', array({none})),
-             (t, p) -> transform(array({piece}), x -> named_struct('at', x.at, 'out', concat(t.out, array(x.out))))[0],
-             t -> t.out)))""")
-
-
-_DIGITS = "regexp_replace(x.hit, '[^0-9]', '')"
-_LUHN = f"""(aggregate(sequence(1, length({_DIGITS})), 0L, (s, i) -> s +
-    if(i % 2 = 1, cast(substring(reverse({_DIGITS}), i, 1) as int),
-       (2 * cast(substring(reverse({_DIGITS}), i, 1) as int)) div 10 + (2 * cast(substring(reverse({_DIGITS}), i, 1) as int)) % 10)) % 10 = 0)"""
+    """The matches of a regex with their offsets, from the lengths of what lies between them.
+
+    before: at most ``CONTEXT`` characters back to the beginning of the match before this one; after: the next character.
+    """
+    none = "cast(array() as array<struct<start:int,end:int,hit:string,digits:string,before:string,after:string>>)"
+    hit, piece = f"hits_{name}[i - 1]", f"pieces_{name}[i - 1]"
+    begin = f"s.at + length({piece})"
+    # a substring of the text would be looked for from its beginning
+    before, after = f"right(concat(if(i = 1, '', hits_{name}[i - 2]), {piece}), {CONTEXT})", f"left(concat(pieces_{name}[i], coalesce(get(hits_{name}, i), '')), 1)"
+    found = f"named_struct('start', {begin}, 'end', {begin} + length({hit}), 'hit', {hit}, 'digits', regexp_replace({hit}, '[^0-9]', ''), 'before', {before}, 'after', {after})"
+    step = f"named_struct('at', {begin} + length({hit}), 'out', concat(s.out, array({found})))"
+    return F.expr(f"if(size(hits_{name}) = 0, {none}, {_fold(f'hits_{name}', none, chr(39) + 'at' + chr(39) + ', 0', step, 'flatten(t.out)')})")
+
+
+_DIGITS = "x.digits"
+_DIGIT = "cast(substring(x.digits, length(x.digits) + 1 - i, 1) as int)"
+_LUHN = f"aggregate(sequence(1, length(x.digits)), 0L, (s, i) -> (s + if(i % 2 = 1, {_DIGIT}, (2 * {_DIGIT}) div 10 + (2 * {_DIGIT}) % 10)) % 10) = 0"
 _OCTETS = r"""forall(split(x.hit, '\\.'), p -> length(regexp_replace(p, '^0+', '')) <= 3 and coalesce(try_cast(regexp_replace(p, '^0+', '') as int), 0) <= 255)"""
 #: What makes a proposed span strict, by kind; and its gazetteer and layout votes.
 STRICT = {"email": "true", "ip": _OCTETS, "card": f"(length({_DIGITS}) between 16 and 19 and {_LUHN})", "phone": f"(length({_DIGITS}) between 8 and 15)"}
@@ -100,10 +112,10 @@ def _side(character: str) -> str:
     return f"case when {character} = '' then '-' when {character} rlike '[A-Za-z0-9]' then 'a' when {character} rlike '[\\\\s]' then 's' else 'p' end"
 
 
-_BEFORE = f"lower(substring(text, greatest(1, x.start + 1 - {CONTEXT}), least(x.start, {CONTEXT})))"
+_BEFORE = "lower(x.before)"
 _INSIDE = "case when x.hit rlike '^[0-9]+$' then '0' when x.hit rlike '@' then '@' when x.hit rlike ':' then ':' when x.hit rlike '[(]' then '(' when x.hit rlike '[ ]' then 's' when x.hit rlike '-' then '-' else '.' end"
 _WORD = f"substring('0123456789abcdef', cast(crc32(cast(regexp_extract({_BEFORE}, '([a-z]+)[^a-z]*$', 1) as binary)) % {WORDS} as int) + 1, 1)"
-_TRAITS = f"concat({_side('if(x.start = 0, \'\', substring(text, x.start, 1))')}, {_side('substring(text, x.end + 1, 1)')}, {_INSIDE}, {_WORD})"
+_TRAITS = f"concat({_side('right(x.before, 1)')}, {_side('x.after')}, {_INSIDE}, {_WORD})"
 
 
 def propose(docs: DataFrame, *keep: str) -> DataFrame:
@@ -120,7 +132,7 @@ def propose(docs: DataFrame, *keep: str) -> DataFrame:
             'kind', {KINDS.index(kind)}, 'start', x.start, 'end', x.end, 'strict', {strict},
             'votes', concat({'if(' + strict + ", '1', '0')" if may else "'-'"}, if({GAZETTEER[kind]}, '1', '0'),
               if({_BEFORE} rlike '{CUES[kind].replace(chr(92), chr(92) * 2)}', '1', '-'),
-              if((x.start = 0 or not substring(text, x.start, 1) rlike '[A-Za-z0-9]') and not substring(text, x.end + 1, 1) rlike '[A-Za-z0-9]', '1', '0'),
+              if(not right(x.before, 1) rlike '[A-Za-z0-9]' and not x.after rlike '[A-Za-z0-9]', '1', '0'),
               if({LAYOUT[kind]}, '1', '0')),
             'size', cast(least(5, (x.end - x.start) div 6) as int), 'traits', {_TRAITS}))""")
     every = F.expr(f"concat({', '.join(voted)})")
@@ -209,9 +221,9 @@ def train(docs: DataFrame) -> dict[tuple, float]:
 def spans(docs: DataFrame, weights: dict[tuple, float], *keep: str) -> DataFrame:
     """doc_id, ``keep``, text, and ``spans``: kind, start, end, strict, by kind as listed, then start."""
     chosen = F.expr(f"""
-        array_sort(array_distinct(transform(
+        array_sort(transform(
           filter(proposed, x -> x.strict or (({_odds(weights)}) >= 0 and not exists(strict, y -> y.start < x.end and x.start < y.end))),
-          x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'strict', x.strict))))""")
+          x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'strict', x.strict)))""")
     return propose(docs, *keep).withColumn("strict", F.expr("filter(proposed, y -> y.strict)")).select("doc_id", *keep, "text", chosen.alias("spans"))
 
 
@@ -234,12 +246,16 @@ def redact(docs: DataFrame, weights: dict[tuple, float]) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept = docs.select(F.col("doc_id"), F.col("text"), F.struct(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *others).alias("__row"))
     found = spans(kept, weights, "__row")
-    clean = F.expr(f"""
-        aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))),
-          named_struct('at', 0, 'out', cast(array() as array<string>)),
-          (s, x) -> if(x.start < s.at, named_struct('at', greatest(s.at, x.end), 'out', s.out),
-            named_struct('at', x.end, 'out', concat(s.out, array(substring(text, s.at + 1, x.start - s.at), concat('<', array({", ".join(f"'{k.upper()}'" for k in KINDS)})[x.kind], '>'))))),
-          s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))""")
+    found = found.withColumn("ordered", F.expr("array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"))
+    names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
+    x = "ordered[i - 1]"
+    step = f"""if({x}.start < s.at, named_struct('at', greatest(s.at, {x}.end), 'out', s.out),
+        named_struct('at', {x}.end, 'out', concat(s.out, array(struct({x}.start as start, {x}.end as end, array({names})[{x}.kind] as name)))))"""
+    kept = _fold("ordered", "cast(array() as array<struct<start:int,end:int,name:string>>)", "'at', 0", step, "flatten(t.out)")
+    found = found.withColumn("placed", F.expr(f"if(size(ordered) = 0, null, {kept})"))
+    # what lies before each span, then its name; the end of the text at last
+    clean = F.expr("""concat(array_join(transform(placed, (x, i) -> concat(substring(text, if(i = 0, 0, placed[i - 1].end) + 1, x.start - if(i = 0, 0, placed[i - 1].end)), x.name)), ''),
+        substring(text, placed[size(placed) - 1].end + 1))""")
     text = F.when(F.size("spans") == 0, F.col("__row.text")).otherwise(clean)
     n_chars = F.when(F.size("spans") == 0, F.col("__row.n_chars")).otherwise(F.length(text)) if "n_chars" in others else None
     return found.select(*(text.alias(c) if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
