@@ -4,13 +4,13 @@ Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased,
 P(text) = P(classes) * prod P(word | class): the ``OWN`` most frequent words are classes of their own, the others share
 ``SHARED`` classes by CRC-32, the end is class 0. Class sequences come from a hidden Markov model of ``STATES``
 states, trained by Baum-Welch on the sequences of all training documents: each task runs forward-backward
-over its rows and adds up expected counts, Spark sums them across partitions. Within a shared class, P(word | class) is
+over its rows and adds up expected counts, Spark sums them across partitions, until the likelihood hardly rises. Within a shared class, P(word | class) is
 add-one smoothed over its training words and one unknown word. The score is the exact log10 probability by
 scaled forward recursion, plus the word terms.
 
 Word counts grow with the corpus and stay in a table. Only the words above a count that at most ``FREQUENT``
 words reach are broadcast; the others of each document meet their counts in a join, so no word is dropped.
-Baum-Welch sees very long documents as runs of ``RUN`` tokens; scoring never cuts a text.
+Texts of any length are one sequence, in training and in scoring.
 
 Null text: empty, one end token. Repeated rows count and are scored as often as they occur. A null doc_id is
 hashed as an empty text for the fold. Without training rows every count is 0.
@@ -22,6 +22,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 
 from statvine.llm.common import arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
 
-STATES, ROUNDS = 4, 4
+STATES, ROUNDS = 8, 4
+#: Training ends when a round raises the log likelihood by less than this share.
+GAIN = 1e-3
 OWN, SHARED = 3071, 1024
 CLASSES = 1 + OWN + SHARED
 FREQUENT = 200_000
-RUN = 65_536
+#: Tokens of a piece; longer texts are computed in pieces side by side, with the same result.
+RUN = 4096
 #: Tokens whose forward variables a task holds at once; distinct words it counts before it hands them on.
 TOGETHER, COUNTED = 1_000_000, 400_000
 #: The end token's key among the words; no word holds white space.
@@ -159,57 +163,107 @@ class Hidden:
 
 
 class Lockstep:
-    """Sequences side by side, the longest first, so that those still running at any step are the first ones."""
+    """Sequences side by side, the longest first, so that those still running at any step are the first ones.
+
+    Arrays hold a row for each state, in 32-bit numbers: forward variables are scaled to one at each token.
+    """
 
     def __init__(self, sequences: list[np.ndarray]) -> None:
         lengths = np.array([len(s) for s in sequences])
         self.order = np.argsort(-lengths, kind="stable")
         lengths = lengths[self.order]
-        self.running = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
-        self.at = np.concatenate([[0], np.cumsum(self.running)])
+        self.running = (len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] + 1), "right")).tolist()
+        self.at = np.concatenate([[0], np.cumsum(self.running)]).tolist()
         step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.seen = np.empty(lengths.sum(), np.int64)
-        self.seen[self.at[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([sequences[i] for i in self.order])
-
-    def forward(self, model: Hidden, keep: bool = False):
-        """ln of each sequence's probability, and if kept the scaled forward variables and scales."""
-        chance = model.emit.T
-        out = np.zeros(len(self.order))
-        kept, scales = (np.empty((len(self.seen), len(model.start))), np.empty(len(self.seen))) if keep else (None, None)
-        a = None
-        for t, n in enumerate(self.running.tolist()):
+        self.seen[np.array(self.at)[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([sequences[i] for i in self.order])
+
+    def forward(self, model: Hidden, prior: np.ndarray | None = None, keep: bool = False):
+        """ln of each sequence's probability, its last forward variables, and if kept all of them and the scales.
+
+        prior: of each sequence, what its first states are expected to be, else the model's start.
+        """
+        states = len(model.start)
+        chance, move = model.emit.astype(np.float32), np.ascontiguousarray(model.move.T, np.float32)
+        out, last = np.zeros(len(self.order)), np.empty((states, len(self.order)), np.float32)
+        kept, scales = (np.empty((states, len(self.seen)), np.float32), np.empty(len(self.seen), np.float32)) if keep else (None, None)
+        a = (np.repeat(model.start[:, None], len(self.order), 1) if prior is None else prior[:, self.order]).astype(np.float32)
+        for t, n in enumerate(self.running[:-1]):
             lo = self.at[t]
-            a = (np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else a[:n] @ model.move) * chance[self.seen[lo : lo + n]]
-            s = a.sum(1)
-            a = a / s[:, None]
+            if t:
+                a = move @ a[:, :n]
+            a *= chance.take(self.seen[lo : lo + n], 1)
+            s = a.sum(0)
+            a /= s
             out[:n] += np.log(s)
             if keep:
-                kept[lo : lo + n], scales[lo : lo + n] = a, s
-        result = np.empty(len(out))
-        result[self.order] = out
-        return result, kept, scales
-
-    def expect(self, model: Hidden):
+                kept[:, lo : lo + n], scales[lo : lo + n] = a, s
+            m = self.running[t + 1]
+            if m < n:
+                last[:, m:n] = a[:, m:]
+        result, ends = np.empty(len(out)), np.empty_like(last)
+        result[self.order], ends[:, self.order] = out, last
+        return result, ends, kept, scales
+
+    def expect(self, model: Hidden, pieces: Pieces):
         """Expected starts, moves, emissions, and the ln likelihood, over all sequences."""
-        total, alpha, scales = self.forward(model, keep=True)
-        states, chance = len(model.start), model.emit.T
-        moves = np.zeros((states, states))
+        total, _, alpha, scales = self.forward(model, pieces.prior, keep=True)
+        states, chance, move = len(model.start), model.emit.astype(np.float32), model.move.astype(np.float32)
+        moves, final = np.zeros((states, states)), pieces.final[:, self.order].astype(np.float32)
         gamma = alpha  # becomes alpha * beta from the end on
-        later = np.zeros((0, states))
-        for t in range(len(self.running) - 1, -1, -1):
+        later, m = np.zeros((states, 0), np.float32), 0
+        for t in range(len(self.running) - 2, -1, -1):
             lo, n = self.at[t], self.running[t]
-            beta = np.ones((n, states))
-            if len(later):
-                moves += alpha[lo : lo + len(later)].T @ later
-                beta[: len(later)] = later @ model.move.T
-            seen = self.seen[lo : lo + n]
-            later = chance[seen] * beta / scales[lo : lo + n, None]
-            gamma[lo : lo + n] *= beta
-        starts = gamma[: self.running[0]].sum(0)
-        emitted = np.stack([np.bincount(self.seen, gamma[:, k], model.emit.shape[1]) for k in range(states)])
+            beta = final[:, :n].copy() if n > m else np.empty((states, n), np.float32)
+            if m:
+                moves += alpha[:, lo : lo + m] @ later.T
+                beta[:, :m] = move @ later
+            gamma[:, lo : lo + n] *= beta
+            beta *= chance.take(self.seen[lo : lo + n], 1)
+            beta /= scales[lo : lo + n]
+            later, m = beta, n
+        first = pieces.first[self.order]
+        starts = gamma[:, : self.running[0]][:, first].sum(1, dtype=np.float64)
+        moves += pieces.before[:, self.order][:, ~first] @ later[:, ~first].T
+        emitted = np.stack([np.bincount(self.seen, gamma[k], model.emit.shape[1]) for k in range(states)])
         return starts, moves * model.move, emitted, float(total.sum())
 
 
+class Pieces:
+    """Sequences of which long ones are cut into pieces of ``RUN`` tokens that run side by side, without a loss.
+
+    A piece's transfer, the forward variables at its end from each single state at its beginning, chains into the true
+    forward variables at the beginning of each piece and the true backward variables at its end.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], model: Hidden) -> None:
+        states = len(model.start)
+        cut = [[s[at : at + RUN] for at in range(0, len(s), RUN)] for s in sequences]
+        self.sequences = [p for own in cut for p in own]
+        self.owner = np.repeat(np.arange(len(cut)), [len(own) for own in cut])
+        self.first = np.concatenate([[True], self.owner[1:] != self.owner[:-1]])
+        self.prior = np.repeat(model.start[:, None], len(self.owner), 1)
+        self.final = np.ones((states, len(self.owner)))
+        self.before = np.zeros((states, len(self.owner)))  # forward variables at the end of the piece before
+        long = np.flatnonzero(np.bincount(self.owner)[self.owner] > 1)
+        if not len(long):
+            return
+        logs, ends, _, _ = Lockstep([self.sequences[i] for i in long for _ in range(states)]).forward(model, np.tile(np.eye(states), len(long)))
+        logs, ends = logs.reshape(-1, states), ends.astype(np.float64).T.reshape(-1, states, states)
+        weight = np.exp(logs - logs.max(1, keepdims=True))
+        after = np.empty((states, len(long)))
+        for at, i in enumerate(long.tolist()):
+            if not self.first[i]:
+                self.before[:, i] = after[:, at - 1]
+                self.prior[:, i] = after[:, at - 1] @ model.move
+            end = (self.prior[:, i] * weight[at]) @ ends[at]
+            after[:, at] = end / end.sum()
+        for at, i in reversed(list(enumerate(long.tolist()))):
+            if not self.first[i]:
+                beta = model.move @ (weight[at] * (ends[at] @ self.final[:, i]))
+                self.final[:, i - 1] = beta / (after[:, at - 1] @ beta)
+
+
 def _groups(sequences: list[np.ndarray]) -> Iterator[list[int]]:
     """Neighbouring sequences of about TOGETHER tokens."""
     group, size = [], 0
@@ -223,22 +277,37 @@ def _groups(sequences: list[np.ndarray]) -> Iterator[list[int]]:
         yield group
 
 
-def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS, states: int = STATES) -> tuple[Hidden, list[float]]:
-    """Baum-Welch over all rows that aren't held out; the likelihood (ln) before each round's update."""
+def chances(sequences: list[np.ndarray], model: Hidden) -> np.ndarray:
+    """ln of each sequence's probability."""
+    pieces = Pieces(sequences, model)
+    return np.bincount(pieces.owner, Lockstep(pieces.sequences).forward(model, pieces.prior)[0], len(sequences))
+
+
+def expectations(sequences: list[np.ndarray], model: Hidden):
+    """Expected starts, moves, emissions, and the ln likelihood, over all sequences."""
+    pieces = Pieces(sequences, model)
+    return Lockstep(pieces.sequences).expect(model, pieces)
+
+
+def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS, states: int = STATES, gain: float = GAIN) -> tuple[Hidden, list[float]]:
+    """Baum-Welch over all rows that aren't held out; the likelihood (ln) before each round's update.
+
+    It ends when a round raises the likelihood by less than ``gain`` of it, or after ``rounds``.
+    """
     model, history = Hidden(words.class_share, states), []
     schema = "k int, x double"
     arrow = arrow_schema(encoded.sparkSession, schema)
     sequences = encoded.where(~F.col("held_out")).select("classes")
-    cuts = np.cumsum([states, states * states, states * CLASSES])
+    n_classes = len(words.class_share)
+    cuts = np.cumsum([states, states * states, states * n_classes])
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(cuts[-1] + 1)
             for batch in batches:
                 whole = [np.frombuffer(x, "<u2") for x in batch["classes"].to_pylist()]
-                runs = [s[at : at + RUN] for s in whole for at in range(0, len(s), RUN)]
-                for group in _groups(runs):
-                    start, move, emit, total = Lockstep([runs[i] for i in group]).expect(model)
+                for group in _groups(whole):
+                    start, move, emit, total = expectations([whole[i] for i in group], model)
                     sums += np.concatenate([start, move.ravel(), emit.ravel(), [total]])
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], schema=arrow)
@@ -249,34 +318,54 @@ def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS, states: int =
         start, move, emit = np.split(sums[:-1], cuts[:-1])
         history.append(float(sums[-1]))
         new = Hidden(words.class_share, states)
-        new.update(start, move.reshape(states, states), emit.reshape(states, CLASSES))
+        new.update(start, move.reshape(states, states), emit.reshape(states, n_classes))
         model = new
+        if len(history) > 1 and history[-1] - history[-2] < gain * abs(history[-2]):
+            break
     return model, history
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+@dataclass
+class Fitted:
+    counts: DataFrame
+    words: Words
+    encoded: DataFrame
+    model: Hidden
+    history: list[float]
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, frequent: int = FREQUENT) -> Fitted:
+    """Learns from the training fold of ``docs``; all rows are encoded, to be scored."""
     texts = bare(docs, (fold_remainder("doc_id", 7) == 2).alias("held_out"))
     counts = stash(count_words(texts.where(~F.col("held_out")).select("text")), "lm-counts")
     words = Words(counts, frequent)
     encoded = stash(encode(texts, words).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
-    model, _ = train(encoded, words, rounds, states)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    return Fitted(counts, words, encoded, *train(encoded, words, rounds, states))
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    return score_encoded(fit(docs, rounds, states, frequent))
+
+
+def score_encoded(fitted: Fitted) -> DataFrame:
+    counts, words, encoded = fitted.counts, fitted.words, fitted.encoded
+    held = encoded.sparkSession.sparkContext.broadcast(fitted.model)
 
     def rows(batch: pa.RecordBatch):
         sequences = [np.frombuffer(x, "<u2") for x in batch["classes"].to_pylist()]
         total = np.zeros(len(sequences))
         for group in _groups(sequences):
-            total[group] = Lockstep([sequences[i] for i in group]).forward(held.value)[0]
+            total[group] = chances([sequences[i] for i in group], held.value)
         return list(zip(batch["row"].to_pylist(), (total / math.log(10)).tolist()))
 
-    chances = map_rows(encoded.select("row", "classes"), rows, "row long, class_sum double")
+    found = map_rows(encoded.select("row", "classes"), rows, "row long, class_sum double")
     # of the words too rare to be broadcast, those that training saw; a word unknown to it adds log10(1)
     rare_words = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     rare = rare_words.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sum"), F.sum("times").alias("rare_known"))
     per_token = math.log10(words.tokens + words.kinds + 1)
     rare_sum = F.coalesce("rare_sum", F.lit(0.0))
     return (
-        encoded.drop("classes", "rare").join(chances, "row").join(rare, "row", "left")
+        encoded.drop("classes", "rare").join(found, "row").join(rare, "row", "left")
         .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base_sum") + rare_sum - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), (F.col("class_sum") + F.col("within_sum") + rare_sum).alias("score"))
     )

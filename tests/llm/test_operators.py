@@ -205,29 +205,93 @@ def test_language_model(docs, rows, none):
     assert hmm_lm.score(none).count() == 0
 
 
-def test_forward_is_exact_and_training_climbs(spark, docs):
+def plain_forward(model, s):
+    a, total = model.start * model.emit[:, s[0]], 0.0
+    for o in s[1:]:
+        total, a = total + math.log(a.sum()), (a / a.sum()) @ model.move * model.emit[:, o]
+    return total + math.log(a.sum())
+
+
+def plain_expectations(model, s):
+    """Scaled forward and backward variables of one sequence, uncut, in 64 bits."""
+    alpha, beta, scale = np.zeros((len(s), len(model.start))), np.ones((len(s), len(model.start))), np.zeros(len(s))
+    for t, o in enumerate(s):
+        a = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[:, o]
+        scale[t] = a.sum()
+        alpha[t] = a / a.sum()
+    moves, emit = np.zeros_like(model.move), np.zeros_like(model.emit)
+    for t in range(len(s) - 2, -1, -1):
+        later = model.emit[:, s[t + 1]] * beta[t + 1] / scale[t + 1]
+        beta[t] = model.move @ later
+        moves += np.outer(alpha[t], later) * model.move
+    for t, o in enumerate(s):
+        emit[:, o] += alpha[t] * beta[t]
+    return alpha[0] * beta[0], moves, emit, np.log(scale).sum()
+
+
+@pytest.mark.parametrize("run", [1, 3, 4096])
+def test_forward_is_exact(run, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "RUN", run)  # pieces of one token, of some, whole texts
     rng = np.random.default_rng(4)
     model = hmm_lm.Hidden(np.full(5, 0.2), states=3)
-    sequences = [rng.integers(0, 5, n) for n in (1, 4, 2, 6)]
-    got = hmm_lm.Lockstep(sequences).forward(model)[0]
+    sequences = [rng.integers(0, 5, n) for n in (1, 4, 2, 7, 3)]
+    got = hmm_lm.chances(sequences, model)
     from itertools import product
 
-    expected_moves = np.zeros((3, 3))
-    expected_emit = np.zeros((3, 5))
+    expected_moves, expected_emit, expected_start = np.zeros((3, 3)), np.zeros((3, 5)), np.zeros(3)
     for s, value in zip(sequences, got):
-        total, moves, emit = 0.0, np.zeros((3, 3)), np.zeros((3, 5))
+        total, moves, emit, start = 0.0, np.zeros((3, 3)), np.zeros((3, 5)), np.zeros(3)
         for path in product(range(3), repeat=len(s)):
             p = model.start[path[0]] * np.prod([model.emit[z, o] for z, o in zip(path, s)]) * np.prod([model.move[a, b] for a, b in zip(path, path[1:])])
             total += p
+            start[path[0]] += p
             for a, b in zip(path, path[1:]):
                 moves[a, b] += p
             for z, o in zip(path, s):
                 emit[z, o] += p
-        assert value == pytest.approx(math.log(total))
+        assert value == pytest.approx(math.log(total), rel=1e-5)
+        assert plain_forward(model, s) == pytest.approx(math.log(total))
         expected_moves += moves / total
         expected_emit += emit / total
-    _, moves, emit, _ = hmm_lm.Lockstep(sequences).expect(model)
-    assert np.allclose(moves, expected_moves) and np.allclose(emit, expected_emit)
+        expected_start += start / total
+    start, moves, emit, _ = hmm_lm.expectations(sequences, model)
+    assert np.allclose(moves, expected_moves, rtol=1e-4) and np.allclose(emit, expected_emit, rtol=1e-4) and np.allclose(start, expected_start, rtol=1e-4)
+
+
+def test_long_texts_are_one_sequence(spark):
+    rng = np.random.default_rng(5)
+    model = hmm_lm.Hidden(np.full(50, 0.02), states=4)
+    sequences = [rng.integers(0, 50, n) for n in (200_000, 5, 9000)]
+    found, expected = hmm_lm.expectations(sequences, model), [plain_expectations(model, s) for s in sequences]
+    for x, y in zip(found, (sum(e) for e in zip(*expected))):
+        assert np.allclose(x, y, rtol=1e-3, atol=1e-2)
+    assert np.allclose(hmm_lm.chances(sequences, model), [e[3] for e in expected], rtol=1e-6)
+
+
+@pytest.mark.parametrize("frequent", [hmm_lm.FREQUENT, 20])
+def test_score_from_plain_forward_and_words(docs, rows, frequent, monkeypatch):
+    """The score from its definition, with few classes of their own; which words are broadcast changes nothing."""
+    monkeypatch.setattr(hmm_lm, "OWN", 10)
+    monkeypatch.setattr(hmm_lm, "SHARED", 7)
+    monkeypatch.setattr(hmm_lm, "CLASSES", 18)
+    train = Counter()
+    for r in rows:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
+            train.update(words(lowered(r[1] or "")))
+    own = [w for w, _ in sorted(train.items(), key=lambda x: (-x[1], x[0].encode()))[:10]]
+    shared = lambda w: zlib.crc32(w.encode()) % 7
+    size, kinds = Counter(), Counter()
+    for w, n in train.items():
+        if w not in own:
+            size[shared(w)] += n
+            kinds[shared(w)] += 1
+    fitted = hmm_lm.fit(docs, rounds=3, states=3, frequent=frequent)
+    assert all(b > a for a, b in zip(fitted.history, fitted.history[1:]))
+    for r, text in pairs(hmm_lm.score_encoded(fitted), rows):
+        w = words(lowered(text))
+        classes = [1 + own.index(x) if x in own else 11 + shared(x) for x in w] + [0]
+        within = sum(math.log10((train[x] + 1) / (size[shared(x)] + kinds[shared(x)] + 1)) for x in w if x not in own)
+        assert r["score"] == pytest.approx(plain_forward(fitted.model, classes) / math.log(10) + within, rel=1e-5)
 
 
 def test_pii(docs, rows, none):
