@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from statvine.llm.common import arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
 
-STATES, ROUNDS = 8, 4
+STATES, ROUNDS = 16, 5
 #: Training ends when a round raises the log likelihood by less than this share.
 GAIN = 1e-3
 OWN, SHARED = 3071, 1024
