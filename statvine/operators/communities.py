@@ -102,6 +102,12 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 
 
 def ranked(communities: DataFrame) -> DataFrame:
-    """community, size, place: the largest first, equal sizes by least member; one row a community."""
+    """community, size: the largest first, equal sizes by least member; one row a community."""
     sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
     return sizes.orderBy(F.desc("size"), "community")
+
+
+def listed(communities: DataFrame) -> DataFrame:
+    """community, size, id: a row for each member, as communities may be large."""
+    sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
+    return communities.join(sizes, "community").select("community", "size", "id")

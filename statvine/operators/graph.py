@@ -11,42 +11,123 @@ from statvine.sources.shared import stash
 CHAPTER = r"(?:Ch(?:ap)?|Cap)\.?\s*([0-9]{1,2}:[0-9]{1,2})"
 SECTION = r"(?:section|Section|s\.)\s+([0-9]{1,3}[A-Za-z]?)"
 DEFINED = r"[“\"]([A-Z][A-Za-z \-']{2,40})[”\"]\s+means"
+LISTED = r"(?:the )?expression(?:s)?[“\"]([A-Za-z \-']{2,40})[”\"]"
+#: What may stand before and after a term that a text mentions. Fixed values.
+OPENS, CLOSES = "“\" ", "”\" ,.;:"
 NO_TERMS = ("the", "this", "that")
+CONCEPT_TEXT = 300
+
+
+def idea_id(section: str = "section_ref"):
+    return F.concat(F.lit("idea:"), "chapter_number", F.lit("|"), section)
 
 
 def ideas(chunks: DataFrame) -> DataFrame:
-    """A node for each provision: its newest chunk stands for it, undated ones by length."""
+    """A node for each provision: its newest chunk stands for it; where none is dated, the longest.
+
+    id, label, chapter_number, section_ref, heading, chunk_id, chunk_text, n_versions, newest, dates (all different ones, ascending).
+    """
     key = ("chapter_number", "section_ref")
+    heading = F.col("heading") if "heading" in chunks.columns else F.lit("")
     order = [F.col("as_at_date").desc_nulls_last(), F.when(F.col("as_at_date").isNull(), F.length("chunk_text")).desc_nulls_last(), "chunk_id"]
-    first = chunks.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("nth = 1")
-    counts = chunks.groupBy(*key).agg(F.count_distinct("download_id").alias("n_versions"), F.max("as_at_date").alias("newest"))
-    return first.select(*key, "chunk_id", "chunk_text").join(counts, list(key)).withColumn("id", F.concat(F.lit("idea:"), "chapter_number", F.lit("|"), "section_ref"))
+    first = chunks.withColumn("heading", F.coalesce(heading, F.lit(""))).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("nth = 1")
+    counts = chunks.groupBy(*key).agg(F.count_distinct("download_id").alias("n_versions"), F.max("as_at_date").alias("newest"), F.array_sort(F.collect_set("as_at_date")).alias("dates"))
+    label = F.trim(F.concat_ws(" ", "chapter_number", "section_ref", "heading"))
+    return first.select(*key, "heading", "chunk_id", "chunk_text").join(counts, list(key)).withColumns({"id": idea_id(), "label": label})
 
 
-def defined_terms(chunks: DataFrame) -> DataFrame:
-    """chunk_id, chapter_number, section_ref, term."""
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("chunk_text", F.lit(DEFINED)), F.trim))
-    rows = chunks.select("chunk_id", "chapter_number", "section_ref", F.explode(terms).alias("term"))
+def defined_terms(ideas: DataFrame) -> DataFrame:
+    """id, chapter_number, chunk_text, term: what the text of an idea defines or lists, each once."""
+    found = F.concat(*(F.regexp_extract_all("chunk_text", F.lit(p)) for p in (DEFINED, LISTED)))
+    rows = ideas.select("id", "chapter_number", "chunk_text", F.explode(F.array_distinct(F.transform(found, F.trim))).alias("term"))
     return rows.where((F.length("term") >= 3) & ~F.lower("term").isin(*NO_TERMS))
 
 
-def concepts(chunks: DataFrame, least_chapters: int = 2, least_ideas: int = 2) -> DataFrame:
-    counts = defined_terms(chunks).groupBy("term").agg(F.count_distinct("chapter_number").alias("n_chapters"), F.count_distinct("chapter_number", "section_ref").alias("n_ideas"))
+def concepts(ideas: DataFrame, least_chapters: int = 2, least_ideas: int = 2) -> DataFrame:
+    """id, term, n_chapters, n_ideas, and the beginning of the text of the first idea that has the term."""
+    first = F.min_by(F.substring("chunk_text", 1, CONCEPT_TEXT), "id").alias("text")
+    counts = defined_terms(ideas).groupBy("term").agg(F.count_distinct("chapter_number").alias("n_chapters"), F.count_distinct("id").alias("n_ideas"), first)
     return counts.where((F.col("n_chapters") >= least_chapters) & (F.col("n_ideas") >= least_ideas)).withColumn("id", F.concat(F.lit("concept:"), "term"))
 
 
-def chapter_references(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
-    """One edge for each mention of an existing chapter."""
-    found = chunks.select("chunk_id", F.explode(F.regexp_extract_all("chunk_text", F.lit(CHAPTER))).alias("chapter"))
-    return found.join(chapters.select(F.col("chapter_number").alias("chapter")).distinct(), "chapter", "left_semi").select("chunk_id", F.concat(F.lit("chapter:"), "chapter").alias("target"))
+def _edges(rows: DataFrame, source, target, kind: str, detail, evidence: str = "EXTRACTED", weight=None) -> DataFrame:
+    weight = F.lit(None).cast("double") if weight is None else weight
+    return rows.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), F.lit(evidence).alias("evidence"), weight.alias("weight"), detail.alias("detail"))
+
+
+def part_of(ideas: DataFrame) -> DataFrame:
+    return _edges(ideas, F.concat(F.lit("chapter:"), "chapter_number"), F.col("id"), "PART_OF", F.lit("statute"))
+
+
+def mentions(ideas: DataFrame, concepts: DataFrame) -> DataFrame:
+    """An edge from each idea to every concept that its text names, as a whole and set off on both sides.
+
+    Texts and terms meet on a term's first word, so no idea is compared with every concept.
+    """
+    words = F.array_distinct(F.regexp_extract_all("chunk_text", F.lit(f"(?<=[{OPENS}])[A-Za-z'-]+"), F.lit(0)))
+    terms = concepts.select("term", F.substring_index("term", " ", 1).alias("word"))
+    near = ideas.select("id", F.explode(words).alias("word")).join(terms, "word").select("id", "term")
+    named = near.join(ideas.select("id", "chunk_text"), "id").where(F.expr(f"rlike(chunk_text, concat('[{OPENS}]', term, '[{CLOSES}]'))"))
+    return _edges(named, F.col("id"), F.concat(F.lit("concept:"), "term"), "MENTIONS", F.col("term"))
+
+
+def chapter_references(ideas: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """One edge for each mention of a chapter; of an existing one, where ``chapters`` is given."""
+    found = ideas.select("id", F.explode(F.regexp_extract_all("chunk_text", F.lit(CHAPTER), F.lit(0))).alias("detail")).withColumn("chapter", F.regexp_extract("detail", CHAPTER, 1))
+    if chapters is not None:
+        found = found.join(chapters.select(F.col("chapter_number").alias("chapter")).distinct(), "chapter", "left_semi")
+    return _edges(found, F.col("id"), F.concat(F.lit("chapter:"), "chapter"), "CROSS_REF", F.col("detail"))
 
 
-def section_references(chunks: DataFrame) -> DataFrame:
-    """Edges from a provision to others of its chapter that its text names."""
+def section_references(ideas: DataFrame) -> DataFrame:
+    """Edges from a provision to others of its chapter that its text names, each once."""
     named = F.explode(F.array_distinct(F.regexp_extract_all("chunk_text", F.lit(SECTION))))
-    found = chunks.select("chapter_number", "section_ref", named.alias("other")).where("other <> section_ref").distinct()
-    keys = chunks.select("chapter_number", F.col("section_ref").alias("other")).distinct()
-    return found.join(keys, ["chapter_number", "other"], "left_semi").select("chapter_number", "section_ref", "other")
+    found = ideas.select("id", "chapter_number", "section_ref", named.alias("other")).where("other <> section_ref")
+    keys = ideas.select("chapter_number", F.col("section_ref").alias("other"))
+    found = found.join(keys, ["chapter_number", "other"], "left_semi")
+    return _edges(found, F.col("id"), idea_id("other"), "CROSS_REF", F.concat(F.lit("section "), "other"))
+
+
+def semantic(near: DataFrame) -> DataFrame:
+    """Edges of similar ideas: source, target, weight."""
+    return _edges(near, F.col("source"), F.col("target"), "SEMANTIC", F.lit("embedding cosine"), "INFERRED", F.round("weight", 4))
+
+
+def audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what (node, edge, evidence), type, n."""
+    counts = lambda df, what, c: df.groupBy(F.col(c).alias("type")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "type", "n")
+    return counts(nodes, "node", "type").unionByName(counts(edges, "edge", "type")).unionByName(counts(edges, "evidence", "evidence"))
+
+
+def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of which an end is no node."""
+    ids = nodes.select(F.col("id").alias("known"))
+    found = edges.join(ids, F.col("source") == F.col("known"), "left_anti")
+    others = edges.join(ids, F.col("source") == F.col("known"), "left_semi").join(ids, F.col("target") == F.col("known"), "left_anti")
+    return found.unionByName(others)
+
+
+def require_whole(nodes: DataFrame, edges: DataFrame) -> None:
+    """Raises where an edge dangles: such edges break walks unseen."""
+    first = dangling(nodes, edges).first()
+    if first is not None:
+        raise ValueError(f"an edge leads to no node: {first['source']} - {first['target']}")
+
+
+def cypher(nodes: DataFrame, edges: DataFrame, most: int = 2000) -> DataFrame:
+    """Statements that make the graph anew: kind (node, edge), statement. Fixed formats.
+
+    All chapters and concepts, and ideas in the order of their ids as long as fewer than ``most`` nodes were made; edges
+    between nodes that are made.
+    """
+    room = max(0, most - nodes.where("type = 'chapter'").count())
+    made = nodes.where("type in ('chapter', 'concept')").unionByName(nodes.where("type not in ('chapter', 'concept')").orderBy("id").limit(room))
+    label = F.substring(F.translate(F.coalesce(F.nullif("label", F.lit("")), "id"), "\\\"", " '"), 1, 80)
+    one = F.concat(F.lit("CREATE (n:`"), F.upper("type"), F.lit('` {id:"'), "id", F.lit('", label:"'), label, F.lit('"});'))
+    ids = made.select(F.col("id").alias("made"))
+    kept = edges.join(ids, F.col("source") == F.col("made"), "left_semi").join(ids, F.col("target") == F.col("made"), "left_semi")
+    tie = F.concat(F.lit('MATCH (a {id:"'), "source", F.lit('"}),(b {id:"'), "target", F.lit('"}) CREATE (a)-[:'), "type", F.lit(' {evidence:"'), "evidence", F.lit('"}]->(b);'))
+    return made.select(F.lit("node").alias("kind"), one.alias("statement")).unionByName(kept.select(F.lit("edge").alias("kind"), tie.alias("statement")))
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -9,10 +9,14 @@ from statvine.plans.registry import query
 from statvine.sources.corpus import SQL, cases, chapters, chunks, citations, table
 
 #: Prose with references, the same for both engines.
-PROSE = """chunk_text || ' See Chap. ' || (chunk_id % 25 + 1) || ':0' || (chunk_id % 10) || ' and section ' || (chunk_id % 60) || ' of the Cold Widget Act. "' || CASE chunk_id % 3 WHEN 0 THEN 'Debtor' WHEN 1 THEN 'Public Officer' ELSE 'The' END || '" means x.'"""
+PROSE = """chunk_text || ' See Chap. ' || (chunk_id % 25 + 1) || ':0' || (chunk_id % 10) || ' and section ' || (chunk_id % 60) || ' of the Cold Widget Act. "' || CASE chunk_id % 3 WHEN 0 THEN 'Debtor' WHEN 1 THEN 'Public Officer' ELSE 'The' END || '" means x. Every ' || CASE chunk_id % 4 WHEN 0 THEN 'Debtor' WHEN 1 THEN 'Public Officer,' WHEN 2 THEN 'Debtors' ELSE 'Cold Widget' END || ' shall pay' || CASE chunk_id % 5 WHEN 0 THEN ' as the expression"Cold Widget" says.' ELSE '.' END"""
 GRAPH = SQL + f""", prose AS (SELECT * REPLACE ({PROSE} AS chunk_text) FROM chunks),
-refs AS (SELECT chunk_id, unnest(regexp_extract_all(chunk_text, '(?:Ch(?:ap)?|Cap)\\.?\\s*([0-9]{{1,2}}:[0-9]{{1,2}})', 1)) AS chapter FROM prose),
-terms AS (SELECT DISTINCT chunk_id, chapter_number, section_ref, trim(t) AS term FROM (SELECT *, unnest(regexp_extract_all(chunk_text, '[“"]([A-Z][A-Za-z \\-'']{{2,40}})[”"]\\s+means', 1)) AS t FROM prose) WHERE length(trim(t)) >= 3 AND lower(trim(t)) NOT IN ('the', 'this', 'that')),
+ideas AS (SELECT *, 'idea:' || chapter_number || '|' || section_ref AS id FROM (SELECT chapter_number, section_ref, arg_min(chunk_id, (-epoch(as_at_date), chunk_id)) AS chunk_id, arg_min(chunk_text, (-epoch(as_at_date), chunk_id)) AS text,
+    count(DISTINCT download_id) AS n_versions, max(as_at_date) AS newest, list_sort(list(DISTINCT as_at_date)) AS dates FROM prose GROUP BY chapter_number, section_ref)),
+refs AS (SELECT id, detail, regexp_extract(detail, '([0-9]{{1,2}}:[0-9]{{1,2}})', 1) AS chapter FROM (SELECT id, unnest(regexp_extract_all(text, '(?:Ch(?:ap)?|Cap)\\.?\\s*([0-9]{{1,2}}:[0-9]{{1,2}})', 0)) AS detail FROM ideas)),
+named AS (SELECT DISTINCT id, chapter_number, section_ref, unnest(regexp_extract_all(text, '(?:section|Section|s\\.)\\s+([0-9]{{1,3}}[A-Za-z]?)', 1)) AS other FROM ideas),
+terms AS (SELECT DISTINCT id, chapter_number, text, trim(t) AS term FROM (SELECT *, unnest(regexp_extract_all(text, '[“"]([A-Z][A-Za-z \\-'']{{2,40}})[”"]\\s+means', 1) || regexp_extract_all(text, '(?:the )?expression(?:s)?[“"]([A-Za-z \\-'']{{2,40}})[”"]', 1)) AS t FROM ideas) WHERE length(trim(t)) >= 3 AND lower(trim(t)) NOT IN ('the', 'this', 'that')),
+concepts AS (SELECT 'concept:' || term AS id, term, count(DISTINCT chapter_number) AS n_chapters, count(DISTINCT terms.id) AS n_ideas, substring(arg_min(text, terms.id), 1, 300) AS text FROM terms GROUP BY term HAVING count(DISTINCT chapter_number) >= 2 AND count(DISTINCT terms.id) >= 2),
 edges AS (SELECT 'case:' || case_id AS source, 'chapter:' || chapter_number AS target FROM citations)
 """
 
@@ -88,30 +92,35 @@ def dedupe_edges(spark, d):
     return rows.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("first"))
 
 
-@query(GRAPH + "SELECT chunk_id, 'chapter:' || chapter AS target FROM refs WHERE chapter IN (SELECT chapter_number FROM chapters)")
+def _ideas(spark, d):
+    return graph.ideas(_prose(spark, d))
+
+
+@query(GRAPH + "SELECT id AS source, 'chapter:' || chapter AS target, detail FROM refs WHERE chapter IN (SELECT chapter_number FROM chapters)")
 def xref_chapter_edges(spark, d):
-    return graph.chapter_references(_prose(spark, d), chapters(spark, d))
+    return graph.chapter_references(_ideas(spark, d), chapters(spark, d)).select("source", "target", "detail")
 
 
-@query(GRAPH + r""", named AS (SELECT DISTINCT chapter_number, section_ref, unnest(regexp_extract_all(chunk_text, '(?:section|Section|s\.)\s+([0-9]{1,3}[A-Za-z]?)', 1)) AS other FROM prose)
-SELECT chapter_number, section_ref, other FROM named n WHERE other <> section_ref AND EXISTS (SELECT 1 FROM prose p WHERE p.chapter_number = n.chapter_number AND p.section_ref = n.other)""")
+@query(GRAPH + "SELECT id AS source, 'idea:' || chapter_number || '|' || other AS target, 'section ' || other AS detail FROM named WHERE other <> section_ref AND 'idea:' || chapter_number || '|' || other IN (SELECT id FROM ideas)")
 def xref_section_edges(spark, d):
-    return graph.section_references(_prose(spark, d))
+    return graph.section_references(_ideas(spark, d)).select("source", "target", "detail")
 
 
-@query(GRAPH + "SELECT 'concept:' || term AS id, term, count(DISTINCT chapter_number) AS n_chapters, count(DISTINCT chapter_number || '|' || section_ref) AS n_ideas FROM terms GROUP BY term HAVING n_chapters >= 2 AND n_ideas >= 2")
+@query(GRAPH + "SELECT id, term, n_chapters, n_ideas, text FROM concepts")
 def concept_nodes(spark, d):
-    return graph.concepts(_prose(spark, d)).select("id", "term", "n_chapters", "n_ideas")
+    return graph.concepts(_ideas(spark, d)).select("id", "term", "n_chapters", "n_ideas", "text")
 
 
-@query(GRAPH + "SELECT DISTINCT 'concept:' || term AS source, 'idea:' || chapter_number || '|' || section_ref AS target FROM terms")
+@query(GRAPH + """SELECT ideas.id AS source, concepts.id AS target, term AS detail FROM ideas JOIN concepts ON regexp_matches(ideas.text, '[“" ]' || term || '[”" ,.;:]')""")
 def mentions_edges(spark, d):
-    return graph.defined_terms(_prose(spark, d)).select(F.concat(F.lit("concept:"), "term").alias("source"), F.concat(F.lit("idea:"), "chapter_number", F.lit("|"), "section_ref").alias("target")).distinct()
+    rows = _ideas(spark, d)
+    return graph.mentions(rows, graph.concepts(rows)).select("source", "target", "detail")
 
 
-@query(SQL + """SELECT 'idea:' || chapter_number || '|' || section_ref AS id, (array_agg(chunk_id ORDER BY as_at_date DESC, chunk_id))[1] AS chunk_id, count(DISTINCT download_id) AS n_versions, max(as_at_date) AS newest FROM chunks GROUP BY chapter_number, section_ref""")
+@query(GRAPH + """SELECT id, chapter_number || ' ' || section_ref AS label, chunk_id, n_versions, newest, array_to_string(list_transform(dates, lambda x: x::VARCHAR), ',') AS dates FROM ideas""")
 def idea_nodes(spark, d):
-    return graph.ideas(chunks(spark, d)).select("id", "chunk_id", "n_versions", "newest")
+    dates = F.array_join(F.transform("dates", lambda x: x.cast("string")), ",")
+    return graph.ideas(chunks(spark, d)).select("id", "label", "chunk_id", "n_versions", "newest", dates.alias("dates"))
 
 
 @query(SQL + "SELECT 'chapter:' || chapter_number AS source, 'idea:' || chapter_number || '|' || section_ref AS target FROM (SELECT DISTINCT chapter_number, section_ref FROM versions)")
@@ -122,17 +131,13 @@ def part_of_edges(spark, d):
     return keys.select(F.concat(F.lit("chapter:"), "chapter_number").alias("source"), F.concat(F.lit("idea:"), "chapter_number", F.lit("|"), "section_ref").alias("target"))
 
 
-@query(GRAPH + "SELECT 'chapter' AS type, count(*) AS n FROM chapters UNION ALL SELECT 'case', count(*) FROM cases UNION ALL SELECT 'CITES_STATUTE', count(*) FROM edges")
-def graph_audit_counts(spark, d):
-    kinds = {"chapter": chapters(spark, d), "case": cases(spark, d), "CITES_STATUTE": _edges(spark, d)}
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k, df in kinds.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
-
-
-@query(GRAPH + "SELECT chunk_id, chapter FROM refs WHERE chapter NOT IN (SELECT chapter_number FROM chapters)")
+@query(GRAPH + "SELECT id AS source, 'chapter:' || chapter AS target, detail FROM refs WHERE chapter NOT IN (SELECT chapter_number FROM chapters)")
 def dangling_edges(spark, d):
-    found = _prose(spark, d).select("chunk_id", F.explode(F.regexp_extract_all("chunk_text", F.lit(graph.CHAPTER))).alias("chapter"))
-    return found.join(chapters(spark, d).select(F.col("chapter_number").alias("chapter")), "chapter", "left_anti").select("chunk_id", "chapter")
+    """Of all edges that texts give, those that lead to no chapter or idea; ``graph.require_whole`` raises on any."""
+    rows = _ideas(spark, d)
+    nodes = chapters(spark, d).select(F.concat(F.lit("chapter:"), "chapter_number").alias("id")).unionByName(rows.select("id"))
+    found = graph.dangling(nodes, graph.chapter_references(rows).unionByName(graph.section_references(rows)))
+    return found.select("source", "target", "detail")
 
 
 @query(GRAPH + "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id")
@@ -155,12 +160,6 @@ def graph_neighbourhood(spark, d):
     return graph.neighbourhood(_edges(spark, d), seeds, 3)
 
 
-@query(SQL + r"""SELECT 'CREATE (:Case {id: "' || id || '", label: "' || substring(replace(replace(title, '\', ' '), '"', ''''), 1, 80) || '"})' AS statement FROM cases""")
-def export_cypher(spark, d):
-    label = F.substring(F.translate("title", "\\\"", " '"), 1, 80)
-    return cases(spark, d).select(F.concat(F.lit('CREATE (:Case {id: "'), "id", F.lit('", label: "'), label, F.lit('"})')).alias("statement"))
-
-
 BARE = "chunk_text || CASE WHEN chunk_id % 2 = 0 THEN ' under the Act, ' ELSE ' at the hour of ' END || (chunk_id % 25 + 1) || ':1' || (chunk_id % 10) || '.'"
 
 
@@ -183,10 +182,12 @@ def decode_vector_blob(spark, d):
     return rows.select("vec_id", F.size("v").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
-@query(SQL + "SELECT chapter_number, string_agg('- ' || title || ' (' || id || ')', chr(10) ORDER BY id) AS text FROM cases JOIN citations ON id = case_id GROUP BY chapter_number")
+@query(SQL + "SELECT chapter_number, string_agg('- ' || title || ' (' || id || ')', chr(10) ORDER BY id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY chapter_number ORDER BY id) AS nth FROM cases JOIN citations ON id = case_id) WHERE nth <= 20 GROUP BY chapter_number")
 def render_tool_text(spark, d):
-    """The cases that cite each chapter, a line each."""
-    rows = citations(spark, d).join(cases(spark, d), F.col("case_id") == F.col("id"))
+    """The first 20 cases that cite each chapter, a line each, as the tool shows them."""
+    nth = F.row_number().over(Window.partitionBy("chapter_number").orderBy("case_id"))
+    first = citations(spark, d).withColumn("nth", nth).where("nth <= 20")
+    rows = first.join(cases(spark, d), F.col("case_id") == F.col("id"))
     lines = F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit("- "), "title", F.lit(" ("), "id", F.lit(")")).alias("line"))))
     return rows.groupBy("chapter_number").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("text"))
 

@@ -1,11 +1,9 @@
 """Search and vector queries."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from statvine.operators import search
+from statvine.operators import search, similarity
 from statvine.plans.registry import query
 from statvine.sources.corpus import SQL, chunks, table
 
@@ -75,52 +73,17 @@ def paged_search(spark, d):
 
 @query("SELECT label, pos, round(mean / sqrt(sum(mean * mean) OVER (PARTITION BY label)), 5) AS x FROM (SELECT label, pos, avg(v) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL)")
 def vector_mean_pool(spark, d):
-    cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("at", "v"))
-    mean = cells.groupBy("label", (F.col("at") + 1).cast("long").alias("pos")).agg(F.avg(F.col("v").cast("double")).alias("mean"))
-    length = F.sqrt(F.sum(F.col("mean") * F.col("mean")).over(Window.partitionBy("label")))
-    return mean.select("label", "pos", F.round(F.col("mean") / length, 5).alias("x"))
-
-
-BLOCK = 2048
+    pooled = similarity.pooled(table(spark, d, "embeddings").select("label", "embedding"), "label")
+    return pooled.select(F.col("id").alias("label"), F.posexplode("embedding").alias("at", "x")).select("label", (F.col("at") + 1).cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
 @query("""WITH s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM s)
 SELECT i AS source, j AS target, round(sim, 3) AS weight FROM t WHERE r <= 6 AND j > i AND sim >= 0.3""")
 def semantic_topk_edges(spark, d, top: int = 6, least: float = 0.3):
-    """The six nearest of each vector by cosine, kept where the target's id is larger.
-
-    Vectors are dealt to blocks; each pair of blocks meets in one task as two matrices, which keeps the best six of each row;
-    a window takes the best over all blocks. A task holds two blocks whatever the input.
-    """
-    vectors = table(spark, d, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    n_blocks = max(1, -(-vectors.count() // BLOCK))
-    dealt = vectors.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    asks = dealt.select("vec_id", "embedding", F.col("own").alias("i"), others.alias("j"), F.lit(True).alias("asks"))
-    told = dealt.select("vec_id", "embedding", others.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
-
-    def meet(t: pa.Table) -> pa.Table:
-        asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, m = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), np.float64).reshape(t.num_rows, -1)
-        length = np.linalg.norm(m, axis=1)
-        ids, asks, m = ids[length > 0], asks[length > 0], m[length > 0] / length[length > 0, None]
-        a, b, m = ids[asks], ids[~asks], m[asks] @ m[~asks].T if asks.any() and (~asks).any() else np.zeros((0, 0))
-        out: list[tuple[np.ndarray, ...]] = []
-        for row in range(m.shape[0]):
-            sims = np.where(b == a[row], -np.inf, m[row])
-            k = min(top, len(b))
-            best = np.flatnonzero(sims >= np.partition(sims, -k)[-k])
-            best = best[np.lexsort((b[best], -sims[best]))][:k]
-            best = best[sims[best] > -np.inf]
-            out.append((np.full(len(best), a[row]), b[best], sims[best]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("source", "target", "sim"), columns)))
-
-    near = asks.unionByName(told).groupBy("i", "j").applyInArrow(meet, "source long, target long, sim double")
-    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))
-    best = near.withColumn("nth", nth).where(F.col("nth") <= top)
-    return best.where((F.col("target") > F.col("source")) & (F.col("sim") >= least)).select("source", "target", F.round("sim", 3).alias("weight"))
+    """The six nearest of each vector by cosine, kept where the target's id is larger."""
+    near = similarity.nearest(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), top, least)
+    return near.select("source", "target", F.round("weight", 3).alias("weight"))
 
 
 @query("""WITH hit AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS r FROM benchmark b JOIN documents d ON contains(d.text, b.text))

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from statvine.functions.vectors import cosine, dot
-from statvine.operators import casework, communities as parts, graph, search, walks
-from statvine.plans.graphs import GRAPH, _edges, _prose
+from statvine.operators import casework, communities as parts, graph, search, similarity, walks
+from statvine.plans.graphs import GRAPH, _edges, _ideas, _prose
 from statvine.plans.registry import query
 from statvine.plans.searching import _embedded, _query_vector, semantic_topk_edges
 from statvine.sources.corpus import SQL, cases, chapters, chunks, table, versions
+from statvine.sources.shared import stash
 
 #: A case's text names the title of its first line, changed in two of three.
 NAMED = "'By section 4 of the ' || CASE o % 3 WHEN 0 THEN title WHEN 1 THEN 'Old ' || title ELSE split_part(title, ' ', 2) END || ' Act, and Cap. ' || (o % 25 + 1) || ':0' || (o % 10)"
@@ -38,17 +39,20 @@ def cites_title_fuzzy(spark, d):
     return casework.title_citations(_texts(spark, d), chapters(spark, d))
 
 
-#: The graph of the text: sources as chapters, their sections as ideas, defined terms as concepts.
-TEXT_GRAPH = GRAPH + r""", ideas AS (SELECT chapter_number, section_ref, arg_min(chunk_text, (-epoch(as_at_date), chunk_id)) AS text FROM prose GROUP BY ALL),
-concepts AS (SELECT term, count(DISTINCT chapter_number || '|' || section_ref) AS n_ideas FROM terms GROUP BY term HAVING count(DISTINCT chapter_number) >= 2 AND n_ideas >= 2),
-sections AS (SELECT DISTINCT chapter_number, section_ref, unnest(regexp_extract_all(chunk_text, '(?:section|Section|s\.)\s+([0-9]{1,3}[A-Za-z]?)', 1)) AS other FROM prose),
-gnodes AS (SELECT DISTINCT 'chapter:' || chapter_number AS id, 'chapter' AS type, chapter_number AS label, NULL::BIGINT AS n_ideas FROM ideas
-UNION ALL SELECT 'idea:' || chapter_number || '|' || section_ref, 'idea', chapter_number || ' ' || section_ref, NULL FROM ideas
-UNION ALL SELECT 'concept:' || term, 'concept', term, n_ideas FROM concepts),
-gedges AS (SELECT *, type || ' ' || source || ' ' || target AS ordinal FROM (
-SELECT 'chapter:' || chapter_number AS source, 'idea:' || chapter_number || '|' || section_ref AS target, 'PART_OF' AS type FROM ideas
-UNION ALL SELECT DISTINCT 'concept:' || term, 'idea:' || chapter_number || '|' || section_ref, 'MENTIONS' FROM terms WHERE term IN (SELECT term FROM concepts)
-UNION ALL SELECT 'idea:' || s.chapter_number || '|' || s.section_ref, 'idea:' || s.chapter_number || '|' || other, 'CROSS_REF' FROM sections s JOIN ideas i ON i.chapter_number = s.chapter_number AND i.section_ref = other WHERE other <> s.section_ref)),
+LEAST = 0.3
+#: The graph of the text: laws and sources as chapters, their sections as ideas, defined terms as concepts, pooled vectors.
+TEXT_GRAPH = GRAPH + f""", pools AS (SELECT id, list(x ORDER BY pos) AS v FROM (SELECT 'idea:' || chapter_number || '|' || section_ref AS id, pos, avg(x) AS x FROM (SELECT chapter_number, section_ref, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM chunks JOIN embeddings ON chunk_id = vec_id) GROUP BY ALL) GROUP BY id),
+sims AS (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.v, b.v) AS sim FROM pools a JOIN pools b ON a.id <> b.id),
+gnodes AS (SELECT 'chapter:' || chapter_number AS id, 'chapter' AS type, title AS label, NULL::BIGINT AS n_ideas FROM chapters
+UNION ALL SELECT DISTINCT 'chapter:' || chapter_number, 'chapter', chapter_number, NULL FROM ideas
+UNION ALL SELECT id, 'idea', chapter_number || ' ' || section_ref, NULL FROM ideas
+UNION ALL SELECT id, 'concept', term, n_ideas FROM concepts),
+gedges AS (SELECT *, type || ' ' || source || ' ' || target || ' ' || detail AS ordinal FROM (
+SELECT 'chapter:' || chapter_number AS source, id AS target, 'PART_OF' AS type, 'EXTRACTED' AS evidence, NULL::DOUBLE AS weight, 'statute' AS detail FROM ideas
+UNION ALL SELECT source, target, 'SEMANTIC', 'INFERRED', round(sim, 4), 'embedding cosine' FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS r FROM sims) WHERE r <= 6 AND target > source AND sim >= {LEAST}
+UNION ALL SELECT id, 'chapter:' || chapter, 'CROSS_REF', 'EXTRACTED', NULL, detail FROM refs WHERE chapter IN (SELECT chapter_number FROM chapters)
+UNION ALL SELECT id, 'idea:' || chapter_number || '|' || other, 'CROSS_REF', 'EXTRACTED', NULL, 'section ' || other FROM named WHERE other <> section_ref AND 'idea:' || chapter_number || '|' || other IN (SELECT id FROM ideas)
+UNION ALL SELECT ideas.id, concepts.id, 'MENTIONS', 'EXTRACTED', NULL, term FROM ideas JOIN concepts ON regexp_matches(ideas.text, '[“" ]' || term || '[”" ,.;:]'))),
 drawn AS (SELECT g.*, coalesce(degree, 0) AS degree FROM gnodes g LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM gedges UNION ALL SELECT target FROM gedges) GROUP BY id) USING (id)
 ORDER BY g.id IN (SELECT id FROM gnodes WHERE type = 'concept' ORDER BY n_ideas DESC, id LIMIT 30) DESC, degree DESC, id LIMIT 400),
 drawn_edges AS (SELECT * FROM gedges WHERE type <> 'PART_OF' AND source IN (SELECT id FROM drawn) AND target IN (SELECT id FROM drawn) ORDER BY ordinal LIMIT 2500)
@@ -56,18 +60,23 @@ drawn_edges AS (SELECT * FROM gedges WHERE type <> 'PART_OF' AND source IN (SELE
 
 
 def _text_graph(spark, d):
-    rows = _prose(spark, d)
-    idea = F.concat(F.lit("idea:"), "chapter_number", F.lit("|"), "section_ref")
-    ideas, concepts = graph.ideas(rows), graph.concepts(rows)
-    nodes = ideas.select(F.concat(F.lit("chapter:"), "chapter_number").alias("id"), F.lit("chapter").alias("type"), F.col("chapter_number").alias("label")).distinct()
-    nodes = nodes.unionByName(ideas.select("id", F.lit("idea").alias("type"), F.concat_ws(" ", "chapter_number", "section_ref").alias("label"), F.col("chunk_text").alias("text")), allowMissingColumns=True)
-    nodes = nodes.unionByName(concepts.select("id", F.lit("concept").alias("type"), F.col("term").alias("label"), "n_ideas"), allowMissingColumns=True)
-    part_of = ideas.select(F.concat(F.lit("chapter:"), "chapter_number").alias("source"), F.col("id").alias("target"), F.lit("PART_OF").alias("type"))
-    mentions = graph.defined_terms(rows).join(concepts.select("term"), "term", "left_semi").select(F.concat(F.lit("concept:"), "term").alias("source"), idea.alias("target"), F.lit("MENTIONS").alias("type")).distinct()
-    other = F.concat(F.lit("idea:"), "chapter_number", F.lit("|"), "other")
-    refs = graph.section_references(rows).select(idea.alias("source"), other.alias("target"), F.lit("CROSS_REF").alias("type"))
-    edges = part_of.unionByName(mentions).unionByName(refs)
-    return nodes, edges.withColumn("ordinal", F.concat_ws(" ", "type", "source", "target"))
+    """Nodes (id, type, label, text, n_ideas) and edges (source, target, type, evidence, weight, detail, ordinal) of the texts."""
+    ideas = stash(graph.ideas(_prose(spark, d)), "ideas")
+    concepts = stash(graph.concepts(ideas), "concepts")
+    laws = chapters(spark, d)
+    nodes = laws.select(F.concat(F.lit("chapter:"), "chapter_number").alias("id"), F.lit("chapter").alias("type"), F.col("title").alias("label"), F.col("title").alias("text"))
+    sources = ideas.select(F.concat(F.lit("chapter:"), "chapter_number").alias("id"), F.lit("chapter").alias("type"), F.col("chapter_number").alias("label"), F.col("chapter_number").alias("text")).distinct()
+    nodes = nodes.unionByName(sources).unionByName(ideas.select("id", F.lit("idea").alias("type"), "label", F.col("chunk_text").alias("text")))
+    nodes = nodes.unionByName(concepts.select("id", F.lit("concept").alias("type"), F.col("term").alias("label"), "text", "n_ideas"), allowMissingColumns=True)
+    near = similarity.nearest(_pooled(spark, d), 6, LEAST)
+    edges = graph.part_of(ideas).unionByName(graph.semantic(near)).unionByName(graph.chapter_references(ideas, laws)).unionByName(graph.section_references(ideas)).unionByName(graph.mentions(ideas, concepts))
+    return nodes, edges.withColumn("ordinal", F.concat_ws(" ", "type", "source", "target", "detail"))
+
+
+def _pooled(spark, d):
+    """id, embedding of every idea that has vectors: their mean over all versions."""
+    rows = chunks(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    return similarity.pooled(rows.select(graph.idea_id().alias("id"), "embedding"), "id")
 
 
 @query(TEXT_GRAPH + "SELECT * FROM gnodes")
@@ -75,14 +84,26 @@ def graph_nodes(spark, d):
     return _text_graph(spark, d)[0].select("id", "type", "label", "n_ideas")
 
 
-@query(TEXT_GRAPH + "SELECT source, target, type FROM gedges")
+@query(TEXT_GRAPH + "SELECT source, target, type, evidence, weight, detail FROM gedges")
 def graph_edges(spark, d):
-    return _text_graph(spark, d)[1].select("source", "target", "type")
+    return _text_graph(spark, d)[1].drop("ordinal")
+
+
+@query(TEXT_GRAPH + "SELECT 'node' AS what, type, count(*) AS n FROM gnodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM gedges GROUP BY type UNION ALL SELECT 'evidence', evidence, count(*) FROM gedges GROUP BY evidence")
+def graph_audit_counts(spark, d):
+    return graph.audit(*_text_graph(spark, d))
+
+
+@query(TEXT_GRAPH + r""", made AS (SELECT * FROM gnodes WHERE type IN ('chapter', 'concept') UNION ALL SELECT * FROM (SELECT * FROM gnodes WHERE type = 'idea' ORDER BY id LIMIT (SELECT greatest(0, 2000 - count(*)) FROM gnodes WHERE type = 'chapter')))
+SELECT 'node' AS kind, 'CREATE (n:`' || upper(type) || '` {id:"' || id || '", label:"' || substring(replace(replace(label, '\', ' '), '"', ''''), 1, 80) || '"});' AS statement FROM made
+UNION ALL SELECT 'edge', 'MATCH (a {id:"' || source || '"}),(b {id:"' || target || '"}) CREATE (a)-[:' || type || ' {evidence:"' || evidence || '"}]->(b);' FROM gedges WHERE source IN (SELECT id FROM made) AND target IN (SELECT id FROM made)""")
+def export_cypher(spark, d):
+    return graph.cypher(*_text_graph(spark, d))
 
 
 @query(TEXT_GRAPH + "SELECT id, n_ideas FROM gnodes WHERE type = 'concept' ORDER BY n_ideas DESC, id LIMIT 30")
 def top_concepts(spark, d):
-    return graph.concepts(_prose(spark, d)).select("id", "n_ideas").orderBy(F.desc("n_ideas"), "id").limit(30)
+    return graph.concepts(_ideas(spark, d)).select("id", "n_ideas").orderBy(F.desc("n_ideas"), "id").limit(30)
 
 
 @query(TEXT_GRAPH + "SELECT id, type, degree FROM drawn")
@@ -169,9 +190,12 @@ def connected_components(spark, d):
 
 @query()
 def communities(spark, d):
-    """Communities of semantic edges with their size; weights in thousandths. SQL doesn't say how many rounds it takes."""
+    """Every member of each community of semantic edges, with the community's size; weights in thousandths.
+
+    SQL doesn't say how many rounds it takes.
+    """
     edges = semantic_topk_edges(spark, d).select("source", "target", F.round(F.col("weight") * 1000).cast("long").alias("weight"))
-    return parts.ranked(parts.greedy_communities(edges))
+    return parts.listed(parts.greedy_communities(edges))
 
 
 @query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS similarity FROM embeddings""")
