@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statvine.llm.common import arrow_schema, bare, map_rows, stash, to_batch, unused
@@ -46,6 +46,8 @@ LEAST_ESTIMATE = 0.5
 #: Shingles and sets of a cluster in a block.
 BLOCK, SETS = 2_000_000, 4096
 SALTS = 64
+#: Rows of a table of large clusters that may be broadcast; beyond it is joined.
+MOST_BROADCAST = 200_000
 #: Rows of a bucket in a block.
 MEET = 4096
 #: Words whose hashes a task remembers.
@@ -310,11 +312,16 @@ def _joined(edges: DataFrame) -> DataFrame:
     return connected_components(edges.select(F.col("a").alias("source"), F.col("b").alias("target"))).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
 
-def _blocks(rows: DataFrame) -> F.Column:
+def _blocks() -> Column:
     """How many blocks hold the rows of a group, by shingles and by sets."""
     return F.greatest(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(SETS))).cast("int")
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """To be broadcast, if its rows, some numbers each, are few; a large cluster's members then stay where they are."""
+    return F.broadcast(written) if written.count() <= MOST_BROADCAST else written
+
+
 def links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: classes whose full sets are similar enough, as many as connect them.
 
@@ -323,20 +330,21 @@ def links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size: int,
     are never compared again.
     """
     members = clustered.join(classes.select("class", "doc_id", "mark", "n_shingles"), "class")
-    blocks = members.groupBy("cluster").agg(_blocks(members).alias("blocks"), F.min(F.struct(F.xxhash64("class"), "class")).alias("x")).select("cluster", "blocks", F.col("x.class").alias("leader"))
-    members = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    blocks = members.groupBy("cluster").agg(_blocks().alias("blocks"), F.min(F.struct(F.xxhash64("class"), "class")).alias("x"))
+    large = _small(stash(blocks.where("blocks > 1").select("cluster", "blocks", F.col("x.class").alias("leader")), "dedup-large"))
+    members = members.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     lead = F.when(F.col("class") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = members.select("class", "cluster", "doc_id", "mark", F.lit(0).alias("i"), F.explode(lead).alias("j"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("label"), F.lit(True).alias("all"))
     found = stash(_verify(docs, first, size, percent), "dedup-links")
-    many = stash(members.where("blocks > 1").select("class", "cluster", "doc_id", "mark", "n_shingles", "own", "blocks"), "dedup-large")
-    if many.isEmpty():
+    if large.isEmpty():
         return found
+    many = members.where("blocks > 1").select("class", "cluster", "doc_id", "mark", "n_shingles", "own", "blocks")
     parts = _joined(found)
     many = many.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     main = many.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    many = stash(many.join(main, "cluster"), "dedup-parts")
+    many = stash(many.join(_small(stash(main, "dedup-main")), "cluster"), "dedup-parts")
     outside = many.where("label <> main")
-    dealt = outside.groupBy("cluster").agg(_blocks(outside).alias("outer"))
+    dealt = _small(stash(outside.groupBy("cluster").agg(_blocks().alias("outer")), "dedup-outside"))
     # block i of what is outside meets block j of the whole cluster
     rows = outside.join(dealt, "cluster").withColumn("i", F.pmod(F.xxhash64("class", F.lit(2)), "outer").cast("int"))
     asks = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.lit(0))
