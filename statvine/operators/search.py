@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statvine.functions.text import pdf_url
 from statvine.functions.vectors import cosine
+from statvine.sources.shared import stash
 
 RANKED, RRF = 100, 60
 
@@ -20,24 +28,66 @@ def postings(chunks: DataFrame) -> DataFrame:
     return words.select("chunk_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
 
 
+def wanted(query: str) -> list[str]:
+    return sorted({w for w in re.split("[^a-z0-9]+", query.lower()) if w})
+
+
 def fts(chunks: DataFrame, query: str) -> DataFrame:
     """chunk_id, score of the chunks that hold every word of the query: sum of tf * ln(1 + N / df) / (1 + ln(size)).
 
-    Only postings of the query's words leave the scan.
+    Texts are cut into words once, in one scan without a shuffle; what holds some of the words is written to the shared
+    folder, a few numbers a row, and read for the counts and for the scores.
     """
-    import re
-
-    wanted = sorted({w for w in re.split("[^a-z0-9]+", query.lower()) if w})
-    if not wanted:
+    words = wanted(query)
+    if not words:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).where("false")
-    terms = tokens("chunk_text")
-    hits = chunks.select("chunk_id", F.size(terms).alias("size"), F.filter(terms, lambda x: x.isin(wanted)).alias("hits"))
-    rows = hits.select("chunk_id", "size", F.explode("hits").alias("term")).groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
-    n = chunks.agg(F.count("*").alias("n"))
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.col("tf") * F.log(1 + F.col("n") / F.col("df")) / (1 + F.log("size"))
-    stats = F.broadcast(df.join(F.broadcast(n)))  # a row for each word of the query
-    return rows.join(stats, "term").groupBy("chunk_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("words")).where(F.col("words") == len(wanted)).drop("words")
+    tf = lambda t: F.array(*(F.array_size(t) - F.array_size(F.array_remove(t, w)) for w in words))
+    # a lambda's variable is evaluated once, however often it is used
+    one = F.transform(F.array(tokens("chunk_text")), lambda t: F.struct(F.size(t).alias("size"), tf(t).alias("tf")))[0]
+    found = stash(chunks.select("chunk_id", one.alias("x")).select("chunk_id", "x.*").where(F.exists("tf", lambda n: n > 0)), "fts-hits")
+    counts = found.agg(*(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(words)))).first()  # a number a word
+    n = chunks.count()
+    if not all(counts):
+        return found.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+    return _scored(found.where(F.forall("tf", lambda x: x > 0)), [F.col("tf")[i] for i in range(len(words))], [math.log(1 + n / df) for df in counts])
+
+
+def _scored(rows: DataFrame, tf: list, weights: list[float]) -> DataFrame:
+    total = functools.reduce(operator.add, (t * F.lit(w) for t, w in zip(tf, weights)))
+    return rows.select("chunk_id", F.round(total / (1 + F.log("size")), 6).alias("score"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: postings by bucket of the term, and how many chunks there are."""
+
+    postings: DataFrame
+    n: int
+    buckets: int
+
+    @classmethod
+    def build(cls, chunks: DataFrame, buckets: int = 64) -> "Index":
+        """Written to the shared folder, once for many queries; a query reads the buckets of its words alone."""
+        rows = postings(chunks).withColumn("bucket", _bucket(F.col("term"), buckets))
+        rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
+        return cls(stash(rows, "fts-index", "bucket"), chunks.count(), buckets)
+
+    def fts(self, query: str) -> DataFrame:
+        """As ``fts`` on the chunks."""
+        words = wanted(query)
+        spark = self.postings.sparkSession
+        buckets = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"), self.buckets)).collect()})  # a row a word
+        rows = self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+        df = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row a word
+        if not words or len(df) < len(words):
+            return rows.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+        tf = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(words)]
+        whole = rows.groupBy("chunk_id").agg(F.first("size").alias("size"), F.count("*").alias("held"), *tf).where(F.col("held") == len(words))
+        return _scored(whole, [F.col(f"tf{i}") for i in range(len(words))], [math.log(1 + self.n / df[w]) for w in words])
+
+
+def _bucket(term, buckets: int):
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def vector(embeddings: DataFrame, query: list[float]) -> DataFrame:
@@ -59,17 +109,28 @@ def fuse(a: DataFrame, b: DataFrame, most: int = RANKED) -> DataFrame:
     return left.join(right, "chunk_id", "full_outer").select("chunk_id", F.round(part("rank_a") + part("rank_b"), 9).alias("score"))
 
 
-def grouped(chunks: DataFrame, scores: DataFrame, date: str | None = None) -> DataFrame:
-    """A row for each provision hit: its best chunk, its newest version, how many versions, and its score."""
+def grouped(chunks: DataFrame, scores: DataFrame, date: str | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """A row for each provision hit: key, title, chapter_number, section_ref, heading, matched_version, latest_available,
+    versions (the newest first, each once) and score.
+
+    A version is version_id, download_id, as_at_date, version_label and pdf_url; the matched one also has its best chunk's
+    chunk_id and chunk_text. Only ids, dates and scores are compared; texts join the winners.
+    """
     from statvine.operators.temporal import KEY, cutoff
 
     within = cutoff(chunks, date)
-    hits = within.join(scores, "chunk_id")
+    version_id = F.col("version_id") if "version_id" in chunks.columns else F.col("download_id")
+    heading = F.coalesce("heading", F.lit("")) if "heading" in chunks.columns else F.lit("")
+    version = F.struct("as_at_date", "download_id", version_id.alias("version_id"), F.coalesce("version_label", F.lit("")).alias("version_label"), pdf_url(F.col("download_id")).alias("pdf_url"))
+    hits = within.select("chunk_id", *KEY, "as_at_date").join(scores, "chunk_id")
     best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), F.col("as_at_date").desc_nulls_last(), "chunk_id"))
-    top = hits.withColumn("nth", best).where("nth = 1").select(*KEY, F.col("chunk_id").alias("matched_chunk"), F.col("as_at_date").alias("matched_date"), "score")
-    listed = F.array_sort(F.collect_list(F.struct("as_at_date", "download_id")))
-    by_key = within.join(top.select(*KEY), list(KEY), "left_semi").groupBy(*KEY).agg(F.max("as_at_date").alias("latest_date"), F.count_distinct("download_id").alias("n_versions"), F.reverse(listed).alias("versions"))
-    return top.join(by_key, list(KEY)).withColumn("key", F.concat_ws("::", *KEY))
+    top = hits.withColumn("nth", best).where("nth = 1").select("chunk_id", "score")
+    top = within.join(top, "chunk_id").select(*KEY, heading.alias("heading"), version.withField("chunk_id", F.col("chunk_id")).withField("chunk_text", F.col("chunk_text")).alias("matched_version"), "score")
+    by_key = within.join(top.select(*KEY), list(KEY), "left_semi").groupBy(*KEY).agg(F.reverse(F.array_sort(F.collect_set(version))).alias("versions"))
+    rows = top.join(by_key, list(KEY)).withColumn("latest_available", F.filter("versions", lambda v: v["as_at_date"].isNotNull())[0]).withColumn("key", F.concat_ws("::", *KEY))
+    if titles is None:
+        return rows.withColumn("title", F.lit(""))
+    return rows.join(titles.select("chapter_number", "title"), "chapter_number", "left").withColumn("title", F.coalesce("title", F.lit("")))
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
@@ -79,3 +140,36 @@ def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     rows = df.orderBy(*order).offset(offset).limit(limit + 1)
     numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over `limit` + 1 rows
     return numbered.withColumn("has_more", F.max("place").over(Window.partitionBy()) > limit).where(F.col("place") <= limit)
+
+
+WINDOW = 8
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, doc_id, n_chars of the documents (doc_id, n_chars, text) that hold a passage (item_id, passage) as it is.
+
+    Both meet on the hash of the passage's inner words, as many as ``WINDOW`` at most: the first and last word may be parts
+    of words of the document. A document gives only the hashes of its windows, no text; passages of less than three words
+    have no inner word and are looked for in every document.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    keyed = items.withColumn("inner", F.slice(words("passage"), 2, WINDOW)).withColumn("size", F.least(F.lit(WINDOW), F.size(words("passage")) - 2))
+    long = keyed.where("size > 0").select("item_id", "passage", "size", F.xxhash64("size", F.slice("inner", F.lit(1), F.col("size"))).alias("key"))
+    sizes = [r[0] for r in long.select("size").distinct().collect()]  # at most WINDOW
+    cut = docs.select("doc_id", words("text").alias("w"))
+
+    def of_size(n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, n)))
+
+    windows = [of_size(n) for n in sizes]
+    near = None
+    if windows:
+        dealt = cut.select("doc_id", F.explode(F.array_distinct(F.concat(*windows))).alias("key"))
+        near = dealt.join(long.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+    short = keyed.where("size <= 0").select("item_id", "passage")
+    found = []
+    if near is not None:
+        found.append(near.join(docs, "doc_id").join(items, "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "n_chars"))
+    if not short.isEmpty():
+        found.append(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "n_chars"))
+    return functools.reduce(DataFrame.unionByName, found) if found else docs.join(items, F.lit(False)).select("item_id", "doc_id", "n_chars")

@@ -52,7 +52,7 @@ def search_provisions(lib: Library, query: str, chapter: str = "", date: str = "
     """The provisions that hold every word, each by its best chunk."""
     rows = lib.chunks.where(F.col("chapter_number") == chapter) if chapter else lib.chunks
     found = search.grouped(rows, search.fts(rows, query), date or None).orderBy(F.desc("score"), "key").limit(limit)
-    best = found.select("score", "key", F.col("matched_chunk").alias("chunk_id")).join(rows, "chunk_id")
+    best = found.select("score", "key", "chapter_number", "section_ref", "matched_version.*")
     named = best.join(lib.chapters.select("chapter_number", "title"), "chapter_number", "left")
     section = F.coalesce(F.nullif("section_ref", F.lit("")), F.lit("whole chapter"))
     return _shown(named, [F.desc("score"), F.col("key")], limit, source_id=F.concat(F.lit("chunk:"), "chunk_id"), line=_version(_place(section)), kind="statute", title=F.col("title"), chapter=F.col("chapter_number"), section=F.col("section_ref"), date=F.col("as_at_date"), url=pdf_url(F.col("download_id")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from statvine.operators import search, similarity
 from statvine.plans.registry import query
-from statvine.sources.corpus import SQL, chunks, table
+from statvine.sources.corpus import SQL, chapters, chunks, table
 
 WORDS = "that with"
 FTS = SQL + """, terms AS (SELECT chunk_id, list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM chunks),
@@ -46,23 +46,30 @@ def search_hybrid(spark, d):
     return search.fuse(search.fts(chunks(spark, d), WORDS), search.vector(_embedded(spark, d), _query_vector(spark, d)))
 
 
-GROUPED = FTS + """, hits AS (SELECT * FROM chunks JOIN fts USING (chunk_id) WHERE as_at_date <= DATE '2010-01-01'),
-top AS (SELECT chapter_number, section_ref, chunk_id AS matched_chunk, as_at_date AS matched_date, score FROM hits QUALIFY row_number() OVER (PARTITION BY chapter_number, section_ref ORDER BY score DESC, as_at_date DESC, chunk_id) = 1),
-by_key AS (SELECT chapter_number, section_ref, max(as_at_date) AS latest_date, count(DISTINCT download_id) AS n_versions, string_agg(download_id::VARCHAR, ',' ORDER BY as_at_date DESC, download_id DESC) AS versions FROM chunks WHERE as_at_date <= DATE '2010-01-01' GROUP BY ALL),
-grouped AS (SELECT chapter_number || '::' || section_ref AS key, matched_chunk, matched_date, score, latest_date, n_versions, versions FROM top JOIN by_key USING (chapter_number, section_ref))
+URL = "CASE WHEN download_id = 0 THEN '' ELSE '/api/pdf/' || download_id END"
+GROUPED = FTS + f""", hits AS (SELECT * FROM chunks JOIN fts USING (chunk_id) WHERE as_at_date <= DATE '2010-01-01'),
+top AS (SELECT chapter_number, section_ref, chunk_id AS matched_chunk, as_at_date AS matched_date, chunk_text AS matched_text, version_label AS matched_label, {URL} AS matched_url, score FROM hits QUALIFY row_number() OVER (PARTITION BY chapter_number, section_ref ORDER BY score DESC, as_at_date DESC, chunk_id) = 1),
+by_key AS (SELECT chapter_number, section_ref, max(as_at_date) AS latest_date, arg_max({URL}, (as_at_date, download_id)) AS latest_url, string_agg(download_id || ' ' || as_at_date || ' ' || version_label || ' ' || {URL}, ',' ORDER BY as_at_date DESC, download_id DESC) AS versions FROM chunks WHERE as_at_date <= DATE '2010-01-01' GROUP BY ALL),
+grouped AS (SELECT chapter_number || '::' || section_ref AS key, * FROM top JOIN by_key USING (chapter_number, section_ref))
 """
 
 
 def _grouped(spark, d):
     rows = chunks(spark, d)
-    found = search.grouped(rows, search.fts(rows, WORDS), "2010-01-01")
-    listed = F.array_join(F.transform("versions", lambda x: x["download_id"].cast("string")), ",")
-    return found.select("key", "matched_chunk", "matched_date", "score", "latest_date", "n_versions", listed.alias("versions"))
+    return search.grouped(rows, search.fts(rows, WORDS), "2010-01-01", chapters(spark, d))
 
 
-@query(GROUPED + "SELECT * FROM grouped")
+@query(GROUPED + "SELECT key, '' AS title, matched_chunk, matched_date, matched_text, matched_label, matched_url, score, latest_date, latest_url, versions FROM grouped")
 def search_grouped(spark, d):
-    return _grouped(spark, d)
+    listed = F.array_join(F.transform("versions", lambda x: F.concat_ws(" ", x["download_id"], x["as_at_date"], x["version_label"], x["pdf_url"])), ",")
+    of = lambda c, name: F.col(f"matched_version.{c}").alias(f"matched_{name}")
+    return _grouped(spark, d).select("key", "title", of("chunk_id", "chunk"), of("as_at_date", "date"), of("chunk_text", "text"), of("version_label", "label"), of("pdf_url", "url"), "score", F.col("latest_available.as_at_date").alias("latest_date"), F.col("latest_available.pdf_url").alias("latest_url"), listed.alias("versions"))
+
+
+@query(FTS + "SELECT * FROM fts")
+def search_fts_indexed(spark, d):
+    """The same from a stored index, of which a query reads the buckets of its words."""
+    return search.Index.build(chunks(spark, d)).fts(WORDS)
 
 
 @query(GROUPED + "SELECT key, score, place, (SELECT count(*) FROM grouped) > 30 AS has_more FROM (SELECT key, score, row_number() OVER (ORDER BY score DESC, key) - 20 AS place FROM grouped) WHERE place BETWEEN 1 AND 10")
@@ -91,17 +98,11 @@ SELECT count(DISTINCT item_id) FILTER (r <= 20) AS found, (SELECT count(*) FROM
 def recall_at_k(spark, d):
     """Of the benchmark's passages, how many some document holds among its first 20 hits.
 
-    Passages and documents meet on the passages' second to ninth words, so only likely pairs are compared.
+    Passages and documents meet on a window of the passage, so only likely pairs are compared.
     """
-    size = 8
-    words = lambda c: F.split(c, r"\s+")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    lead = items.withColumn("key", F.array_join(F.slice(words("passage"), 2, size), " "))
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "text", words("text").alias("words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - size + 1))
-    windows = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, size), " ")))).alias("key"))
-    near = windows.join(lead, "key").select("item_id", "passage", "doc_id").distinct()
-    pairs = near.join(docs.select("doc_id", "n_chars", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "text")
+    pairs = search.holding(docs, items)
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy("n_chars", "doc_id"))
     found = pairs.withColumn("r", nth).where("r <= 20").agg(F.count_distinct("item_id").alias("found"))
     return found.join(items.agg(F.count("*").alias("items")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
+def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes ``df`` to the shared folder, in folders by the columns ``by``, and reads it back: lineage is cut, and a lost executor loses nothing.
+
+    ``scratch`` removes what was written within it; outside of it files stay until the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    for written in _OPEN:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all that ``stash`` wrote within it, by the file system that holds it; write results before."""
+    written: list[str] = []
+    _OPEN.append(written)
+    try:
+        yield
+    finally:
+        _OPEN.remove(written)
+        for path in written:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
