@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SNIPPET, EXCERPT = 400, 620
+SNIPPET, EXCERPT, TOOL_TEXT = 400, 620, 6000
 
 
 def squeeze(text: Column) -> Column:
@@ -18,6 +18,11 @@ def snippet(text: Column, most: int = SNIPPET) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
 
 
+def tool_text(text: Column) -> Column:
+    """What of a tool's text an assistant is given."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, TOOL_TEXT)
+
+
 def query_terms(query: Column) -> Column:
     """The distinct lower-case words of more than two characters, in order."""
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda x: F.length(x) > 2))

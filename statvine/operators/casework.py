@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Citation forms. Fixed patterns.
-CHAPTER = r"(?i)\b(?:Cap(?:ition)?\.|Ch(?:ap)?\.|Chapter)\s*([0-9]{1,2}:[0-9]{1,2})\b"
+from statvine.operators.graph import CITED as CHAPTER
+from statvine.operators.graph import bare_references
+
+#: The form of a law's name. Fixed pattern.
 ACT = r"(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b"
 HITS, GRAM = 3, 8
 
@@ -58,3 +62,27 @@ def title_citations(cases: DataFrame, chapters: DataFrame) -> DataFrame:
     counts = pairs.groupBy("norm").agg(F.sum("n").alias("hits"))
     edges = named.join(chosen, "norm").join(counts, "norm")
     return edges.select("case_id", F.concat(F.lit("chapter:"), "chapter_number").alias("target"), F.when(F.col("hits") == 1, "high").otherwise("low").alias("confidence"), F.concat(F.lit("the "), "name", F.lit(" "), "kind").alias("detail"))
+
+
+def case_edges(cases: DataFrame, chapters: DataFrame) -> DataFrame:
+    """source, target, type, evidence, method, confidence, detail of all citations in ``text`` of cases (case_id, text).
+
+    Of equal source, target and method one stays: chapters in full form before bare numbers, then by detail.
+    """
+    bare = bare_references(cases.select(F.col("case_id").alias("chunk_id"), F.col("text").alias("chunk_text")), chapters)
+    bare = bare.select(F.col("chunk_id").alias("case_id"), F.concat(F.lit("chapter:"), "chapter").alias("target"), "confidence", F.col("chapter").alias("detail"))
+    kinds = ((0, "REGEX", chapter_citations(cases, chapters)), (1, "REGEX", bare), (2, "TITLE_MATCH", title_citations(cases, chapters)))
+    parts = [df.select("case_id", "target", F.lit(method).alias("method"), F.struct(F.lit(place).alias("place"), "detail", "confidence").alias("x")) for place, method, df in kinds]
+    one = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("case_id", "target", "method").agg(F.min("x").alias("x"))
+    return one.select(F.concat(F.lit("case:"), "case_id").alias("source"), "target", F.lit("CITES_STATUTE").alias("type"), F.lit("EXTRACTED").alias("evidence"), "method", "x.confidence", "x.detail")
+
+
+def report(cases: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
+    """what, name, n: cases loaded, cases that cite, edges, edges by confidence and by method, and the most cited targets."""
+    rows = [cases.agg(F.count("*").alias("n")).select(F.lit("cases_loaded").alias("what"), F.lit("").alias("name"), "n")]
+    rows.append(edges.agg(F.count_distinct("source").alias("n")).select(F.lit("case_nodes").alias("what"), F.lit("").alias("name"), "n"))
+    rows.append(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), F.lit("").alias("name"), "n"))
+    for c in ("confidence", "method"):
+        rows.append(edges.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(c).alias("what"), "name", "n"))
+    rows.append(edges.groupBy(F.col("target").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top).select(F.lit("target").alias("what"), "name", "n"))
+    return functools.reduce(DataFrame.unionByName, rows)

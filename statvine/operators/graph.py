@@ -154,16 +154,21 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 #: Words that make a bare number a citation when one stands whole within the 40 characters before it. Fixed values.
+CITED = r"(?i)\b(?:Cap(?:ition)?\.|Ch(?:ap)?\.|Chapter)\s*([0-9]{1,2}:[0-9]{1,2})\b"
 ACT_WORDS = ("act", "ordinance", "chapter", "cap", "ch")
 BEFORE = 40
 
 
 def bare_references(texts: DataFrame, chapters: DataFrame) -> DataFrame:
-    """chunk_id, chapter of numbers ``N:N`` shortly after an act-like word, where the chapter exists.
+    """chunk_id, chapter, confidence, method of numbers ``N:N`` shortly after an act-like word, where the chapter exists.
+
+    Confidence is high where the text also cites a chapter in full form.
 
     A bounded look-behind reads the context, only where a number stands, so neighbouring citations don't swallow each other.
     """
     context = "|".join(rf"\b{w}\b.{{0,{BEFORE - len(w)}}}" for w in ACT_WORDS)
     pattern = rf"(?is)\b(?=[0-9]{{1,2}}:[0-9])(?<={context})([0-9]{{1,2}}:[0-9]{{1,2}})\b"
-    found = texts.select("chunk_id", F.explode(F.regexp_extract_all("chunk_text", F.lit(pattern))).alias("chapter"))
-    return found.join(chapters.select(F.col("chapter_number").alias("chapter")).distinct(), "chapter", "left_semi").select("chunk_id", "chapter")
+    sure = F.when(F.col("chunk_text").rlike(CITED), "high").otherwise("medium")
+    found = texts.select("chunk_id", F.explode(F.regexp_extract_all("chunk_text", F.lit(pattern))).alias("chapter"), sure.alias("confidence"))
+    known = chapters.select(F.col("chapter_number").alias("chapter")).distinct()
+    return found.join(known, "chapter", "left_semi").select("chunk_id", "chapter", "confidence", F.lit("REGEX").alias("method"))

@@ -127,7 +127,7 @@ def grouped(chunks: DataFrame, scores: DataFrame, date: str | None = None, title
     top = hits.withColumn("nth", best).where("nth = 1").select("chunk_id", "score")
     top = within.join(top, "chunk_id").select(*KEY, heading.alias("heading"), version.withField("chunk_id", F.col("chunk_id")).withField("chunk_text", F.col("chunk_text")).alias("matched_version"), "score")
     by_key = within.join(top.select(*KEY), list(KEY), "left_semi").groupBy(*KEY).agg(F.reverse(F.array_sort(F.collect_set(version))).alias("versions"))
-    rows = top.join(by_key, list(KEY)).withColumn("latest_available", F.filter("versions", lambda v: v["as_at_date"].isNotNull())[0]).withColumn("key", F.concat_ws("::", *KEY))
+    rows = top.join(by_key, list(KEY)).withColumn("latest_available", F.get(F.filter("versions", lambda v: v["as_at_date"].isNotNull()), F.lit(0))).withColumn("key", F.concat_ws("::", *KEY))
     if titles is None:
         return rows.withColumn("title", F.lit(""))
     return rows.join(titles.select("chapter_number", "title"), "chapter_number", "left").withColumn("title", F.coalesce("title", F.lit("")))

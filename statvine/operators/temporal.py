@@ -31,8 +31,9 @@ def history(df: DataFrame) -> DataFrame:
 
 def with_fallback(df: DataFrame, date: str) -> DataFrame:
     """As of the date, or where nothing is that old the newest version without a cutoff."""
-    dated = as_of(df, date)
-    return dated.withColumn("fell_back", F.lit(False)).unionByName(as_of(df, None).join(dated.select(*KEY), list(KEY), "left_anti").withColumn("fell_back", F.lit(True)))
+    late = ~F.coalesce(F.col("as_at_date") <= F.lit(date).cast("date"), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(late, *newest_first(df)))
+    return df.withColumn("nth", nth).where("nth = 1").drop("nth").withColumn("fell_back", late)
 
 
 def resolve(df: DataFrame, wanted: DataFrame, date: str, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ No rows mean that nothing was found.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -68,18 +69,27 @@ def lookup_section(lib: Library, chapter: str, section: str, date: str = "", lim
 
 
 def resolve_citation(lib: Library, chapter: str, section: str, date: str = "", limit: int = 5) -> DataFrame:
-    """The provision a written citation means, with its whole text, or the nearest sections of the chapter."""
-    meant = (F.col("chapter_number") == forms.normalize_chapter(F.lit(chapter))) & (F.col("section_ref") == forms.normalize_section(F.lit(section)))
-    named = lib.chunks.join(lib.chapters.select("chapter_number", "title"), "chapter_number", "left")
-    found = temporal.as_of(named.where(meant), date or None)
+    """The provision a written citation means, with its whole text; else its status and the nearest sections of the chapter.
+
+    Several texts at the newest date are ambiguous. What isn't a chapter or section number gives a message.
+    """
+    number, part = forms.normalize_chapter(F.lit(chapter)), forms.normalize_section(F.lit(section))
+    spark = lib.chunks.sparkSession
+    wanted = spark.range(1).select(number.alias("chapter_number"), part.alias("section_ref"))
+    named = lib.chunks.where(F.col("chapter_number") == number).join(lib.chapters.select("chapter_number", "title"), "chapter_number", "left")
+    meant = named.where(F.col("section_ref") == part)
+    status = temporal.resolve(meant, wanted, date or None, "chunk_text").select(F.when(number.isNull() | part.isNull(), "invalid").otherwise(F.col("status")).alias("status"))  # a row
     long, short = forms.format_citation(F.col("title"), F.col("chapter_number"), F.col("section_ref"), F.col("as_at_date"))
     common = {"kind": "statute", "title": F.col("title"), "chapter": F.col("chapter_number"), "section": F.col("section_ref"), "date": F.col("as_at_date"), "url": pdf_url(F.col("download_id"))}
+    found = temporal.as_of(meant, date or None).join(F.broadcast(status.where("status = 'found'")), F.lit(True), "left_semi")
     hit = _shown(found, [F.col("chunk_id")], 1, source_id=F.concat(F.lit("chunk:"), "chunk_id"), line=F.concat_ws("\n", F.lit("found"), long, short, F.col("chunk_text")), **common)
-    near = temporal.as_of(named.where((F.col("chapter_number") == forms.normalize_chapter(F.lit(chapter))) & forms.normalize_section(F.lit(section)).isNotNull()), None)
-    near = near.join(hit.select(F.lit(1).alias("hit")), F.lit(True), "left_anti")  # hit has a row at most
-    gap = F.abs(F.col("section_ref").try_cast("int") - F.regexp_extract(forms.normalize_section(F.lit(section)), "^([0-9]+)", 1).try_cast("int"))
-    others = _shown(near, [gap.asc_nulls_last(), F.col("section_ref"), F.col("chunk_id")], limit, source_id=F.concat(F.lit("chunk:"), "chunk_id"), line=F.concat(F.lit("not found; near: "), short), **common)
-    return hit.unionByName(others)
+    other = F.broadcast(status.where("status <> 'found'"))
+    said = F.when(F.col("status") == "invalid", F.concat(F.lit("Invalid citation reference: "), F.lit(chapter), F.lit(", "), F.lit(section))).otherwise(F.concat(F.lit("Citation status: "), "status", F.lit(" for Chap. "), number, F.lit(", s. "), part, F.lit(".")))
+    message = _shown(other, [F.col("status")], 1, source_id=F.lit(""), line=said, kind="status", title=F.lit(""))
+    near = temporal.as_of(named, None).join(other.where("status <> 'invalid'"), F.lit(True), "left_semi")
+    gap = F.abs(F.col("section_ref").try_cast("int") - F.regexp_extract(part, "^([0-9]+)", 1).try_cast("int"))
+    others = _shown(near, [gap.asc_nulls_last(), F.col("section_ref"), F.col("chunk_id")], limit, source_id=F.concat(F.lit("chunk:"), "chunk_id"), line=F.concat(F.lit("near: "), short), **common)
+    return hit.unionByName(message).unionByName(others.withColumn("place", F.col("place") + 1))
 
 
 def list_chapters(lib: Library, query: str = "", limit: int = 20) -> DataFrame:
@@ -107,3 +117,14 @@ def expand_case(lib: Library, case_id: str, limit: int = 20) -> DataFrame:
 
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (search_provisions, lookup_section, resolve_citation, list_chapters, citing_cases, search_cases, expand_case)}
+
+
+def schemas() -> list[dict]:
+    """What an assistant is told of each tool: its name, what it gives, and its parameters as a JSON schema."""
+    kinds = {"str": "string", "int": "integer", "int | None": "integer"}
+    told = []
+    for name, tool in TOOLS.items():
+        own = [p for p in inspect.signature(tool).parameters.values() if p.name != "lib"]
+        parameters = {"type": "object", "properties": {p.name: {"type": kinds[str(p.annotation)]} for p in own}, "required": [p.name for p in own if p.default is p.empty]}
+        told.append({"type": "function", "function": {"name": name, "description": (tool.__doc__ or name).split("\n")[0], "parameters": parameters}})
+    return told

@@ -79,11 +79,6 @@ def expand_case(spark, d):
     return rows.where("case_id <> 'o1'").join(mine, "chapter_number").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("chapter_number")), ",").alias("shared"))
 
 
-@query(SQL + "SELECT chapter_number, count(*) AS n FROM citations GROUP BY 1 ORDER BY n DESC, chapter_number LIMIT 15")
-def case_report(spark, d):
-    return citations(spark, d).groupBy("chapter_number").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chapter_number").limit(15)
-
-
 @query("SELECT l_orderkey AS source, l_partkey AS target, min(l_linenumber) AS first FROM lineitem GROUP BY ALL")
 def dedupe_edges(spark, d):
     """Of equal edges the one of lowest ordinal stays."""
@@ -163,7 +158,7 @@ def graph_neighbourhood(spark, d):
 BARE = "chunk_text || CASE WHEN chunk_id % 2 = 0 THEN ' under the Act, ' ELSE ' at the hour of ' END || (chunk_id % 25 + 1) || ':1' || (chunk_id % 10) || '.'"
 
 
-@query(SQL + rf"""SELECT chunk_id, chapter FROM (SELECT chunk_id, unnest(regexp_extract_all({BARE}, '(?is)(?:^|[^\p{{L}}\p{{N}}_])(?:act|ordinance|chapter|cap|ch)(?:[^\p{{L}}\p{{N}}_].{{0,30}}?)??\b([0-9]{{1,2}}:[0-9]{{1,2}})\b', 1)) AS chapter FROM chunks) WHERE chapter IN (SELECT chapter_number FROM chapters)""")
+@query(SQL + rf"""SELECT chunk_id, chapter, confidence, 'REGEX' AS method FROM (SELECT chunk_id, CASE WHEN regexp_matches({BARE}, '(?i)\b(?:Cap(?:ition)?\.|Ch(?:ap)?\.|Chapter)\s*([0-9]{{1,2}}:[0-9]{{1,2}})\b') THEN 'high' ELSE 'medium' END AS confidence, unnest(regexp_extract_all({BARE}, '(?is)(?:^|[^\p{{L}}\p{{N}}_])(?:act|ordinance|chapter|cap|ch)(?:[^\p{{L}}\p{{N}}_].{{0,30}}?)??\b([0-9]{{1,2}}:[0-9]{{1,2}})\b', 1)) AS chapter FROM chunks) WHERE chapter IN (SELECT chapter_number FROM chapters)""")
 def cites_bare_regex(spark, d):
     return graph.bare_references(chunks(spark, d).withColumn("chunk_text", F.expr(BARE)), chapters(spark, d))
 

@@ -1,5 +1,8 @@
 """Listing, dated lookup, resolution, statistics and checks."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statvine.functions.text import authority_label, pdf_url, version_label
@@ -113,6 +116,8 @@ def stats(spark, d):
 
 @query(SQL + """SELECT 'duplicate chapter' AS rule, count(*) AS n FROM (SELECT chapter_number FROM chapters GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'duplicate version', count(*) FROM (SELECT chapter_number, section_ref, download_id FROM versions GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'version without chapter', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT chapter_id FROM chapters)
+UNION ALL SELECT 'chunk without chapter', count(*) FROM chunks WHERE chapter_number NOT IN (SELECT chapter_number FROM chapters)
 UNION ALL SELECT 'citation without case', count(*) FROM citations WHERE case_id NOT IN (SELECT id FROM cases)""")
 def constraint_checks(spark, d):
     from statvine.sources.corpus import cases
@@ -121,10 +126,12 @@ def constraint_checks(spark, d):
     found = {
         "duplicate chapter": many(chapters(spark, d), "chapter_number"),
         "duplicate version": many(versions(spark, d), "chapter_number", "section_ref", "download_id"),
+        "version without chapter": table(spark, d, "lineitem").join(chapters(spark, d), F.col("l_partkey") == F.col("chapter_id"), "left_anti"),
+        "chunk without chapter": chunks(spark, d).join(chapters(spark, d), "chapter_number", "left_anti"),
         "citation without case": citations(spark, d).join(cases(spark, d), F.col("case_id") == F.col("id"), "left_anti"),
     }
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n") for rule, df in found.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 @query(SQL + f"""SELECT chapter_number, section_ref, download_id, l_suppkey, concat_ws(' · ', CASE WHEN position = 0 AND as_at_date IS NOT NULL THEN 'Latest available' END, coalesce(as_at_date::VARCHAR, 'Date unavailable'), nullif(version_label, '')) AS label

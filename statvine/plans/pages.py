@@ -41,3 +41,36 @@ def ingest_slug_parse(spark, d):
     form = r"^([0-9]+)_([0-9]{2,3})_(.*)$"
     rows = chapters(spark, d).select("chapter_id", slug.alias("slug"))
     return rows.select("chapter_id", F.concat_ws(":", F.regexp_extract("slug", form, 1), F.regexp_extract("slug", form, 2)).alias("chapter_number"), F.translate(F.regexp_extract("slug", form, 3), "_", " ").alias("title"))
+
+
+#: Pages in the site's shape, made of the tables.
+ENTRY = """concat('<li class="flex"><a href="/laws?currentid=', chapter_id, '&x=1"><strong class="block">', title, '</strong><small>', p_brand, '</small><small>Chapter ', chapter_number, if(p_size % 3 = 0, ' (repealed)', ''), '</small></a></li>')"""
+PAGE = """concat('<h4 class="x"><a href="/">', title, ' Chap. ', chapter_number, '</a></h4><p><i class="y"></i> <strong>An Act on ', title, '</strong></p><a>Year - ', 1900 + p_size, '</a><a>Act Number - ', p_size, ' of ', 1900 + p_size, '</a><a>Commencement Date - Fri, ', 1 + p_size % 28, ' Aug 19', lpad(p_size, 2, '0'), '</a><a>Classification - ', p_brand, '</a>',
+    '<a href="/download/', chapter_id, '"><strong><small>as at December 31st 2016</small></strong><strong>current</strong></a><a href="/download/', chapter_id + 1, '"><strong><small>as at March 2nd 20', lpad(p_size, 2, '0'), '</small></strong><strong>old</strong></a>')"""
+MARKDOWN = "concat('# ', source, '\n## 1. Begin\n', replace(text, '#', ''), '\n## 2A. End ', lang, '\nlast\n## Schedule\nrest')"
+
+
+@query(SQL + "SELECT chapter_id AS download_id, title, chapter_number, CASE WHEN p_size % 3 = 0 THEN 'repealed' ELSE '' END AS note FROM chapters")
+def law_listing(spark, d):
+    """The listing pages, a hundred entries each, read back."""
+    entry = chapters(spark, d).select((F.col("chapter_id") % 100).alias("page"), F.expr(ENTRY).alias("e"))
+    pages = entry.groupBy("page").agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</ul>")).alias("html"))
+    return html.listing(pages)
+
+
+@query(SQL + """SELECT title, chapter_number, 'An Act on ' || title AS long_title, 1900 + p_size AS year, p_size || ' of ' || (1900 + p_size) AS act_number, make_date(1900 + p_size, 8, 1 + p_size % 28) AS commencement_date, p_brand AS classification,
+chapter_id || ' 2016-12-31 current,' || (chapter_id + 1) || ' ' || make_date(2000 + p_size, 3, 2) || ' old' AS revisions FROM chapters""")
+def law_detail(spark, d):
+    """The detail page of every chapter, read back."""
+    found = html.detail(chapters(spark, d).select(F.expr(PAGE).alias("html")))
+    listed = F.array_join(F.transform("revisions", lambda x: F.concat_ws(" ", x["download_id"], x["as_at_date"], x["label"])), ",")
+    return found.withColumn("revisions", listed)
+
+
+@query("""SELECT doc_id, i AS chunk_index, [ '1', '2A', '' ][i + 1] AS section_ref, [ 'Begin', 'End ' || lang, 'Schedule' ][i + 1] AS heading, length([ '## 1. Begin' || chr(10) || replace(text, '#', '') || chr(10), '## 2A. End ' || lang || chr(10) || 'last' || chr(10), '## Schedule' || chr(10) || 'rest' ][i + 1]) AS size FROM documents, (SELECT unnest([0, 1, 2]) AS i)""")
+def law_sections(spark, d):
+    """Markdown versions cut into sections."""
+    from statvine.sources.files import sections
+
+    versions = table(spark, d, "documents").select("doc_id", F.expr(MARKDOWN).alias("text"))
+    return sections(versions).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_ref", "heading", F.length("chunk_text").cast("long").alias("size"))

@@ -128,3 +128,8 @@ def parse_structured_reply(spark, d):
 @query("SELECT role IN ('user', 'assistant') AND length(text) >= 1 AS valid, count(*) AS n FROM conversations GROUP BY ALL")
 def validate_chat_rows(spark, d):
     return table(spark, d, "conversations").groupBy((F.col("role").isin("user", "assistant") & (F.length("text") >= 1)).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, substring(text, 1, 6000) AS text FROM documents")
+def tool_text_cut(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.tool_text(F.col("text")).alias("text"))

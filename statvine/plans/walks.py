@@ -28,17 +28,40 @@ def cites_chapter_regex(spark, d):
     return casework.chapter_citations(_texts(spark, d), chapters(spark, d))
 
 
-@query(CASE_SQL + r""", names AS (SELECT case_id, trim(name) AS name, kind, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS norm FROM (SELECT case_id, regexp_extract(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 1) AS name, regexp_extract(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 2) AS kind FROM texts) WHERE name <> ''),
+TITLES = CASE_SQL + r""", names AS (SELECT case_id, trim(name) AS name, kind, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS norm FROM (SELECT case_id, regexp_extract(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 1) AS name, regexp_extract(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 2) AS kind FROM texts) WHERE name <> ''),
 listed AS (SELECT DISTINCT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title, chapter_number FROM chapters),
 titles AS (SELECT title, min(chapter_number) AS first FROM listed GROUP BY title),
 norms AS (SELECT DISTINCT norm FROM names),
 pairs AS (SELECT norm, title, first FROM norms JOIN titles ON title = norm OR (norm NOT IN (SELECT title FROM titles) AND (contains(norm, title) OR contains(title, norm)))),
 hits AS (SELECT norm, chapter_number, row_number() OVER (PARTITION BY norm ORDER BY first, title, chapter_number) AS nth, count(*) OVER (PARTITION BY norm) AS hits FROM pairs JOIN listed USING (title))
-SELECT case_id, 'chapter:' || chapter_number AS target, CASE WHEN hits = 1 THEN 'high' ELSE 'low' END AS confidence, 'the ' || name || ' ' || kind AS detail FROM names JOIN hits USING (norm) WHERE nth <= 3""")
+"""
+
+
+@query(TITLES + """SELECT case_id, 'chapter:' || chapter_number AS target, CASE WHEN hits = 1 THEN 'high' ELSE 'low' END AS confidence, 'the ' || name || ' ' || kind AS detail FROM names JOIN hits USING (norm) WHERE nth <= 3""")
 def cites_title_fuzzy(spark, d):
     return casework.title_citations(_texts(spark, d), chapters(spark, d))
 
 
+CASE_EDGES = TITLES + r""", found AS (SELECT case_id, chapter, 0 AS place, 'REGEX' AS method, 'medium' AS confidence, 'Ch. ' || chapter AS detail FROM (SELECT case_id, unnest(regexp_extract_all(text, '(?i)\b(?:Cap(?:ition)?\.|Ch(?:ap)?\.|Chapter)\s*([0-9]{1,2}:[0-9]{1,2})\b', 1)) AS chapter FROM texts)
+UNION ALL SELECT case_id, chapter, 1, 'REGEX', CASE WHEN regexp_matches(text, '(?i)\b(?:Cap(?:ition)?\.|Ch(?:ap)?\.|Chapter)\s*([0-9]{1,2}:[0-9]{1,2})\b') THEN 'high' ELSE 'medium' END, chapter FROM (SELECT case_id, text, unnest(regexp_extract_all(text, '(?is)(?:^|[^\p{L}\p{N}_])(?:act|ordinance|chapter|cap|ch)(?:[^\p{L}\p{N}_].{0,30}?)??\b([0-9]{1,2}:[0-9]{1,2})\b', 1)) AS chapter FROM texts)
+UNION ALL SELECT case_id, chapter_number, 2, 'TITLE_MATCH', CASE WHEN hits = 1 THEN 'high' ELSE 'low' END, 'the ' || name || ' ' || kind FROM names JOIN hits USING (norm) WHERE nth <= 3),
+cedges AS (SELECT 'case:' || case_id AS source, 'chapter:' || chapter AS target, 'CITES_STATUTE' AS type, 'EXTRACTED' AS evidence, method, arg_min(confidence, (place, detail)) AS confidence, arg_min(detail, (place, detail)) AS detail FROM found WHERE chapter IN (SELECT chapter_number FROM chapters) GROUP BY case_id, chapter, method)
+"""
+
+
+@query(CASE_EDGES + "SELECT * FROM cedges")
+def case_edges(spark, d):
+    return casework.case_edges(_texts(spark, d), chapters(spark, d))
+
+
+@query(CASE_EDGES + """SELECT 'cases_loaded' AS what, '' AS name, count(*) AS n FROM texts UNION ALL SELECT 'case_nodes', '', count(DISTINCT source) FROM cedges UNION ALL SELECT 'edges', '', count(*) FROM cedges
+UNION ALL SELECT 'confidence', confidence, count(*) FROM cedges GROUP BY ALL UNION ALL SELECT 'method', method, count(*) FROM cedges GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT 'target', target, count(*) AS n FROM cedges GROUP BY target ORDER BY n DESC, target LIMIT 15)""")
+def case_report(spark, d):
+    texts = _texts(spark, d)
+    return casework.report(texts, stash(casework.case_edges(texts, chapters(spark, d)), "case-edges"))
+
+
 LEAST = 0.3
 #: The graph of the text: laws and sources as chapters, their sections as ideas, defined terms as concepts, pooled vectors.
 TEXT_GRAPH = GRAPH + f""", pools AS (SELECT id, list(x ORDER BY pos) AS v FROM (SELECT 'idea:' || chapter_number || '|' || section_ref AS id, pos, avg(x) AS x FROM (SELECT chapter_number, section_ref, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM chunks JOIN embeddings ON chunk_id = vec_id) GROUP BY ALL) GROUP BY id),

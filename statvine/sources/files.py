@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statvine.operators.graph import require_whole
+
 CASE = "id string, record_id string, title string, body string, text string, source_url string"
 
 
@@ -34,6 +36,24 @@ def sections(versions: DataFrame) -> DataFrame:
     return rows.withColumn("section_ref", F.regexp_extract("chunk_text", r"^## ([0-9]+[A-Z]?)\.", 1)).withColumn("heading", F.trim(F.regexp_extract("chunk_text", r"^## (?:[0-9]+[A-Z]?\.)?\s*([^\n]*)", 1))).drop("text")
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "parquet") -> None:
+    """Nodes and edges as Parquet or JSON lines; a dangling edge is an error and nothing is written."""
+    require_whole(nodes, edges)
+    nodes.write.mode("overwrite").format(form).save(f"{path}/nodes")
+    edges.write.mode("overwrite").format(form).save(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str, form: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    return spark.read.format(form).load(f"{path}/nodes"), spark.read.format(form).load(f"{path}/edges")
+
+
+def write_clusters(members: DataFrame, audit: DataFrame, path: str) -> None:
+    """The members of communities (community, size, id) and the graph's counts, as JSON lines."""
+    members.write.mode("overwrite").json(f"{path}/clusters")
+    audit.write.mode("overwrite").json(f"{path}/graph")
+
+
+def write_case_edges(edges: DataFrame, report: DataFrame, path: str) -> None:
+    """Case citations and their report, as JSON lines."""
+    edges.write.mode("overwrite").json(f"{path}/edges")
+    report.write.mode("overwrite").json(f"{path}/meta")

@@ -53,8 +53,21 @@ def test_lookup_shows_every_version(spark, library):
 def test_resolve(library):
     (hit,) = tools.resolve_citation(library, "Chap. 8:8", "s. 1").collect()
     assert hit["source_id"] == "chunk:2" and hit["line"].split("\n") == ["found", "Absconding Debtors Act, Chap. 8:08, s. 1 (version available as at 31 December 2016)", "Chap. 8:08, s. 1", "Short title, as amended by the Debtors Act"]
-    assert shown(tools.resolve_citation(library, "8:08", "2"), "source_id", "section") == [("chunk:2", "1"), ("chunk:3", "3")]
-    assert shown(tools.resolve_citation(library, "chapter eight", "2"), "source_id") == []
+    got = shown(tools.resolve_citation(library, "8:08", "2"), "source_id", "section", "line")
+    assert [x[:2] for x in got] == [("", ""), ("chunk:2", "1"), ("chunk:3", "3")] and got[0][2] == "Citation status: not_found for Chap. 8:08, s. 2."
+    assert shown(tools.resolve_citation(library, "chapter eight", "2"), "source_id", "line") == [("", "Invalid citation reference: chapter eight, 2")]
+
+
+def test_ambiguous_citations(spark, library):
+    rows = [(n, "8:08", "7", text, DAY(2010, 1, 1), n, "") for n, text in ((1, "one"), (2, "other"))]
+    two = tools.Library(library.chapters, spark.createDataFrame(rows, library.chunks.schema), library.cases, library.citations)
+    assert shown(tools.resolve_citation(two, "8:08", "7"), "kind", "line")[0] == ("status", "Citation status: ambiguous for Chap. 8:08, s. 7.")
+
+
+def test_schemas_of_tools():
+    told = {x["function"]["name"]: x["function"]["parameters"] for x in tools.schemas()}
+    assert sorted(told) == sorted(tools.TOOLS) and told["resolve_citation"]["required"] == ["chapter", "section"]
+    assert told["search_provisions"]["properties"]["limit"] == {"type": "integer"}
 
 
 def test_cases(library):

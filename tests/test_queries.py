@@ -97,4 +97,6 @@ def test_bare_references_read_their_context(spark):
     texts = [(1, "Act 1:05, 1:06 and, long after the word, far beyond forty characters, 1:07"), (2, "pact 1:05"), (3, "CAP\n1:05 1:99")]
     known = spark.createDataFrame([("1:05",), ("1:06",), ("1:07",)], "chapter_number string")
     got = bare_references(spark.createDataFrame(texts, "chunk_id long, chunk_text string"), known).collect()
-    assert sorted(map(tuple, got)) == [(1, "1:05"), (1, "1:06"), (3, "1:05")]
+    assert sorted(map(tuple, got)) == [(1, "1:05", "medium", "REGEX"), (1, "1:06", "medium", "REGEX"), (3, "1:05", "medium", "REGEX")]
+    (sure,) = bare_references(spark.createDataFrame([(4, "Cap. 1:05")], "chunk_id long, chunk_text string"), known).collect()
+    assert sure["confidence"] == "high"
