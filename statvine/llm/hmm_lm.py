@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from statvine.llm.common import arrow_schema, bare, fold_remainder, map_rows, stash, to_batch
 
-STATES, ROUNDS = 16, 5
+STATES, ROUNDS = 8, 4
 #: Training ends when a round raises the log likelihood by less than this share.
 GAIN = 1e-3
 OWN, SHARED = 3071, 1024
@@ -357,15 +357,17 @@ def score_encoded(fitted: Fitted) -> DataFrame:
         total = np.zeros(len(sequences))
         for group in _groups(sequences):
             total[group] = chances([sequences[i] for i in group], held.value)
-        return list(zip(batch["row"].to_pylist(), (total / math.log(10)).tolist()))
+        return list(zip(*(batch[c].to_pylist() for c in carried), (total / math.log(10)).tolist()))
 
-    found = map_rows(encoded.select("row", "classes"), rows, "row long, class_sum double")
+    carried = [c for c in encoded.columns if c not in ("classes", "rare")]
+    schema = ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in carried)
+    found = map_rows(encoded.select(*carried, "classes"), rows, f"{schema}, class_sum double")
     # of the words too rare to be broadcast, those that training saw; a word unknown to it adds log10(1)
     rare_words = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     rare = rare_words.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sum"), F.sum("times").alias("rare_known"))
     per_token = math.log10(words.tokens + words.kinds + 1)
     rare_sum = F.coalesce("rare_sum", F.lit(0.0))
     return (
-        encoded.drop("classes", "rare").join(found, "row").join(rare, "row", "left")
+        found.join(rare, "row", "left")
         .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base_sum") + rare_sum - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), (F.col("class_sum") + F.col("within_sum") + rare_sum).alias("score"))
     )
