@@ -150,13 +150,22 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads the column ``media`` back: digests of the samples and of the file, and the hash in ``low_hash``."""
+    """Reads the column ``media`` back: digests of the samples and of the file, and the hash in ``low_hash``.
+
+    Where media is null or damaged, ``error`` says how, and what can't be read is null.
+    """
 
     def rows(batch: pa.RecordBatch):
         for doc_id, n_bytes, png in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-            samples = decode_png(png)
+            try:
+                if png is None:
+                    raise BadPng("no media")
+                samples = decode_png(png)
+            except BadPng as e:
+                yield (doc_id, n_bytes, None, None, None, *((None, None) if png is None else (len(png), hashlib.sha256(png).hexdigest())), None, str(e))
+                continue
             payload = samples.tobytes()
-            yield (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples))
+            yield (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples), None)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, low_hash binary"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, low_hash binary, error string"
     return map_rows(media.select("doc_id", "n_bytes", "media"), rows, schema)

@@ -82,6 +82,27 @@ def test_media(docs, rows, none):
     assert media_png.features(media_png.store(none)).count() == 0
 
 
+def test_cosine_hash_from_its_definition():
+    rng = np.random.default_rng(1)
+    for height, width in ((1, 576), (3, 576), (40, 48), (33, 7)):
+        image = rng.integers(0, 256, (height, width), np.uint8)
+        fine = np.kron(image, np.ones((32, 32)))  # every cell of the 32 x 32 image is a whole number of these
+        small = fine.reshape(32, height, 32, width).mean(axis=(1, 3))
+        wave = [[math.cos(math.pi / 32 * (x + 0.5) * k) for x in range(32)] for k in range(8)]
+        low = [sum(small[y, x] * wave[i][y] * wave[j][x] for y in range(32) for x in range(32)) for i in range(8) for j in range(8)]
+        middle = np.median(low[1:])
+        bits = np.unpackbits(np.frombuffer(media_png.cosine_hash(image), np.uint8))
+        assert all(bit == (v > middle) for bit, v in zip(bits, low) if abs(v - middle) > 1e-3)
+
+
+def test_damaged_media_say_so(spark):
+    good = media_png.encode_png(np.full((1, 576), 7, np.uint8))
+    rows = [(1, 3, bytearray(good)), (2, 3, None), (3, 3, bytearray(good[:-9])), (4, 3, bytearray(b""))]
+    got = {r["doc_id"]: r for r in media_png.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 576
+    assert all(got[i]["error"] and got[i]["payload_sha256"] is None and got[i]["low_hash"] is None for i in (2, 3, 4))
+
+
 def test_png_filters_and_damage():
     rng = np.random.default_rng(0)
     image = rng.integers(0, 256, (6, 7), np.uint8)
@@ -147,6 +168,9 @@ def test_secrets(docs, rows, none):
         written = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in found]
         assert r["base_sha256"] == sha(",".join(written)) and set(written) <= set(r["spans"].split(",")) | {""}
         seen.update(x.split(":")[0] for x in r["spans"].split(","))
+        data, rules = text.encode(), secret_scan.BASE + secret_scan.ADDED
+        whole = sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, data) if rule.accept(m))
+        assert r["spans"] == ",".join(f"{rules[k].kind}:{len(data[:a].decode())}:{len(data[:b].decode())}" for a, k, b in whole)  # as a full scan
     assert {"assign", "access", "hex", "private_key", "github", "url_login"} <= set(seen)
     assert secret_scan.scan(none).count() == 0
 
