@@ -17,7 +17,7 @@ text alone: equal texts score equally under any id, and an example's own text fi
 Null or empty texts, and texts without any known term, get the share of toxic examples among those without
 terms, smoothed towards the share of all. Repeated ids in ``labels``: toxic if one row says so; null ids or labels
 are not used; of several texts under one id the least is the example. Without any usable label, or with labels of
-one kind only, scores are the smoothed rate (0.5 without rows).
+one kind only, scores are the smoothed rate (0.25 without rows, as nothing speaks for toxic).
 """
 
 from __future__ import annotations
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     joined = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
     doc_id, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
     lengths = np.array([len(x) // 4 for x in rows["ids"].to_pylist()], np.int64)
-    rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
+    rate = (toxic.sum() + 0.5) / (len(toxic) + 2)
     empty_rate = float((toxic[lengths == 0].sum() + rate) / ((lengths == 0).sum() + 1))
     index = BlockMax.build(lengths, joined("ids", np.uint32), joined("weight", np.float32), len(term))
     model = Model(term, weight, index, doc_id, toxic, empty_rate, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))

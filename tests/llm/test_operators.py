@@ -407,7 +407,7 @@ def test_toxicity(spark, docs, none):
     assert {r["doc_id"] for r in toxicity_knn.keep_civil(texts, model).collect()} == {r["doc_id"] for r in got if r["score"] < 0.5}
     assert toxicity_knn.score(docs, model).where("score is null").count() == 0
     empty = toxicity_knn.fit(none, marks.limit(0))
-    assert {r["score"] for r in toxicity_knn.score(docs, empty).select("score").distinct().collect()} == {0.5}
+    assert {r["score"] for r in toxicity_knn.score(docs, empty).select("score").distinct().collect()} == {0.25}
 
 
 def test_only_copies_of_one_label_count_once(spark):
