@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: thin digests over the operators, whole tables, production parameters.
 
-None has DuckDB SQL: no dialect expresses these digests together with the methods. ``tests/llm`` holds each
+The first ten have no DuckDB SQL: no dialect expresses these digests together with the methods. ``tests/llm`` holds each
 against a brute-force version.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statvine.llm import byte_bpe, chat_format, hmm_lm, media_png, near_dedup, packing, pii_spans, quality_rules, secret_scan, toxicity_knn
+from statvine.llm import byte_bpe, chat_format, collocations, hmm_lm, media_png, near_dedup, oracles, packing, pii_spans, quality_rules, secret_scan, toxicity_knn, url_filters, va_file
 from statvine.llm.common import table
 
 
@@ -65,12 +65,24 @@ def op10_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.lower(F.hex("low_hash"))).drop("low_hash")
 
 
+def op11_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_chat_format, op2_hmm_lm, op3_pii_spans, op4_byte_bpe, op5_quality_rules, op6_packing, op7_secret_scan, op8_toxicity_knn, op9_near_dedup, op10_media_png)
+    own = (op1_chat_format, op2_hmm_lm, op3_pii_spans, op4_byte_bpe, op5_quality_rules, op6_packing, op7_secret_scan, op8_toxicity_knn, op9_near_dedup, op10_media_png, op11_va_file, op12_collocations, op13_url_filters)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
