@@ -6,11 +6,11 @@ import functools
 import math
 import operator
 import re
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from statvine.functions import english
 from statvine.functions.text import pdf_url
 from statvine.functions.vectors import cosine
 from statvine.sources.shared import stash
@@ -35,21 +35,28 @@ def wanted(query: str) -> list[str]:
 def fts(chunks: DataFrame, query: str) -> DataFrame:
     """chunk_id, score of the chunks that hold every word of the query: sum of tf * ln(1 + N / df) / (1 + ln(size)).
 
-    Texts are cut into words once, in one scan without a shuffle; what holds some of the words is written to the shared
-    folder, a few numbers a row, and read for the counts and for the scores.
+    Texts that contain none of the words, as letters anywhere, aren't cut into words. What holds some of the words is written
+    to the shared folder, a few numbers a row, and read for the scores; how many texts there are is counted while it is written.
     """
-    words = wanted(query)
-    if not words:
+    return _scan(chunks, [[w] for w in wanted(query)])
+
+
+def _scan(chunks: DataFrame, terms: list[list[str]]) -> DataFrame:
+    """``fts`` of terms, each of which stands as any of its words."""
+    if not all(terms) or not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).where("false")
-    tf = lambda t: F.array(*(F.array_size(t) - F.array_size(F.array_remove(t, w)) for w in words))
+    any_of = lambda ws: lambda x: x.isin(ws)
+    tf = lambda t: F.array(*(F.array_size(F.filter(t, any_of(ws))) for ws in terms))
     # a lambda's variable is evaluated once, however often it is used
     one = F.transform(F.array(tokens("chunk_text")), lambda t: F.struct(F.size(t).alias("size"), tf(t).alias("tf")))[0]
-    found = stash(chunks.select("chunk_id", one.alias("x")).select("chunk_id", "x.*").where(F.exists("tf", lambda n: n > 0)), "fts-hits")
-    counts = found.agg(*(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(words)))).first()  # a number a word
-    n = chunks.count()
+    some = functools.reduce(operator.or_, (F.lower("chunk_text").contains(w) for ws in terms for w in ws))
+    seen = Observation()
+    counted = chunks.select("chunk_id", "chunk_text").observe(seen, F.count(F.lit(1)).alias("n"))
+    found = stash(counted.where(some).select("chunk_id", one.alias("x")).select("chunk_id", "x.*").where(F.exists("tf", lambda n: n > 0)), "fts-hits")
+    counts = found.agg(*(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms)))).first()  # a number a term
     if not all(counts):
         return found.select("chunk_id", F.lit(0.0).alias("score")).where("false")
-    return _scored(found.where(F.forall("tf", lambda x: x > 0)), [F.col("tf")[i] for i in range(len(words))], [math.log(1 + n / df) for df in counts])
+    return _scored(found.where(F.forall("tf", lambda x: x > 0)), [F.col("tf")[i] for i in range(len(terms))], [math.log(1 + seen.get["n"] / df) for df in counts])
 
 
 def _scored(rows: DataFrame, tf: list, weights: list[float]) -> DataFrame:
@@ -57,37 +64,20 @@ def _scored(rows: DataFrame, tf: list, weights: list[float]) -> DataFrame:
     return rows.select("chunk_id", F.round(total / (1 + F.log("size")), 6).alias("score"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """A stored inverted index: postings by bucket of the term, and how many chunks there are."""
-
-    postings: DataFrame
-    n: int
-    buckets: int
-
-    @classmethod
-    def build(cls, chunks: DataFrame, buckets: int = 64) -> "Index":
-        """Written to the shared folder, once for many queries; a query reads the buckets of its words alone."""
-        rows = postings(chunks).withColumn("bucket", _bucket(F.col("term"), buckets))
-        rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
-        return cls(stash(rows, "fts-index", "bucket"), chunks.count(), buckets)
-
-    def fts(self, query: str) -> DataFrame:
-        """As ``fts`` on the chunks."""
-        words = wanted(query)
-        spark = self.postings.sparkSession
-        buckets = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"), self.buckets)).collect()})  # a row a word
-        rows = self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
-        df = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row a word
-        if not words or len(df) < len(words):
-            return rows.select("chunk_id", F.lit(0.0).alias("score")).where("false")
-        tf = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(words)]
-        whole = rows.groupBy("chunk_id").agg(F.first("size").alias("size"), F.count("*").alias("held"), *tf).where(F.col("held") == len(words))
-        return _scored(whole, [F.col(f"tf{i}") for i in range(len(words))], [math.log(1 + self.n / df[w]) for w in words])
-
-
-def _bucket(term, buckets: int):
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+def fts_english(chunks: DataFrame, query: str) -> DataFrame:
+    """As ``fts``, by English stems and without stop words: ``debtor`` finds ``debtors``.
+
+    Only distinct words that begin as a stem does are stemmed; a stem's words take its place in the scan.
+    """
+    terms = sorted({english.stem(w) for w in wanted(query) if w not in english.STOP})
+    if not terms:
+        return chunks.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+    begins = {t: english.beginnings(t) for t in terms}
+    likely = lambda w: functools.reduce(operator.or_, (w.startswith(head) | w.isin(rest) for head, rest in begins.values()))
+    words = chunks.select(F.explode(F.array_distinct(F.filter(tokens("chunk_text"), likely))).alias("word")).distinct()
+    # the words of a few stems
+    variants = words.withColumn("stem", english.stems(F.col("word"))).where(F.col("stem").isin(terms)).collect()
+    return _scan(chunks, [sorted(r["word"] for r in variants if r["stem"] == t) for t in terms])
 
 
 def vector(embeddings: DataFrame, query: list[float]) -> DataFrame:

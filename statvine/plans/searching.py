@@ -4,6 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statvine.operators import search, similarity
+from statvine.operators.textindex import TextIndex
+from statvine.plans.graphs import GRAPH, _prose
 from statvine.plans.registry import query
 from statvine.sources.corpus import SQL, chapters, chunks, table
 
@@ -66,10 +68,49 @@ def search_grouped(spark, d):
     return _grouped(spark, d).select("key", "title", of("chunk_id", "chunk"), of("as_at_date", "date"), of("chunk_text", "text"), of("version_label", "label"), of("pdf_url", "url"), "score", F.col("latest_available.as_at_date").alias("latest_date"), F.col("latest_available.pdf_url").alias("latest_url"), listed.alias("versions"))
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _index(spark, d, english=False):
+    """An index is stored once for all queries of an application over the same tables."""
+    key = (spark.sparkContext.applicationId, d, english)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.build(_prose(spark, d) if english else chunks(spark, d), english)
+    return _INDEXES[key]
+
+
 @query(FTS + "SELECT * FROM fts")
 def search_fts_indexed(spark, d):
-    """The same from a stored index, of which a query reads the buckets of its words."""
-    return search.Index.build(chunks(spark, d)).fts(WORDS)
+    """The same from the stored index, of which a query reads the row groups of its words."""
+    return _index(spark, d).fts(WORDS)
+
+
+PHRASE = "of the"
+
+
+@query(SQL + f"""SELECT chunk_id, hits FROM (SELECT chunk_id, len(list_filter(generate_series(1, len(t) - 1), lambda i: t[i] = '{PHRASE.split()[0]}' AND t[i + 1] = '{PHRASE.split()[1]}')) AS hits
+FROM (SELECT chunk_id, list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM chunks)) WHERE hits > 0""")
+def search_phrase(spark, d):
+    """How often two words follow each other, by positions."""
+    return _index(spark, d).phrase(PHRASE)
+
+
+#: Words of the query's stems.
+STEMMED = GRAPH + """, cut AS (SELECT chunk_id, list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM prose),
+tf AS (SELECT chunk_id, len(t) AS size, CASE WHEN term IN ('debtor', 'debtors') THEN 'debtor' ELSE term END AS stem, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM cut) WHERE term IN ('widget', 'debtor', 'debtors', 'pay') GROUP BY ALL),
+df AS (SELECT stem, count(*) AS df FROM tf GROUP BY stem)
+"""
+
+
+@query(STEMMED + "SELECT chunk_id, round(sum(tf * ln(1 + (SELECT count(*) FROM chunks) / df) / (1 + ln(size))), 6) AS score FROM tf JOIN df USING (stem) GROUP BY chunk_id HAVING count(*) = 3")
+def search_fts_english(spark, d):
+    """Stems in place of words, and no stop words; ``debtor`` finds ``Debtors``."""
+    return search.fts_english(_prose(spark, d), "the Widgets of a Debtor's paying")
+
+
+@query(STEMMED + "SELECT chunk_id, round(sum(tf * ln(1 + (SELECT count(*) FROM chunks) / df) / (1 + ln(size))), 6) AS score FROM tf JOIN df USING (stem) GROUP BY chunk_id HAVING count(*) = 3")
+def search_english_indexed(spark, d):
+    return _index(spark, d, english=True).fts("the Widgets of a Debtor's paying")
 
 
 @query(GROUPED + "SELECT key, score, place, (SELECT count(*) FROM grouped) > 30 AS has_more FROM (SELECT key, score, row_number() OVER (ORDER BY score DESC, key) - 20 AS place FROM grouped) WHERE place BETWEEN 1 AND 10")
