@@ -1,8 +1,8 @@
 """Operator 8, toxicity from the nearest labelled examples.
 
 Terms of a text are its words (ASCII lower case, punctuation apart) and their beginnings of 5 bytes. The examples are
-labelled rows outside the held-out fold: at most ``EXAMPLES`` of them with at most ``MOST_BYTES`` of text together (the
-documented bound; smallest hash of the id first). Rows of equal words and equal label count once, all others stay.
+labelled rows outside the held-out fold whose text is among the documents: at most ``EXAMPLES`` of them with at most ``MOST_BYTES`` of
+text together (the documented bound; smallest hash of the id first, and a text that doesn't fit in is passed over alone). Rows of equal words and equal label count once, all others stay.
 Texts become unit TF-IDF vectors over all terms of the examples: (1 + ln tf) * idf * relevance, where relevance is
 ``LEAST_RELEVANCE`` plus the standardised difference between how many toxic examples hold a term and how many
 would by chance. Every term keeps a weight; none is dropped, however rare or unrelated.
@@ -61,15 +61,20 @@ def terms_of(word: bytes) -> list[int]:
 def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, toxic, text of the labelled rows to learn from."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.where(fold_remainder("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = known.where(fold_remainder("doc_id", 5) != 0).join(bare(docs).select("doc_id"), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = bare(docs).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
     signed = map_rows(joined.select("doc_id", "toxic", "text"), _digest, "doc_id long, toxic int, text binary, digest binary")
     one = signed.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text", "digest"), "text").alias("x")).select("doc_id", "x.*")
     copies = one.groupBy("toxic", "digest").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x"))
     examples = stash(copies.select("x.doc_id", "toxic", "x.text"), "toxicity-examples")
     sizes = examples.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()  # at most `most` rows
-    within = np.cumsum([r["size"] for r in sizes]) <= most_bytes
-    return examples if within.all() else examples.where(F.col("doc_id").isin([r["doc_id"] for r, good in zip(sizes, within) if good]))
+    kept, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= most_bytes:
+            kept.append(r["doc_id"])
+            total += r["size"]
+    return examples if len(kept) == len(sizes) else examples.where(F.col("doc_id").isin(kept))
 
 
 def _digest(batch: pa.RecordBatch):
@@ -167,10 +172,11 @@ class BlockMax:
     @classmethod
     def build(cls, lengths: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> BlockMax:
         """lengths: the number of terms of each example; term, weight: theirs, side by side."""
-        owner = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+        number = np.uint16 if len(lengths) <= 2**16 else np.uint32
+        owner = np.repeat(np.arange(len(lengths), dtype=number), lengths)
         order = np.argsort(term, kind="stable")
         term, owner, weight = term[order], owner[order], weight[order].astype(np.float32)
-        block = owner // np.uint16(BLOCK)
+        block = owner // number(BLOCK)
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         start = np.flatnonzero(new)

@@ -512,6 +512,25 @@ def test_toxicity_of_small_or_lopsided_examples(spark, docs):
     assert 1 <= len(cut) and sum(len(r["text"]) for r in cut) <= 50
 
 
+def test_toxicity_bounds_pass_over_no_other_text(spark):
+    texts = [(i, "calm word here " + "x" * (5_000 if i == 3 else i % 3)) for i in range(1, 40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    whole = {r["doc_id"] for r in toxicity_knn.examples_of(frame, labels).collect()}
+    most = sum(len(t) for i, t in texts if i in whole) - 1
+    assert {r["doc_id"] for r in toxicity_knn.examples_of(frame, labels, most_bytes=most - 4_900).collect()} == whole - {3}
+    many = labels.unionByName(spark.range(1000, 4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")))  # labels whose texts aren't here
+    assert {r["doc_id"] for r in toxicity_knn.examples_of(frame, many, most=60).collect()} == whole
+
+
+def test_more_examples_than_two_bytes_number():
+    n = 70_000
+    index = toxicity_knn.BlockMax.build(np.ones(n, np.int64), np.arange(n) % 50_000, np.ones(n, np.float32), 50_000)
+    who, how = index.search(np.array([12_345]), np.array([1.0]), 3)
+    assert who.tolist() == [12_345, 62_345] and how.tolist() == [1.0, 1.0]
+
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for doc_id, text, *_ in rows:
