@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from statvine.llm.common import arrow_schema, stash, to_batch
 
 DEPTH, LEAST, TOP, OVER = 4, 30, 2000, 80
-CHUNK, BUDGET, SHARES, SALTS = 16 << 20, 2_000_000, 1 << 15, 16
+CHUNK, BUDGET, SHARES, SALTS = 8 << 20, 2_000_000, 1 << 15, 16
 #: Of each byte: 0 in a word, 1 blank, 2 the end of a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
