@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +57,124 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return ids.join(pairs.select(F.col("a").alias("id"), "b"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
-def greedy_communities(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+#: Edges up to which a component is agglomerated in one task, pair by pair.
+SMALL = 200_000
+
+
+def agglomerated(edges: Iterable[tuple], twice: int) -> dict:
+    """Each node's community (its least node) by joining, one after the other, the two whose union raises modularity most.
+
+    edges: source, target, weight (whole numbers), each pair once; twice: twice the weight of the whole graph. Equal gains go to the smaller
+    pair of communities, the first of which joins the second and takes its number; a union that changes nothing still counts.
+    """
+    near: dict = {}
+    degree: dict = {}
+    for a, b, w in edges:
+        degree[a] = degree.get(a, 0) + w
+        degree[b] = degree.get(b, 0) + w
+        near.setdefault(a, {})
+        near.setdefault(b, {})
+        if a != b:
+            near[a][b] = near[b][a] = near[a].get(b, 0) + w
+    number = {x: i for i, x in enumerate(sorted(near))}
+    near = {number[x]: {number[y]: w for y, w in of.items()} for x, of in near.items()}
+    degree = {number[x]: d for x, d in degree.items()}
+    members = {i: [i] for i in near}
+    age = dict.fromkeys(near, 0)
+    entry = lambda a, b: (degree[a] * degree[b] - twice * near[a][b], min(a, b), max(a, b), age[min(a, b)], age[max(a, b)])
+    heap = [entry(a, b) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        loss, a, b, age_a, age_b = heapq.heappop(heap)
+        if a not in near or b not in near or (age[a], age[b]) != (age_a, age_b):
+            continue
+        if loss > 0:
+            break
+        for x, w in near.pop(a).items():
+            del near[x][a]
+            if x != b:
+                near[x][b] = near[b][x] = near[b].get(x, 0) + w
+        degree[b] += degree[a]
+        members[b] += members.pop(a)
+        age[b] += 1
+        for x in near[b]:
+            heapq.heappush(heap, entry(b, x))
+    names = sorted(number)
+    return {names[i]: names[min(own)] for own in members.values() for i in own}
+
+
+def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """id, community (its least id) of every node; edges are source, target and a whole-numbered weight, each pair once.
+
+    Components are apart from each other, whatever joins. Those of at most ``small`` edges are agglomerated pair by pair, many
+    one after the other in a task; larger ones by ``greedy_communities``. Nodes without edges are communities of their own, and so are ids that
+    only edges name. Edges of no weight are left out.
+    """
+    known = stash(edges.where("source is not null and target is not null and weight > 0").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), F.col("weight").cast("long").alias("weight")), "communities")
+    twice = 2 * (known.agg(F.sum("weight").alias("w")).first()["w"] or 0)
+    parts = stash(connected_components(known), "communities")
+    of = known.join(parts.select(F.col("id").alias("source"), "component"), "source")
+    sizes = of.groupBy("component").agg(F.count("*").alias("n"))
+    placed = stash(of.join(sizes, "component"), "communities")
+    few = placed.where(F.col("n") <= small).select("component", "source", "target", "weight").repartition("component").sortWithinPartitions("component")
+    of_id = known.schema["source"].dataType.simpleString()
+    from statvine.operators.vectorsearch import _arrow
+
+    schema = f"id {of_id}, community {of_id}"
+    arrow = _arrow(known.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def found() -> pa.RecordBatch:
+            rows = agglomerated(held, twice)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip((rows.keys(), rows.values()), arrow)], schema=arrow)
+
+        for batch in batches:
+            for component, *edge in zip(*(batch[c].to_pylist() for c in ("component", "source", "target", "weight"))):
+                if component != at:
+                    if held:
+                        yield found()
+                    held, at = [], component
+                held.append(edge)
+        if held:
+            yield found()
+
+    result = few.mapInArrow(run, schema)
+    many = placed.where(F.col("n") > small)
+    if not many.isEmpty():
+        result = result.unionByName(greedy_communities(many.select("source", "target", "weight"), twice=twice))
+    result = stash(result, "communities")
+    lone = nodes.select("id").where("id is not null").distinct().join(result, "id", "left_anti")
+    return result.unionByName(lone.select("id", F.col("id").alias("community")))
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """cluster (from 0, the largest first, equal ones by least member), size, id of every member.
+
+    Communities are counted within ranges of their order, and a range begins after the communities of those before it: no task sees them all.
+    """
+    sizes = found.groupBy("community").agg(F.count("*").alias("size")).repartitionByRange(F.desc("size"), "community")
+    ranges = stash(sizes.withColumn("part", F.spark_partition_id()), "clusters")
+    counts = {r["part"]: r["n"] for r in ranges.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    before = [sum(n for p, n in counts.items() if p < part) for part in range(max(counts, default=0) + 1)]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "community")) - 1
+    named = ranges.select("community", "size", (place + F.array(*(F.lit(b).cast("long") for b in before))[F.col("part")]).alias("cluster"))
+    return found.join(named, "community").select("cluster", "size", "id")
+
+
+def idea_edges(edges: DataFrame) -> DataFrame:
+    """source, target, weight (ten-thousandths) of edges between ideas, each pair once: SEMANTIC by cosine, CROSS_REF as 1, which counts where both are."""
+    inner = edges.where(F.col("source").startswith("idea:") & F.col("target").startswith("idea:") & F.col("type").isin("SEMANTIC", "CROSS_REF"))
+    pair = inner.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), (F.col("type") == "CROSS_REF").alias("named"), F.round(F.coalesce("weight", F.lit(1.0)) * 10_000).cast("long").alias("weight"))
+    return pair.where("source <> target").groupBy("source", "target").agg(F.max_by("weight", F.struct("named", "weight")).alias("weight"))
+
+
+def greedy_communities(edges: DataFrame, most_rounds: int = 200, twice: int | None = None) -> DataFrame:
     """id, community (its least id) by greedy modularity; edges are source, target and a whole-numbered weight (long).
 
+    twice: twice the weight of the whole graph, if ``edges`` are some of its components.
+
     Agglomeration by matching (Riedy et al., 2011): every community looks for the partner whose union raises modularity
     most. Where two choose each other they join, the smaller id as hub, and the hub also takes further suitors, best
     first, as long as each still pays with all suitors before it counted in. Every union raises modularity, and a star
@@ -66,7 +185,7 @@ def greedy_communities(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     ends = F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")
     graph = edges.where("source is not null and target is not null and weight > 0").select(*ends, F.col("weight").cast("long").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     graph = stash(graph, "communities")
-    twice = 2 * (graph.agg(F.sum("w").alias("w")).first()["w"] or 0)
+    twice = 2 * (graph.agg(F.sum("w").alias("w")).first()["w"] or 0) if twice is None else twice
     members = stash(graph.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("community", F.col("id")), "communities")
     for _ in range(most_rounds):
         degrees = graph.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("w")), F.struct(F.col("b").alias("c"), F.col("w")))).alias("x")).groupBy("x.c").agg(F.sum("x.w").alias("d"))

@@ -211,14 +211,27 @@ def connected_components(spark, d):
     return parts.connected_components(semantic_topk_edges(spark, d))
 
 
+def _clusters(spark, d):
+    """cluster, size, chapter_number, section_ref, heading, label of every idea."""
+    nodes, edges = _text_graph(spark, d)
+    ideas = stash(graph.ideas(_prose(spark, d)), "ideas").select("id", "chapter_number", "section_ref", "heading", "label")
+    found = parts.communities(ideas, stash(parts.idea_edges(edges), "idea-edges"))
+    return parts.numbered(found).join(ideas, "id")
+
+
 @query()
 def communities(spark, d):
-    """Every member of each community of semantic edges, with the community's size; weights in thousandths.
+    """Every idea in its cluster, the largest first; SEMANTIC and CROSS_REF edges tie ideas, and those without any stand alone.
 
-    SQL doesn't say how many rounds it takes.
+    SQL doesn't say how many unions it takes.
     """
-    edges = semantic_topk_edges(spark, d).select("source", "target", F.round(F.col("weight") * 1000).cast("long").alias("weight"))
-    return parts.listed(parts.greedy_communities(edges))
+    return _clusters(spark, d)
+
+
+@query(GRAPH + "SELECT chapter_number, count(*) AS members, count(DISTINCT id) AS ideas FROM ideas GROUP BY chapter_number")
+def community_members(spark, d):
+    """How many ideas of each chapter some cluster holds: all of them, once."""
+    return _clusters(spark, d).groupBy("chapter_number").agg(F.count("*").alias("members"), F.count_distinct("id").alias("ideas"))
 
 
 @query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS similarity FROM embeddings""")
