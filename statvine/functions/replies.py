@@ -21,7 +21,24 @@ def grounded(ids: Column, collected: Column) -> Column:
     return F.coalesce((F.size(ids) > 0) & (F.size(F.array_except(ids, collected)) == 0), F.lit(False))
 
 
-def decide(reply: Column, collected: Column, rounds: Column) -> Column:
-    """error after ``ROUNDS`` tool rounds; ok where no source was collected or the reply is grounded; else refused."""
+def decide(reply: Column, collected: Column, rounds: Column, configured: Column | None = None, failed: Column | None = None) -> Column:
+    """unconfigured without a key; error where the model failed or after ``ROUNDS`` tool rounds; ok where no source was collected or
+    the reply is grounded; else refused. configured, failed: null means that a key is there and that nothing failed."""
     ids = parse(reply)["source_ids"]
-    return F.when(rounds >= ROUNDS, "error").when(F.size(collected) == 0, "ok").when(grounded(ids, collected), "ok").otherwise("refused")
+    keyed = F.lit(True) if configured is None else F.coalesce(configured, F.lit(True))
+    broken = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
+    return F.when(~keyed, "unconfigured").when(broken, "error").when(rounds >= ROUNDS, "error").when(F.size(collected) == 0, "ok").when(grounded(ids, collected), "ok").otherwise("refused")
+
+
+#: What parameters may be. Fixed values.
+ALLOWED = {"mode": "fts|hybrid|vector", "chat_mode": "research|precedent", "status": "ok|refused|error|unconfigured"}
+LIMITS = {"limit": (1, 100), "offset": (0, None)}
+
+
+def broken_rules() -> Column:
+    """The names of the columns mode, chat_mode, status, limit and offset that break a rule; a missing value does."""
+    wrong = {c: ~F.coalesce(F.col(c).rlike(f"^(?:{p})$"), F.lit(False)) for c, p in ALLOWED.items()}
+    for c, (least, most) in LIMITS.items():
+        good = F.col(c) >= least if most is None else F.col(c).between(least, most)
+        wrong[c] = ~F.coalesce(good, F.lit(False))
+    return F.array_compact(F.array(*(F.when(bad, F.lit(c)) for c, bad in wrong.items())))

@@ -77,6 +77,18 @@ def case_edges(cases: DataFrame, chapters: DataFrame) -> DataFrame:
     return one.select(F.concat(F.lit("case:"), "case_id").alias("source"), "target", F.lit("CITES_STATUTE").alias("type"), F.lit("EXTRACTED").alias("evidence"), "method", "x.confidence", "x.detail")
 
 
+#: Confidences from the surest on. Fixed values.
+SURE = ("high", "medium", "low")
+
+
+def by_confidence(edges: DataFrame, cases: DataFrame) -> DataFrame:
+    """id, title, year, confidence, sure (0 is surest) of the cases (id, title, year) that edges lead from, by their surest edge:
+    sorted by sure, then the newest first, then id."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SURE)), F.col("confidence")), F.lit(0)), F.lit(len(SURE) + 1)) - 1
+    best = edges.select(F.regexp_replace("source", "^case:", "").alias("id"), F.struct(rank.cast("int").alias("sure"), "confidence").alias("x")).groupBy("id").agg(F.min("x").alias("x"))
+    return best.join(cases.select("id", "title", "year"), "id").select("id", "title", "year", "x.confidence", "x.sure").orderBy("sure", F.col("year").desc_nulls_last(), "id")
+
+
 def report(cases: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
     """what, name, n: cases loaded, cases that cite, edges, edges by confidence and by method, and the most cited targets."""
     rows = [cases.agg(F.count("*").alias("n")).select(F.lit("cases_loaded").alias("what"), F.lit("").alias("name"), "n")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +62,53 @@ def part_of(ideas: DataFrame) -> DataFrame:
     return _edges(ideas, F.concat(F.lit("chapter:"), "chapter_number"), F.col("id"), "PART_OF", F.lit("statute"))
 
 
-def mentions(ideas: DataFrame, concepts: DataFrame) -> DataFrame:
+#: Terms up to which all of them are looked for at once; at most 40 letters each.
+MOST_TERMS = 200_000
+
+
+def mentions(ideas: DataFrame, concepts: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """An edge from each idea to every concept that its text names, as a whole and set off on both sides.
 
-    Texts and terms meet on a term's first word, so no idea is compared with every concept.
+    Up to ``most`` terms, which are counted first, go to all tasks, and an automaton finds them in one pass over a text, without a shuffle. More terms meet
+    the texts on the hash of their first two words, so no term's first word gathers all texts with ``the``; likely pairs
+    are then compared with the text.
     """
-    words = F.array_distinct(F.regexp_extract_all("chunk_text", F.lit(f"(?<=[{OPENS}])[A-Za-z'-]+"), F.lit(0)))
-    terms = concepts.select("term", F.substring_index("term", " ", 1).alias("word"))
-    near = ideas.select("id", F.explode(words).alias("word")).join(terms, "word").select("id", "term")
-    named = near.join(ideas.select("id", "chunk_text"), "id").where(F.expr(f"rlike(chunk_text, concat('[{OPENS}]', term, '[{CLOSES}]'))"))
-    return _edges(named, F.col("id"), F.concat(F.lit("concept:"), "term"), "MENTIONS", F.col("term"))
+    terms = concepts.select("term").distinct()
+    if terms.count() <= most:
+        rows = _found_at_once(ideas.select("id", "chunk_text"), [r["term"] for r in terms.collect()])
+    else:
+        begins = F.array_distinct(F.regexp_extract_all("chunk_text", F.lit(rf"(?<=[{OPENS}])(?=([A-Za-z'-]+(?: [A-Za-z'-]*)?))"), F.lit(1)))
+        keys = F.array_distinct(F.flatten(F.transform(begins, lambda w: F.array(F.xxhash64(w), F.xxhash64(F.substring_index(w, " ", 1))))))
+        two = F.when(F.instr("term", " ") > 0, F.substring_index("term", " ", 2)).otherwise(F.col("term"))
+        near = ideas.select("id", F.explode(keys).alias("key")).join(terms.select("term", F.xxhash64(two).alias("key")), "key").select("id", "term")
+        rows = near.join(ideas.select("id", "chunk_text"), "id").where(F.expr(f"rlike(chunk_text, concat('[{OPENS}]', term, '[{CLOSES}]'))")).select("id", "term").distinct()
+    return _edges(rows, F.col("id"), F.concat(F.lit("concept:"), "term"), "MENTIONS", F.col("term"))
+
+
+def _found_at_once(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """id, term of the terms that stand in a text, set off on both sides."""
+    held = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for term in held.value:
+            machine.add_word(term, term)
+        machine.make_automaton()
+        for batch in batches:
+            ids, names = [], []
+            for at, text in enumerate(batch["chunk_text"].to_pylist()):
+                found = set()
+                for end, term in machine.iter(text or "") if len(machine) else ():
+                    begin = end - len(term)
+                    if begin >= 0 and text[begin] in OPENS and text[end + 1 : end + 2] and text[end + 1] in CLOSES:
+                        found.add(term)
+                ids += [at] * len(found)
+                names += sorted(found)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(ids, pa.int64())), pa.array(names, pa.string())], names=["id", "term"])
+
+    return texts.mapInArrow(run, "id string, term string")
 
 
 def chapter_references(ideas: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
@@ -94,9 +134,11 @@ def semantic(near: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """what (node, edge, evidence), type, n."""
-    counts = lambda df, what, c: df.groupBy(F.col(c).alias("type")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "type", "n")
-    return counts(nodes, "node", "type").unionByName(counts(edges, "edge", "type")).unionByName(counts(edges, "evidence", "evidence"))
+    """what (node, edge, evidence), type, n; edges are read once for both of their counts."""
+    of_nodes = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "type", "n")
+    sets = edges.groupingSets([["type"], ["evidence"]], "type", "evidence").agg(F.count("*").alias("n"), F.grouping("type").alias("by"))
+    by_evidence = F.col("by") == 1
+    return of_nodes.unionByName(sets.select(F.when(by_evidence, "evidence").otherwise("edge").alias("what"), F.when(by_evidence, F.col("evidence")).otherwise(F.col("type")).alias("type"), "n"))
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,6 +172,18 @@ def cypher(nodes: DataFrame, edges: DataFrame, most: int = 2000) -> DataFrame:
     return made.select(F.lit("node").alias("kind"), one.alias("statement")).unionByName(kept.select(F.lit("edge").alias("kind"), tie.alias("statement")))
 
 
+def with_case_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (id, type, label, text) and those cases that only edges name: the first title (or else the id) and detail stand for them.
+
+    edges: source, target, type, detail, and title where cases have one.
+    """
+    title = F.col("title") if "title" in edges.columns else F.lit(None).cast("string")
+    cited = edges.where(F.col("source").startswith("case:")).select(F.col("source").alias("id"), title.alias("title"), F.coalesce(F.nullif("detail", F.lit("")), title, F.lit("")).alias("text"))
+    first = cited.groupBy("id").agg(F.min(F.struct("title", "text")).alias("x"))
+    missing = first.join(nodes.select("id"), "id", "left_anti")
+    return nodes.select("id", "type", "label", "text").unionByName(missing.select("id", F.lit("case").alias("type"), F.coalesce(F.nullif("x.title", F.lit("")), "id").alias("label"), F.col("x.text").alias("text")))
+
+
 def degree(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 

@@ -119,12 +119,23 @@ def expand_case(lib: Library, case_id: str, limit: int = 20) -> DataFrame:
 TOOLS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (search_provisions, lookup_section, resolve_citation, list_chapters, citing_cases, search_cases, expand_case)}
 
 
+#: What a parameter means, for all tools that have it.
+MEANING = {
+    "query": "Words to look for.",
+    "chapter": "A chapter number such as 8:08.",
+    "section": "A section such as 4 or 12(3)(a), or a schedule's name.",
+    "date": "A day as YYYY-MM-DD; only versions available by then.",
+    "limit": "How many rows at most.",
+    "case_id": "The id of a case, with or without case: before it.",
+}
+
+
 def schemas() -> list[dict]:
     """What an assistant is told of each tool: its name, what it gives, and its parameters as a JSON schema."""
     kinds = {"str": "string", "int": "integer", "int | None": "integer"}
     told = []
     for name, tool in TOOLS.items():
         own = [p for p in inspect.signature(tool).parameters.values() if p.name != "lib"]
-        parameters = {"type": "object", "properties": {p.name: {"type": kinds[str(p.annotation)]} for p in own}, "required": [p.name for p in own if p.default is p.empty]}
+        parameters = {"type": "object", "properties": {p.name: {"type": kinds[str(p.annotation)], "description": MEANING[p.name]} for p in own}, "required": [p.name for p in own if p.default is p.empty]}
         told.append({"type": "function", "function": {"name": name, "description": (tool.__doc__ or name).split("\n")[0], "parameters": parameters}})
     return told
