@@ -6,7 +6,9 @@ import functools
 import math
 import operator
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +134,40 @@ def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return numbered.withColumn("has_more", F.max("place").over(Window.partitionBy()) > limit).where(F.col("place") <= limit)
 
 
-WINDOW = 8
+#: Words of a window, and the most passages that have no inner word.
+WINDOW, SHORT = 8, 100_000
+
+
+def _short(docs: DataFrame, passages: list[tuple], items: DataFrame) -> DataFrame:
+    """item_id, doc_id, n_chars of the documents that hold a short passage; all hold an empty one."""
+    held = docs.sparkSession.sparkContext.broadcast(passages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of: dict[str, list] = {}
+        for item, passage in held.value:
+            of.setdefault(passage, []).append(item)
+        machine, always = ahocorasick.Automaton(), of.pop("", [])
+        for passage in of:
+            machine.add_word(passage, passage)
+        machine.make_automaton()
+        for batch in batches:
+            rows, names = [], []
+            for at, text in enumerate(batch["text"].to_pylist()):
+                seen = {p for _, p in machine.iter(text)} if text and len(machine) else ()
+                mine = ([] if text is None else always) + [i for p in seen for i in of[p]]
+                rows += [at] * len(mine)
+                names += mine
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, kinds[0]), taken["doc_id"], taken["n_chars"]], names=["item_id", "doc_id", "n_chars"])
+
+    from pyspark.sql.types import StructField, StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType([StructField("item_id", items.schema["item_id"].dataType), docs.schema["doc_id"], docs.schema["n_chars"]])
+    kinds = to_arrow_schema(schema).types
+    return docs.select("doc_id", "n_chars", "text").mapInArrow(run, schema)
 
 
 def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -140,7 +175,8 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Both meet on the hash of the passage's inner words, as many as ``WINDOW`` at most: the first and last word may be parts
     of words of the document. A document gives only the hashes of its windows, no text; passages of less than three words
-    have no inner word and are looked for in every document.
+    have no inner word. These are counted, and an automaton looks for all of them in one pass over a document; more than
+    ``SHORT`` are an error.
     """
     words = lambda c: F.split(c, r"\s+")
     keyed = items.withColumn("inner", F.slice(words("passage"), 2, WINDOW)).withColumn("size", F.least(F.lit(WINDOW), F.size(words("passage")) - 2))
@@ -160,6 +196,9 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = []
     if near is not None:
         found.append(near.join(docs, "doc_id").join(items, "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "n_chars"))
-    if not short.isEmpty():
-        found.append(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "n_chars"))
+    few = short.limit(SHORT + 1).collect()  # counted by its limit
+    if len(few) > SHORT:
+        raise ValueError(f"more than {SHORT} passages have less than three words")
+    if few:
+        found.append(_short(docs, [(r["item_id"], r["passage"]) for r in few], short))
     return functools.reduce(DataFrame.unionByName, found) if found else docs.join(items, F.lit(False)).select("item_id", "doc_id", "n_chars")

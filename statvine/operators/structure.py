@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines that announce something: ``PART II``, ``FIRST SCHEDULE``, ``12A. Heading``, each also behind markdown's marks. Fixed patterns.
+#: Lines that announce something: ``PART II``, ``FIRST SCHEDULE``, ``12A. Heading``, each also behind markdown's marks, where a schedule
+#: may be written small. Fixed patterns.
 PART = r"^[#* ]*PART +([IVXLC]+|[0-9]+[A-Z]?)\b[ *.:—-]*([^*\r]*?)[* \r]*$"
 SCHEDULE = r"^[#* ]*((?:[A-Z]+ )?SCHEDULE(?: [IVXLC]+| [0-9]+)?)[* \r]*$"
+MARKED = r"(?i)^#+ *((?:[a-z]+ )?schedule(?: [ivxlc]+| [0-9]+)?)[* \r]*$"
 SECTION = r"^[#* ]*([0-9]+[A-Z]?)\.(?:[* ]+([^*\r]*?))?[* \r]*$"
 
 
@@ -19,7 +21,7 @@ def lines(laws: DataFrame, *keys: str) -> DataFrame:
     """
     rows = laws.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "line"))
     found = lambda p, k=1: F.nullif(F.trim(F.regexp_extract("line", p, k)), F.lit(""))
-    rows = rows.withColumns({"a_part": found(PART), "a_schedule": found(SCHEDULE)})
+    rows = rows.withColumns({"a_part": found(PART), "a_schedule": F.coalesce(found(SCHEDULE), F.upper(found(MARKED)))})
     # a number is a section's only outside of schedules, so what holds of these comes first
     so_far = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     outer = F.when(F.col("a_part").isNotNull(), F.struct(F.col("a_part").alias("part"), found(PART, 2).alias("heading"), F.lit(None).cast("string").alias("schedule"))).when(

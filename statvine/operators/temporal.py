@@ -44,7 +44,7 @@ def resolve(df: DataFrame, wanted: DataFrame, date: str, text: str) -> DataFrame
     Several texts at the newest date make it ambiguous, no version by the date not_found.
     """
     by_date = cutoff(df, date).groupBy(*KEY, "as_at_date").agg(F.count_distinct(text).alias("texts"))
-    texts = by_date.groupBy(*KEY).agg(F.max_by("texts", "as_at_date").alias("texts"))
+    texts = by_date.groupBy(*KEY).agg(F.max_by("texts", F.struct("as_at_date")).alias("texts"))  # undated ones come before all dates
     found = as_of(df, date).join(texts, list(KEY)).select(*KEY, "as_at_date", "download_id", "texts")
     status = F.when(F.col("texts").isNull(), "not_found").when(F.col("texts") > 1, "ambiguous").otherwise("found")
     return wanted.select(*KEY).distinct().join(found, list(KEY), "left").select(*KEY, status.alias("status"), "as_at_date", "download_id")

@@ -67,9 +67,9 @@ def law_detail(spark, d):
     return found.withColumn("revisions", listed)
 
 
-@query("""SELECT doc_id, i AS chunk_index, [ '1', '2A', '' ][i + 1] AS section_ref, [ 'Begin', 'End ' || lang, 'Schedule' ][i + 1] AS heading, length([ '## 1. Begin' || chr(10) || replace(text, '#', '') || chr(10), '## 2A. End ' || lang || chr(10) || 'last' || chr(10), '## Schedule' || chr(10) || 'rest' ][i + 1]) AS size FROM documents, (SELECT unnest([0, 1, 2]) AS i)""")
+@query("""SELECT doc_id, i AS chunk_index, ['1', '2A', 'SCHEDULE'][i + 1] AS section_ref, ['Begin', 'End ' || lang, ''][i + 1] AS heading, length(['## 1. Begin' || chr(10) || replace(text, '#', ''), '## 2A. End ' || lang || chr(10) || 'last', '## Schedule' || chr(10) || 'rest'][i + 1]) AS size FROM documents, (SELECT unnest([0, 1, 2]) AS i)""")
 def law_sections(spark, d):
-    """Markdown versions cut into sections."""
+    """Markdown versions cut into sections and schedules."""
     from statvine.sources.files import sections
 
     versions = table(spark, d, "documents").select("doc_id", F.expr(MARKDOWN).alias("text"))

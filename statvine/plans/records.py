@@ -19,7 +19,7 @@ LAW = r"""'# Law ' || doc_id || chr(10) || 'PART I' || chr(10) || '## 1. Short t
 STRUCTURE = rf"""WITH law AS (SELECT doc_id, string_split({LAW}, chr(10)) AS lines FROM documents),
 one AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM law),
 kinds AS (SELECT *, nullif(regexp_extract(line, '^[#* ]*PART +([IVXLC]+|[0-9]+[A-Z]?)\b[ *.:—-]*([^*\r]*?)[* \r]*$', 1), '') AS a_part, nullif(trim(regexp_extract(line, '^[#* ]*PART +([IVXLC]+|[0-9]+[A-Z]?)\b[ *.:—-]*([^*\r]*?)[* \r]*$', 2)), '') AS part_heading,
-    nullif(regexp_extract(line, '^[#* ]*((?:[A-Z]+ )?SCHEDULE(?: [IVXLC]+| [0-9]+)?)[* \r]*$', 1), '') AS a_schedule FROM one),
+    coalesce(nullif(regexp_extract(line, '^[#* ]*((?:[A-Z]+ )?SCHEDULE(?: [IVXLC]+| [0-9]+)?)[* \r]*$', 1), ''), nullif(upper(regexp_extract(line, '(?i)^#+ *((?:[a-z]+ )?schedule(?: [ivxlc]+| [0-9]+)?)[* \r]*$', 1)), '')) AS a_schedule FROM one),
 outers AS (SELECT *, last_value(CASE WHEN a_part IS NOT NULL THEN struct_pack(part := a_part, heading := part_heading, schedule := NULL::VARCHAR) WHEN a_schedule IS NOT NULL THEN struct_pack(part := NULL::VARCHAR, heading := NULL::VARCHAR, schedule := a_schedule) END IGNORE NULLS) OVER w AS o, a_part IS NOT NULL OR a_schedule IS NOT NULL AS turn FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING)),
 sections AS (SELECT *, CASE WHEN NOT turn AND o.schedule IS NULL THEN nullif(regexp_extract(line, '^[#* ]*([0-9]+[A-Z]?)\.(?:[* ]+([^*\r]*?))?[* \r]*$', 1), '') END AS a_section, nullif(trim(regexp_extract(line, '^[#* ]*([0-9]+[A-Z]?)\.(?:[* ]+([^*\r]*?))?[* \r]*$', 2)), '') AS section_heading FROM outers),
 inners AS (SELECT *, last_value(CASE WHEN turn THEN struct_pack(section := NULL::VARCHAR, heading := NULL::VARCHAR) WHEN a_section IS NOT NULL THEN struct_pack(section := a_section, heading := section_heading) END IGNORE NULLS) OVER w AS i, count(*) FILTER (turn OR a_section IS NOT NULL) OVER w AS chunk FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING)),

@@ -10,16 +10,17 @@ from statvine.plans.searching import _embedded, _query_vector, semantic_topk_edg
 from statvine.sources.corpus import SQL, cases, chapters, chunks, table, versions
 from statvine.sources.shared import stash
 
-#: A case's text names the title of its first line, changed in two of three.
-NAMED = "'By section 4 of the ' || CASE o % 3 WHEN 0 THEN title WHEN 1 THEN 'Old ' || title ELSE split_part(title, ' ', 2) END || ' Act, and Cap. ' || (o % 25 + 1) || ':0' || (o % 10)"
-CASE_SQL = SQL + f""", texts AS (SELECT 'o' || o AS case_id, {NAMED} AS text FROM (SELECT l_orderkey AS o, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1))
+#: A case's text names the title of every one of its lines, changed in two of three.
+NAMED = "'By section 4 of the ' || CASE (o + line) % 3 WHEN 0 THEN title WHEN 1 THEN 'Old ' || title ELSE split_part(title, ' ', 2) END || ' Act, and Cap. ' || ((o + line) % 25 + 1) || ':0' || (o % 10)"
+CASE_SQL = SQL + f""", texts AS (SELECT 'o' || o AS case_id, string_agg({NAMED}, '. ' ORDER BY line, title) AS text FROM (SELECT l_orderkey AS o, l_linenumber AS line, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY o)
 """
 
 
 def _texts(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p_partkey"))
-    named = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title")), "p_partkey")
-    return named.select(F.concat(F.lit("o"), "o").alias("case_id"), F.expr(NAMED).alias("text"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("p_partkey"))
+    named = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title")), "p_partkey").select("o", F.struct("line", "title", F.expr(NAMED).alias("said")).alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["said"]), ". ")
+    return named.groupBy("o").agg(text.alias("text")).select(F.concat(F.lit("o"), "o").alias("case_id"), "text")
 
 
 @query(CASE_SQL + r"""SELECT case_id, 'chapter:' || chapter AS target, 'medium' AS confidence, 'Ch. ' || chapter AS detail FROM (SELECT case_id, unnest(regexp_extract_all(text, '(?i)\b(?:Cap(?:ition)?\.|Ch(?:ap)?\.|Chapter)\s*([0-9]{1,2}:[0-9]{1,2})\b', 1)) AS chapter FROM texts)
@@ -28,7 +29,7 @@ def cites_chapter_regex(spark, d):
     return casework.chapter_citations(_texts(spark, d), chapters(spark, d))
 
 
-TITLES = CASE_SQL + r""", names AS (SELECT case_id, trim(name) AS name, kind, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS norm FROM (SELECT case_id, regexp_extract(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 1) AS name, regexp_extract(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 2) AS kind FROM texts) WHERE name <> ''),
+TITLES = CASE_SQL + r""", names AS (SELECT case_id, trim(z[1]) AS name, z[2] AS kind, regexp_replace(lower(z[1]), '[^a-z0-9]', '', 'g') AS norm FROM (SELECT case_id, unnest(list_zip(regexp_extract_all(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 1), regexp_extract_all(text, '(?i)\bthe\s+([A-Z][A-Za-z\- ]{3,60}?)\s+(Act|Ordinance|Regulations?)\b', 2))) AS z FROM texts)),
 listed AS (SELECT DISTINCT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title, chapter_number FROM chapters),
 titles AS (SELECT title, min(chapter_number) AS first FROM listed GROUP BY title),
 norms AS (SELECT DISTINCT norm FROM names),

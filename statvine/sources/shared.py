@@ -21,26 +21,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Writes ``df`` to the shared folder, in folders by the columns ``by``, and reads it back: lineage is cut, and a lost executor loses nothing.
-
-    ``scratch`` removes what was written within it; outside of it files stay until the folder is cleared.
-    """
+def keep(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` to the shared folder, in folders by the columns ``by``, and reads it back; and where it lies, for ``remove``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``keep`` for results on the way: lineage is cut, and a lost executor loses nothing.
+
+    ``scratch`` removes what was written within it; outside of it files stay until the folder is cleared.
+    """
+    found, path = keep(df, name, *by)
     for written in _OPEN:
         written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return found
 
 
 _OPEN: list[list[str]] = []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """By the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end all that ``stash`` wrote within it, by the file system that holds it; write results before."""
+    """Removes at its end all that ``stash`` wrote within it; write results before, or ``keep`` them."""
     written: list[str] = []
     _OPEN.append(written)
     try:
@@ -48,5 +60,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.remove(written)
         for path in written:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
