@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statvine.llm import near_dedup, packing, pii_spans, quality_rules, toxicity_knn
-from statvine.llm.common import stash, table
+from statvine.llm.common import table
+from statvine.sources.shared import keep, remove, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage writes on its way goes when its result is written, and a result goes when the next one is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs, path = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
