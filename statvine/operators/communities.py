@@ -14,14 +14,18 @@ from statvine.sources.shared import stash
 
 #: Edges of a node from which its rows are dealt to ``SALTS`` tasks, and the most such nodes at once.
 HUB, SALTS, MOST_HUBS = 1000, 64, 100_000
+#: Rows, two numbers each, up to which a key stays in one task however many it has: all of them are few for it.
+FEW = 100_000
 
 
 def _with_least(rows: DataFrame, key: str, value: str, n_rows: int) -> DataFrame:
     """``rows`` with ``m``, the least ``value`` of their ``key``.
 
     A key of more than ``HUB`` rows is spread over ``SALTS`` tasks. The bar rises with the rows, so that at most ``MOST_HUBS``
-    keys pass it, and these are broadcast.
+    keys pass it, and these are broadcast. Up to ``FEW`` rows in all, none is spread.
     """
+    if n_rows <= FEW:
+        return rows.join(rows.groupBy(key).agg(F.min(value).alias("m")), key)
     bar = max(HUB, n_rows // MOST_HUBS)
     least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("d"))
     hubs = F.broadcast(least.where(F.col("d") > bar).select(key, F.lit(True).alias("hub")))  # at most n_rows / bar

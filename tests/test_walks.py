@@ -114,6 +114,7 @@ def test_components_with_loops(spark):
 
 def test_components_of_a_star_spread_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(communities, "HUB", 20)
+    monkeypatch.setattr(communities, "FEW", 0)
     rnd = random.Random(8)
     edges = [(900, i) for i in range(100, 400)] + [(i, 500 + i) for i in range(100, 400, 3)] + [(2000 + i, 2001 + i) for i in range(0, 60)] + [(rnd.randrange(5000, 5400), rnd.randrange(5000, 5400)) for _ in range(300)]
     root = {x: x for e in edges for x in e}
