@@ -10,7 +10,8 @@ exponential variate of each shingle, on a scale of powers of ``BASE``, truncated
    likelihood of both sketches estimates their similarity; those of ``LEAST_ESTIMATE`` and more
    join into clusters, which is far below any link's similarity, as leaders are only a meeting point. In buckets
    that still hold several clusters, all pairs of different clusters meet in the same way, so none is lost to
-   an unlike leader; buckets of more than ``MEET`` rows are cut into blocks that meet in pairs;
+   an unlike leader. A bucket of more than ``MEET`` such rows is dealt anew by bands of its registers in another order, each row once a
+   band, with leaders of its own, ``LEVELS`` times if need be; only what is hot even then is cut into blocks that meet in pairs;
 3. within a cluster, pairs that are not yet connected are compared on their full sets, exactly, in numpy: one set
    against all others at a time. A cluster of more than ``BLOCK`` shingles or ``SETS`` sets is cut into blocks. First each
    block compares its members and the cluster's leader, then only what is outside the cluster's largest part
@@ -48,8 +49,8 @@ BLOCK, SETS = 2_000_000, 4096
 SALTS = 64
 #: Rows of a table of large clusters that may be broadcast; beyond it is joined.
 MOST_BROADCAST = 200_000
-#: Rows of a bucket in a block.
-MEET = 4096
+#: Rows of a bucket in a block, and how often larger buckets are dealt anew; each time registers are read in steps of another width.
+MEET, LEVELS, STEPS = 4096, 2, (1, 5, 11)
 #: Words whose hashes a task remembers.
 CACHE = 300_000
 _ODD = np.random.default_rng(9).integers(0, 1 << 31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -239,11 +240,25 @@ def meet(registers: np.ndarray, size: np.ndarray, label: np.ndarray, part: np.nd
     return found
 
 
-def unmet(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def unmet(shared: DataFrame, classes: DataFrame, labels: DataFrame, level: int = 0) -> DataFrame:
     """a, b: labels to join, from the buckets whose classes (without the leader, who met all) have several labels."""
     rows = shared.where("n > 2").select("bucket", "class").join(labels, "class", "left").select("bucket", "class", F.coalesce("cluster", "class").alias("label"))
     counted = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.lit(MEET)).cast("int").alias("blocks"))
-    rows = rows.join(counted.where("x < y").select("bucket", "blocks"), "bucket")
+    counted = stash(counted.where("x < y").select("bucket", "blocks"), "dedup-several")
+    hot = counted.where("blocks > 1")
+    if level == LEVELS or hot.isEmpty():
+        return _in_blocks(rows.join(counted, "bucket"), classes)
+    found = _in_blocks(rows.join(counted.where("blocks = 1"), "bucket"), classes)
+    again = rows.join(hot.select("bucket"), "bucket").select("bucket", "class").join(classes.select("class", "registers"), "class")
+    finer = _led(_banded(again, level + 1, "bucket"))
+    of = lambda c, name: labels.select(F.col("class").alias(c), F.col("cluster").alias(name))
+    near = _met(finer, classes).join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    near = stash(near.where("a <> b").distinct(), "dedup-near")
+    return found.unionByName(near).unionByName(unmet(finer, classes, _relabelled(labels, near), level + 1))
+
+
+def _in_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: labels to join, from all pairs of different labels within a bucket, by pairs of its blocks."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int")).join(classes.select("class", "n_shingles", "registers"), "class")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     dealt = rows.withColumn("other", F.explode(others)).select("bucket", "label", "blocks", "own", "n_shingles", "registers", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -276,13 +291,25 @@ def unmet(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
     return dealt.mapInArrow(run, schema)
 
 
-def clusters(classes: DataFrame) -> DataFrame:
-    """class, cluster of the classes that meet another one."""
-    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * WIDTH + 1, F.lit(WIDTH)))))
-    rows = classes.where("n_shingles > 0").select("class", bands.alias("band", "bucket")).select("class", F.xxhash64("band", "bucket").alias("bucket"))
+def _banded(rows: DataFrame, level: int, *within: str) -> DataFrame:
+    """class, bucket: ``BANDS`` buckets of each row (class, registers), apart by the columns ``within``; each level bands other registers together."""
+    if level:
+        letters = lambda i: F.concat(*(F.substring(F.col("registers"), ((i * WIDTH + k) * STEPS[level]) % REGISTERS + 1, F.lit(1)) for k in range(WIDTH)))
+    else:
+        letters = lambda i: F.substring(F.col("registers"), i * WIDTH + 1, F.lit(WIDTH))
+    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, letters(i))))
+    return rows.select("class", *within, bands.alias("band", "key")).select("class", F.xxhash64(*within, "band", "key").alias("bucket"))
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """bucket, class, leader, n of the buckets (class, bucket) that hold several classes, but for the leaders' own rows."""
     # partial minima shrink a hot bucket before the shuffle; most buckets hold one class and leave here
     leaders = rows.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.count("*").alias("n")).where("leader < last").select("bucket", "leader", "n")
-    shared = stash(rows.join(leaders, "bucket").where("class <> leader"), "dedup-shared")
+    return stash(rows.join(leaders, "bucket").where("class <> leader"), "dedup-shared")
+
+
+def _met(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: classes that are likely like their buckets' leaders."""
     met = shared.select("class", "leader").distinct()
     one = classes.select("class", "n_shingles", "registers")
     pairs = met.join(one, "class").join(one.select(F.col("class").alias("leader"), F.col("n_shingles").alias("n"), F.col("registers").alias("r")), "leader")
@@ -295,18 +322,25 @@ def clusters(classes: DataFrame) -> DataFrame:
         good = np.flatnonzero(found >= LEAST_ESTIMATE)
         return list(zip(batch["class"].to_numpy()[good].tolist(), batch["leader"].to_numpy()[good].tolist()))
 
-    edges = map_rows(pairs, likely, "a long, b long")
-    labels = stash(_joined(edges).withColumnsRenamed({"node": "class", "label": "cluster"}), "dedup-met")
-    more = stash(unmet(shared, classes, labels), "dedup-unmet")
-    if more.isEmpty():
-        return labels
-    joined = _joined(more)
-    # a class without a cluster is its own label
+    return map_rows(pairs, likely, "a long, b long")
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """class, cluster after joining labels by edges; a class without a cluster is its own label."""
+    joined = _joined(edges)
     known = labels.join(joined.select(F.col("node").alias("cluster"), "label"), "cluster", "left").select("class", F.coalesce("label", "cluster").alias("cluster"))
     alone = joined.join(labels.select(F.col("cluster").alias("node")).distinct(), "node", "left_anti")
     return known.unionByName(alone.select(F.col("node").alias("class"), F.col("label").alias("cluster")))
 
 
+def clusters(classes: DataFrame) -> DataFrame:
+    """class, cluster of the classes that meet another one."""
+    shared = _led(_banded(classes.where("n_shingles > 0").select("class", "registers"), 0))
+    labels = stash(_joined(_met(shared, classes)).withColumnsRenamed({"node": "class", "label": "cluster"}), "dedup-met")
+    more = stash(unmet(shared, classes, labels), "dedup-unmet")
+    return labels if more.isEmpty() else _relabelled(labels, more)
+
+
 def _joined(edges: DataFrame) -> DataFrame:
     """node, label (the least node reachable) of every node on an edge a, b."""
     return connected_components(edges.select(F.col("a").alias("source"), F.col("b").alias("target"))).select(F.col("id").alias("node"), F.col("component").alias("label"))

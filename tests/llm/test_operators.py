@@ -604,6 +604,32 @@ def test_near_copies_meet_though_longer_documents_lead_their_buckets(spark, monk
         assert got.get(10_000) is not None and got.get(10_000) == got.get(10_001)
 
 
+def test_rows_of_a_hot_bucket_grow_in_proportion(spark, monkeypatch):
+    """Documents around one passage, half of them near copies of each other: dealt anew by other bands, rows stay in proportion and no link is lost."""
+    monkeypatch.setattr(near_dedup, "MEET", 12)
+    dealt = []
+    inner = near_dedup._in_blocks
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda rows, classes: dealt.append(rows.where("blocks > 1").agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]) or inner(rows, classes))
+    rng = np.random.default_rng(21)
+    own = lambda n: rng.integers(0, 1 << 63, n, np.uint64)
+    passage = own(690)
+    for n in (800,):
+        rows, pairs = [], []
+        for i in range(n // 2):  # pairs of near copies that hold the passage, and are unlike all others
+            mine = np.concatenate([passage, own(410)])
+            for copy in range(2):
+                rows.append((int(rng.integers(0, 1 << 62)), 1110, bytearray(near_dedup.sketch(np.concatenate([mine, own(10)])).tobytes())))
+            pairs.append((rows[-1][0], rows[-2][0]))
+        classes = spark.createDataFrame(rows, "class long, n_shingles long, registers binary").repartition(4)
+        dealt.clear()
+        got = {r["class"]: r["cluster"] for r in near_dedup.clusters(classes).collect()}
+        assert all(got.get(a) is not None and got.get(a) == got.get(b) for a, b in pairs)
+        led = near_dedup._led(near_dedup._banded(classes.select("class", "registers"), 0)).groupBy("bucket").count().where("count > 12")
+        before = led.agg(F.sum(F.col("count") * F.ceil(F.col("count") / 12)).alias("n")).first()["n"]  # rows that pairs of blocks would ship
+        print(before, sum(dealt))
+        assert before > 1000 and sum(dealt) < before / 5
+
+
 def test_meeting_joins_what_all_pairs_join():
     rng = np.random.default_rng(13)
     base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
