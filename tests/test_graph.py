@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from statvine.operators import casework, graph, search, similarity
+from statvine.operators.textindex import TextIndex
 from statvine.sources import files
 from statvine.sources.shared import scratch, stash
 
@@ -115,7 +116,7 @@ def test_full_text_by_scan_and_index(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choices(["debtor", "pay", "the", "Act", "officer"], k=rnd.randint(0, 9)))) for i in range(60)] + [(100, None), (101, "Pay, DEBTOR! pay")]
     chunks = spark.createDataFrame(rows, "chunk_id long, chunk_text string")
-    index = search.Index.build(chunks, 4)
+    index = TextIndex.build(chunks.repartition(4))
     for query in ("debtor pay", "the", "debtor nowhere", "", "Pay pay DEBTOR act officer"):
         scan = sorted(map(tuple, search.fts(chunks, query).collect()))
         assert sorted(map(tuple, index.fts(query).collect())) == scan
