@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statvine.functions.english import STOP, stem
-from statvine.sources.shared import stash
+from statvine.sources.shared import keep, stash
 
 ROW = "term string, block string, n long, ids array<long>, sizes array<int>, counts array<int>, places array<int>"
 WORD = np.zeros(256, bool)
@@ -99,7 +99,7 @@ class TextIndex:
                     yield _block(ids, [t or b"" for t in batch["text"].to_pylist()], f"{ids[0]}", english, schema)
 
         rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("chunk_text").cast("binary").alias("text")).mapInArrow(run, ROW)
-        stored = stash(stash(rows, "text-blocks").repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "text-index")
+        stored, _ = keep(stash(rows, "text-blocks").repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "text-index")  # outlives a scratch
         return cls(stored, chunks.count(), english)
 
     def _together(self, query: str, schema: str, meet) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statvine.sources.shared import stash
+from statvine.sources.shared import keep, stash
 
 #: Vectors of a block, vectors that centres are fitted to, rounds of fitting, and most cells.
 BLOCK, SAMPLE, ROUNDS, MOST_CELLS = 4096, 20_000, 8, 1024
@@ -99,7 +99,7 @@ class Cells:
         blocks = np.maximum(1, -(-count // BLOCK))
         dealt = F.pmod(F.xxhash64("id"), F.array(*(F.lit(int(b)) for b in blocks))[F.col("cell")] if len(c) else F.lit(1)).cast("int")
         stored = assigned.select("cell", dealt.alias("block"), "id", "v").repartitionByRange("cell", "block").sortWithinPartitions("cell", "block")
-        return cls(stash(stored, "cells"), c, radius, count, blocks)
+        return cls(keep(stored, "cells")[0], c, radius, count, blocks)  # outlives a scratch
 
     def _bounds(self, queries: DataFrame, extra: tuple[str, ...], choose) -> DataFrame:
         """``extra`` columns, v and cell of each query for the cells that ``choose`` (least and largest angle to a cell's vectors, the rows) wants."""

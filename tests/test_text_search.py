@@ -78,3 +78,11 @@ def test_no_row_holds_all_of_a_term(texts, spark):
     blocks = index.rows.where("term = 'the'").collect()
     assert len(blocks) > 1 and sum(r["n"] for r in blocks) == sum("the" in cut(t) for _, t in rows)
     assert TextIndex.build(frame.where("false")).fts("debtor").count() == 0
+
+
+def test_an_index_outlives_the_scratch_it_was_built_in(texts, spark):
+    from statvine.sources.shared import scratch
+
+    with scratch(spark):
+        index = TextIndex.build(texts[1])
+    assert index.fts("widget").count() > 0
