@@ -788,3 +788,29 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pipeline_hands_python_few_rows(spark, data, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda docs, *_: docs.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.num_rows])}) for b in batches), "n long")
+    monkeypatch.setattr(quality_rules, "keep_good", sizes)
+    monkeypatch.setattr(toxicity_knn, "fit", lambda *_: None)
+    monkeypatch.setattr(toxicity_knn, "keep_civil", sizes)
+    monkeypatch.setattr(near_dedup, "keep_one", sizes)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "'a text' as text")
+    assert spark.conf.get(setting, None) is None
+    try:
+        for stage in (corpus_pipeline.quality, corpus_pipeline.toxicity, corpus_pipeline.near_duplicates):
+            spark.conf.unset(setting)
+            assert [r["n"] for r in stage(spark, docs, data).collect()] == [1000, 1000, 500]
+            spark.conf.set(setting, 2000)  # what the session says holds
+            assert [r["n"] for r in stage(spark, docs, data).collect()] == [2000, 500]
+    finally:
+        spark.conf.unset(setting)
+    monkeypatch.undo()
+    corpus_pipeline.run(spark, data)
+    assert spark.conf.get(setting, None) is None
