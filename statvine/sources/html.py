@@ -24,7 +24,7 @@ def listing(pages: DataFrame) -> DataFrame:
     return entry.select(
         part(r"currentid=([0-9]+)").cast("long").alias("download_id"),
         part(r'(?s)<strong class="block[^"]*"[^>]*>(.*?)</strong>').alias("title"),
-        part(r"Chapter\s+([0-9]{1,3}:[0-9]{2,3})").alias("chapter_number"),
+        part(r"Chapter\s+([0-9]+:[0-9]{2,3})").alias("chapter_number"),
         part(r"Chapter\s+[0-9:]+\s*\(([^)]*)\)").alias("note"),
     )
 
