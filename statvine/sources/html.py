@@ -40,7 +40,7 @@ def detail(pages: DataFrame) -> DataFrame:
     classification and revisions, an array of (download_id, as_at_date, label) in the page's order."""
     part = lambda pattern: F.trim(F.regexp_replace(F.regexp_extract("html", pattern, 1), r"\s+", " "))
     fact = lambda name: part(rf"(?s){name}\s*-\s*(.*?)\s*</a>")
-    heading = r"(?s)<h4[^>]*>\s*<a[^>]*>\s*(.*?)\s+Chap\.\s*[0-9]{1,3}:[0-9]{2,3}"
+    heading = r"(?s)<h4[^>]*>\s*<a[^>]*>\s*(.*?)\s+Chap\.\s*[0-9]+:[0-9]{2,3}"
     # the link with the address is followed by the date and the label
     item = r'(?s)<a[^>]*href="[^"]*/download/([0-9]+)[^"]*"[^>]*>\s*<strong>\s*<small[^>]*>(.*?)</small>\s*</strong>\s*<strong[^>]*>(.*?)</strong>'
     group = lambda k: F.regexp_extract_all("html", F.lit(item), F.lit(k))
@@ -49,7 +49,7 @@ def detail(pages: DataFrame) -> DataFrame:
     day = F.regexp_replace(fact("Commencement Date"), r"^[A-Za-z]{3},\s*", "")
     return pages.select(
         part(heading).alias("title"),
-        part(r"Chap\.\s*([0-9]{1,3}:[0-9]{2,3})").alias("chapter_number"),
+        part(r"Chap\.\s*([0-9]+:[0-9]{2,3})").alias("chapter_number"),
         part(r"(?s)<p>(?:\s*<i[^>]*></i>)?\s*<strong>(.*?)</strong>").alias("long_title"),
         fact("Year").try_cast("int").alias("year"),
         fact("Act Number").alias("act_number"),

@@ -26,3 +26,8 @@ KEYS = [1, 99_899, 99_900, 120_005, 7_200_000]
 def test_listing_reads_long_chapter_numbers(spark, tmp_path):
     ours, theirs = rows_of(spark, tmp_path, "law_listing", KEYS)
     assert ours == theirs and len(ours) == len(KEYS)
+
+
+def test_detail_reads_long_chapter_numbers(spark, tmp_path):
+    ours, theirs = rows_of(spark, tmp_path, "law_detail", KEYS)
+    assert ours == theirs and len(ours) == len(KEYS)
