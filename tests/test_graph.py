@@ -149,3 +149,20 @@ def test_scratch_is_removed(spark):
         (path,) = {os.path.dirname(f.removeprefix("file://")) for f in kept.inputFiles()}
         assert kept.count() == 3 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_bare_numbers_as_sql_takes_them(spark, tmp_path):
+    import duckdb
+
+    from statvine.plans.all import ORACLES, QUERIES
+
+    texts = ["ch " + "x" * n + " 1:05" for n in range(26, 37)] + [" act", "Act 1:05, 1:06 and cap 1:07 1:08", "chapter\n1:05", "éch. 1:05 pact 1:06 éact 1:07", "act é1:05é 1:06", "_act 1:05", "act 1:05:06", "ordinance 1:051 1:06", "Ch.\u000b1:05", "cap \U0001f600" * 9 + "1:09", None, ""]
+    spark.createDataFrame([(i, t, "web", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 3000).selectExpr("id as p_partkey", "'x' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for t in ("lineitem", "orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    ours = sorted(map(tuple, QUERIES["cites_bare_regex"](spark, str(tmp_path)).select("chunk_id", "chapter", "confidence", "method").collect()))
+    assert ours == sorted(con.execute(ORACLES["cites_bare_regex"]).fetchall()) and len(ours) > len(texts)
