@@ -209,7 +209,7 @@ reach AS (SELECT source AS id, source AS other FROM sides UNION SELECT id, targe
 
 @query(NEAR + "SELECT id, min(other) AS component FROM reach GROUP BY id")
 def connected_components(spark, d):
-    return parts.connected_components(semantic_topk_edges(spark, d))
+    return parts.connected_components(stash(semantic_topk_edges(spark, d), "semantic"))  # read twice
 
 
 def _clusters(spark, d):

@@ -144,3 +144,20 @@ def test_retrieved_context(spark, data):
     rows = QUERIES["graph_retrieve"](spark, data).orderBy("place").collect()
     seeds = [f"idea:{r[0]}" for r in QUERIES["vector_seed"](spark, data).collect()]
     assert [r["id"] for r in rows[:10]] == seeds and len({r["id"] for r in rows}) == len(rows) <= 40
+
+
+def test_components_run_their_edges_once(spark, monkeypatch, data):
+    from statvine.plans import walks as plans
+
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "source long, target long").coalesce(1).mapInArrow(counted, "source long, target long")
+    monkeypatch.setattr(plans, "semantic_topk_edges", lambda *_: edges)
+    got = sorted(map(tuple, plans.connected_components(spark, data).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert rows.value == 3
